@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import packing, simhash
+from stratafold.llm import packing, rules, simhash
 from stratafold.llm.common import read_table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return rules.annotate(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
