@@ -18,3 +18,9 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def tables(spark):
+    names = ("documents", "labels", "pages", "benchmark", "embeddings", "customer", "supplier", "events")
+    return {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in names}
