@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import simhash
+from stratafold.llm import packing, quality, rules, simhash
 from stratafold.llm.common import read_table, settle
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the line field reject go."""
+    return rules.keep(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be of low quality go."""
+    return quality.keep(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per token piece, with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
 
 #: The classifier and the packing are not SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
