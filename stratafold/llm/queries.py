@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import packing, quality, rules, simhash
+from stratafold.llm import packing, quality, rules, simhash, toxicity
 from stratafold.llm.common import read_table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return rules.annotate(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
@@ -29,6 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_simhash": op9_simhash,
