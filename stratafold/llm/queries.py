@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import packing, quality, rules, simhash, toxicity
+from stratafold.llm import bpe, packing, quality, rules, simhash, toxicity
 from stratafold.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.annotate(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
+        "op6_bpe": op6_bpe,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
