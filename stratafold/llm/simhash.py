@@ -28,9 +28,10 @@ from stratafold.llm.components import connected_components
 SHINGLE = 3
 MAX_BITS = 2
 FAN = 16
-SHARD_ROWS = 8192
+SHARD_ROWS = 2048
 MAX_SHARDS = 4096
 MAX_FRONT = 1 << 21
+TASK_ROWS = 1 << 22
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -161,7 +162,9 @@ def links(distinct: DataFrame, most: int = MAX_BITS, shard_rows: int = SHARD_ROW
     """(a, b): a spanning set of the links among the distinct fingerprints ``distinct.fp``, which is read three times."""
     n = distinct.count()
     shards = min(MAX_SHARDS, max(1, -(-n // shard_rows)))
-    parts = min(16, shards.bit_length())
+    bits = shards.bit_length()
+    parts = -(-n // shards * (2 + bits + bits * bits // 2) // TASK_ROWS)  # the upper levels let a query into about so many shards
+    parts = max(1, parts)
     ranked = distinct.select("fp").mapInArrow(_ranks, "fp long, rank long")
     cuts = ranked.agg(F.percentile_approx("rank", [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] if shards > 1 and n else []
     cuts = np.unique(np.array(cuts or [], np.int64))
