@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import bpe, packing, quality, rules, simhash, toxicity
+from stratafold.llm import bpe, packing, quality, rules, simhash, toxicity, warc
 from stratafold.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.annotate(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read_table(spark, sf_dir, "pages")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
+        "op5_warc": op5_warc,
         "op6_bpe": op6_bpe,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_simhash": op9_simhash,
