@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import bpe, packing, quality, rules, simhash, toxicity, warc
+from stratafold.llm import bpe, packing, quality, rules, simhash, spotsigs, toxicity, warc
 from stratafold.llm.common import read_table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edits(read_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -42,6 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs": op1_spotsigs,
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
         "op5_warc": op5_warc,
