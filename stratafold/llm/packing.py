@@ -10,7 +10,9 @@ from windows over (length, salt), where frequent lengths have several salts, and
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -21,17 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.llm.bpe import byte_letters
 from stratafold.llm.common import batch, settle, sized, texts, tokenizer_path, utf8
 
 CAPACITY = 2048
 END_ID = 0
 CACHED_WORDS = 300_000
+#: Latin letters that lower-casing and composition treat one by one, then ASCII punctuation without the apostrophe of contractions.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordIds:
     """Ids of white-space separated words as little-endian uint32 bytes, by a tokenizer that never joins across white space.
 
-    A text's ids are then its words' ids in turn, so each word is encoded once while it stays in the bounded cache.
+    A text's ids are then its words' ids in turn, so each word is encoded once while it stays in the bounded cache. Words of Latin
+    letters, with punctuation after them, are lower-cased and merged in bulk by the vocabulary's ranks; the library encodes all others.
     """
 
     def __init__(self, path: str):
@@ -42,17 +48,60 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self._rank(path)
+
+    def _rank(self, path: str) -> None:
+        """The merges as ranks of byte strings, where a zero byte ends a word; it joins its letter before all else."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, end = byte_letters(), model["end_of_word_suffix"]
+        back = {c: b for b, c in letters.items()}
+        text = lambda token: bytes(back[c] for c in token.removesuffix(end)) + b"\0" * token.endswith(end)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        tokens = [*letters.values(), *(c + end for b, c in letters.items() if b), *(a + b for a, b in pairs)]
+        ranks = {bytes([b]): b for b in range(256)}
+        self.table = np.zeros(len(tokens), "<u4")
+        for k, token in enumerate([letters[b] for b in range(256)] + tokens[256:]):
+            ranks.setdefault(text(token), k)
+            self.table[k] = model["vocab"].get(token, 0)
+        self.ends = np.array([x.endswith(end) for x in tokens])
+        self.ranks = tiktoken.Encoding("ranks", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def _letters(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            got = np.array(self.ranks.encode_ordinary("\0".join(part) + "\0"))
+            ids, first = self.table[got].tobytes(), 0
+            for piece, last in zip(part, ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist(), strict=True):
+                self.pieces[piece] = ids[first:last]
+                first = last
+
+    def _library(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 4096):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        split = [(w, _LETTERS.fullmatch(t := w.decode()), t) for w in fresh]
+        plain = [(w, m[1].lower(), m[2]) for w, m, _ in split if m]
+        self._letters(list({a for _, a, _ in plain if a not in self.pieces}))
+        marks = list({b for *_, b in plain if b not in self.pieces})
+        self.pieces.update(zip(marks, self._library(marks), strict=True))
+        self.known.update((w, self.pieces[a] + self.pieces[b]) for w, a, b in plain)
+        rest = [(w, t) for w, m, t in split if not m]
+        self.known.update(zip([w for w, _ in rest], self._library([t for _, t in rest]), strict=True))
 
     def texts(self, rows: list[bytes]) -> Iterator[bytes]:
         words = [x.split() for x in rows]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {"": b""}
         known = self.known
-        fresh = list({w for x in words for w in x if w not in known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list({w for x in words for w in x if w not in known}))
         for x in words:
             yield b"".join([known[w] for w in x])
 

@@ -44,6 +44,16 @@ def test_plan_is_best_fit_decreasing():
             assert rooms_of_plan(Counter(lengths), capacity) == brute_best_fit(lengths, capacity)
 
 
+def test_words_are_the_library_s():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own, rng = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    parts = ["th", "ER", "tion", "é", "É", "ß", "ñ", "e", "lo", "Wei", "qu", "'s", "'LL", "1", "...", "!!", "|", "<|endoftext|>", "\u0301", "İ", "Σ", "日", "😀", "\xa0", "\x1c", "_"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(5000)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzÀÿ") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + ["", "<|endoftext|>"]
+    for text, got in zip(texts, own.texts([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_pack(spark):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = [None, "", "  ", "Hello, WORLD! it's 2024", "éa <|endoftext|>x", "\x1ca\x85b c", "word " * 5000, "日本語 текст 😀", "dup", "dup", "x" * 9000]
