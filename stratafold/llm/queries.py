@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import bpe, packing, quality, rules, simhash, spotsigs, toxicity, warc
+from stratafold.llm import bpe, lm, packing, quality, rules, simhash, spotsigs, toxicity, warc
 from stratafold.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_bpe": op6_bpe,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_lm": op8_lm,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
