@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafold.llm import bpe, lm, packing, quality, rules, simhash, spotsigs, toxicity, warc
+from stratafold.llm import bpe, lm, packing, quality, rules, simhash, spotsigs, tokencount, toxicity, warc
 from stratafold.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.annotate(docs, rules.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.edited_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(read_table(spark, sf_dir, "pages")))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spotsigs": op1_spotsigs,
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
+        "op4_token_counts": op4_token_counts,
         "op5_warc": op5_warc,
         "op6_bpe": op6_bpe,
         "op7_quality_classifier": op7_quality_classifier,
