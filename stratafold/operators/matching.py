@@ -218,10 +218,11 @@ def score_candidates(folded: DataFrame, gij: DataFrame, longlat: bool = False, f
 
 def _shifted(keyed: DataFrame) -> DataFrame:
     """(candidate, d): nearest point of another fold in the same candidate. Candidates are moved apart, so that one grid serves all."""
-    box = keyed.agg(F.min("x"), F.max("x")).first()
+    box = keyed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    reach = max(float((box[1] or 0) - (box[0] or 0)), float((box[3] or 0) - (box[2] or 0)), 1.0)
     gap = 4 * float((box[1] or 0) - (box[0] or 0) + 1)
     ids = keyed.select(F.xxhash64("id.candidate", "id.id").alias("id"), (F.col("x") + F.col("candidate") * F.lit(gap)).alias("x"), "y", "fold", "candidate", F.col("x").alias("own"))
-    found = nn.nearest(ids.select("id", "x", "y", "fold", "candidate"), ids.select("id", "x", "y", "fold", "candidate"), lambda: (F.col("q_candidate") == F.col("r_candidate")) & (F.col("q_fold") != F.col("r_fold")), ("fold", "candidate"))
+    found = nn.nearest(ids.select("id", "x", "y", "fold", "candidate"), ids.select("id", "x", "y", "fold", "candidate"), lambda: (F.col("q_candidate") == F.col("r_candidate")) & (F.col("q_fold") != F.col("r_fold")), ("fold", "candidate"), reach=reach)
     return found.join(ids.select("id", "candidate"), "id").select("candidate", "d")
 
 

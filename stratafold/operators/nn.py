@@ -29,12 +29,13 @@ def within(a: DataFrame, b: DataFrame, size: float, longlat: bool = False) -> Da
     return pairs.filter(F.col("d2") <= size * size).select("i", "j", F.sqrt("d2").alias("d"))
 
 
-def nearest(queries: DataFrame, refs: DataFrame, allowed: Callable[[], Column] | None = None, extra: tuple[str, ...] = (), longlat: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, allowed: Callable[[], Column] | None = None, extra: tuple[str, ...] = (), longlat: bool = False, reach: float | None = None) -> DataFrame:
     """(id, d, ref): each query's nearest allowed reference, null where none is; equal distances go to the smallest id.
 
     ``queries`` and ``refs`` hold (id, x, y) and the ``extra`` columns, which ``allowed`` compares as q_<name> and r_<name> (q_id and r_id
     too). The grid starts at the references' mean spacing; whatever is found within one cell's width is exact, and queries without it go on to
-    a grid ``GROWTH`` times wider, up to one cell for all. Great-circle distances compare all pairs.
+    a grid ``GROWTH`` times wider, up to one cell for all, or one as wide as ``reach``, beyond which the caller knows of no allowed reference.
+    Great-circle distances compare all pairs.
     """
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", *extra)))
     r = refs.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "x", "y", *extra)))
@@ -48,7 +49,9 @@ def nearest(queries: DataFrame, refs: DataFrame, allowed: Callable[[], Column] |
     if not a[4] or not b[4]:
         return q.select(F.col("q_id").alias("id"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("ref"))
     extent = max(max(a[k + 2], b[k + 2]) - min(a[k], b[k]) for k in (0, 1)) or 1.0
-    width, state, sure = float(extent) / max(1.0, math.sqrt(b[4])), q.withColumn("best", F.lit(None).cast("struct<d2:double,ref:bigint>")), None
+    spacing = math.sqrt(float(b[2] - b[0]) * float(b[3] - b[1]) / b[4]) or float(extent) / b[4]
+    extent = float(extent) if reach is None else min(float(extent), reach)
+    width, state, sure = min(spacing, extent), q.withColumn("best", F.lit(None).cast("struct<d2:double,ref:bigint>")), None
     while True:
         last = width >= extent
         open_ = F.col("best").isNull() if sure is None else F.col("best").isNull() | (F.col("best.d2") > sure * sure)
