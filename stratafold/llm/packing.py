@@ -84,15 +84,24 @@ class WordIds:
             for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        split = [(w, _LETTERS.fullmatch(t := w.decode()), t) for w in fresh]
-        plain = [(w, m[1].lower(), m[2]) for w, m, _ in split if m]
-        self._letters(list({a for _, a, _ in plain if a not in self.pieces}))
-        marks = list({b for *_, b in plain if b not in self.pieces})
-        self.pieces.update(zip(marks, self._library(marks), strict=True))
-        self.known.update((w, self.pieces[a] + self.pieces[b]) for w, a, b in plain)
-        rest = [(w, t) for w, m, t in split if not m]
-        self.known.update(zip([w for w, _ in rest], self._library([t for _, t in rest]), strict=True))
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Flat lists of strings only: tuples by the hundred thousand would set off the garbage collector."""
+        pieces, match = self.pieces, _LETTERS.fullmatch
+        words, letters, marks, rest = [], [], [], []
+        for w in fresh:
+            if m := match(w.decode()):
+                words.append(w)
+                a, b = m.groups()
+                letters.append(a.lower())
+                marks.append(b)
+            else:
+                rest.append(w)
+        self._letters(list(set(letters).difference(pieces)))
+        fresh_marks = list(set(marks).difference(pieces))
+        pieces.update(zip(fresh_marks, self._library(fresh_marks), strict=True))
+        for w, a, b in zip(words, letters, marks, strict=True):
+            self.known[w] = pieces[a] + pieces[b]
+        self.known.update(zip(rest, self._library([w.decode() for w in rest]), strict=True))
 
     def texts(self, rows: list[bytes]) -> Iterator[bytes]:
         words = [x.split() for x in rows]
@@ -101,7 +110,10 @@ class WordIds:
         if len(self.pieces) > CACHED_WORDS:
             self.pieces = {"": b""}
         known = self.known
-        self._learn(list({w for x in words for w in x if w not in known}))
+        fresh: set[bytes] = set()
+        for x in words:
+            fresh.update(set(x).difference(known))
+        self._learn(fresh)
         for x in words:
             yield b"".join([known[w] for w in x])
 
