@@ -17,6 +17,7 @@ Base scores need the count of every word. The ``HEAD_WORDS`` most frequent words
 from __future__ import annotations
 
 import base64
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ DRAW = 20.0
 ROUNDS = 2
 BATCH = 256
 RATE = 0.02
-HEAD_WORDS = 100_000
+HEAD_WORDS = 200_000
 CACHED_WORDS = 300_000
 TREE = 64
 SEED = 8
@@ -67,7 +68,10 @@ class Subwords:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        fresh = list({w for x in split for w in x if w not in known})
+        found: set[bytes] = set()
+        for x in split:
+            found.update(set(x).difference(known))
+        fresh = list(found)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             got = np.array(self.encoding.encode_ordinary(b"".join([b" " + w for w in part]).decode()), np.int64)
@@ -177,7 +181,8 @@ def gradients(params: list[np.ndarray], table: np.ndarray, x: np.ndarray, y: np.
     n, length = x.shape
     rel, open_ = _masks(length, 0)
     q, k, v = q_of[x], k_of[x], v_of[x]
-    s = q @ k.transpose(0, 2, 1) / np.sqrt(DIM) + bias[rel]
+    root = math.sqrt(DIM)  # a Python number, which leaves the arrays' type alone
+    s = q @ k.transpose(0, 2, 1) / root + bias[rel]
     s = np.where(open_, s, -1e9)
     a = np.exp(s - s.max(2, keepdims=True))
     a /= a.sum(2, keepdims=True)
@@ -197,7 +202,7 @@ def gradients(params: list[np.ndarray], table: np.ndarray, x: np.ndarray, y: np.
     dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(2, keepdims=True))
     dbias = np.bincount(rel.ravel(), (ds.sum(0) * open_).ravel(), 2 * SPAN)
-    ds = ds / np.sqrt(DIM)
+    ds = ds / root
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     out = []
     for g in (dq, dk, dv):
@@ -270,7 +275,7 @@ def train_attention(model: Model, rows: DataFrame) -> Model:
     return model
 
 
-def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 1024) -> np.ndarray:
+def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128) -> np.ndarray:
     """log10 probability of each sequence of ids, of which the first stands before it and is not scored."""
     q_of, k_of, v_of, bias, w = model.params
     sizes = np.array([len(s) - 1 for s in sequences])
@@ -288,33 +293,43 @@ def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 1024)
     alone = np.where(np.arange(2 * SPAN) < SPAN, np.float32(-1e9), np.float32(0))
     out = np.empty(total * SPAN, np.float32)
     x, y = x.reshape(total, SPAN), y.reshape(total, SPAN)
-    scale = np.float32(1 / np.sqrt(DIM))
-    for a in range(0, total, blocks):
-        now = x[a : a + blocks]
-        before = x[np.maximum(np.arange(a, a + len(now)) - 1, 0)]
-        seen = np.concatenate([before, now], 1)
-        s = (q_of[now] * scale) @ k_of[seen].transpose(0, 2, 1)
+    queries, ones = q_of * np.float32(1 / np.sqrt(DIM)), np.ones(CLASSES, np.float32)
+    # one set of buffers for all batches: fresh ones would cost more than the arithmetic
+    most = min(blocks, max(total, 1))
+    q, o = np.empty((most, SPAN, DIM), np.float32), np.empty((most, SPAN, DIM), np.float32)
+    k, v = np.empty((most, 2 * SPAN, DIM), np.float32), np.empty((most, 2 * SPAN, DIM), np.float32)
+    s, logits, drift = np.empty((most, SPAN, 2 * SPAN), np.float32), np.empty((most * SPAN, CLASSES), np.float32), np.empty((most * SPAN, CLASSES), np.float32)
+    for a in range(0, total, most):
+        now = x[a : a + most]
+        n = len(now)
+        if n < most:
+            q, o, k, v, s, logits, drift = q[:n], o[:n], k[:n], v[:n], s[:n], logits[: n * SPAN], drift[: n * SPAN]
+        seen = np.concatenate([x[np.maximum(np.arange(a, a + n) - 1, 0)], now], 1)
+        np.take(queries, now, 0, q, "clip")
+        np.take(k_of, seen, 0, k, "clip")
+        np.take(v_of, seen, 0, v, "clip")
+        np.matmul(q, k.transpose(0, 2, 1), s)
         s += bias_of
-        s += np.where(begins[a : a + len(now), None, None], alone, np.float32(0))
-        np.exp(s, out=s)
-        o = s @ v_of[seen]
+        s[begins[a : a + n]] += alone
+        np.exp(s, s)
+        np.matmul(s, v, o)
         o /= s.sum(2, keepdims=True)
-        logits = o.reshape(-1, DIM) @ w
-        row, ids = now.ravel(), y[a : a + len(now)].ravel()
-        logits += model.table[row]
+        row, ids = now.ravel(), y[a : a + n].ravel()
+        np.take(model.table, row, 0, logits, "clip")
+        logits += np.matmul(o.reshape(-1, DIM), w, drift)
         cls = model.classes[ids]
         own = logits[np.arange(len(row)), cls]
-        np.exp(logits, out=logits)
+        np.exp(logits, logits)
         column = model.dense[ids]
         emit = np.where(column >= 0, model.after[row, column], model.loose[row, cls] + model.overall[ids])
-        out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits.sum(1))) / np.float32(np.log(10)) + emit
+        out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ ones)) / np.float32(np.log(10)) + emit
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), out[at].astype(float), len(sizes))
 
 
 def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: dict[bytes, int], whole: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())])))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string()))])
     subwords, row = Subwords(path), TaskContext.get().partitionId() << 36
     logs = {w: float(np.log10(n + 1)) for w, n in head.items() if w}
     end_log = float(np.log10(head[b""] + 1))
@@ -324,11 +339,11 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: dic
         scores = log10_scores(model, [np.frombuffer(end + x + end, "<u2") for x in subwords.rows(split)])
         out = {k: [] for k in ("known", "logs", "rare")}
         for x in split:
-            found = [v for v in map(logs.get, x) if v is not None]
-            rare = Counter(w for w in x if w not in logs) if len(found) < len(x) and not whole else {}
-            out["known"].append(len(found) + (head[b""] > 0))
-            out["logs"].append(sum(found) + end_log)
-            out["rare"].append([{"word": w.decode(), "times": n} for w, n in rare.items()])
+            found = list(map(logs.get, x))
+            rare = [w for w, v in zip(x, found, strict=True) if v is None] if None in found else []
+            out["known"].append(len(x) - len(rare) + (head[b""] > 0))
+            out["logs"].append(sum(v for v in found if v is not None) + end_log if rare else sum(found) + end_log)
+            out["rare"].append([] if whole else [w.decode() for w in rare])
         m = len(split)
         yield batch({"row": range(row, row + m), "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(x) + 1 for x in split], "score": scores, **out}, schema)
         row += m
@@ -379,8 +394,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, head_words: int = HEAD
     whole = len(head) < head_words  # then it holds every word
     head[b""] = tokens - (words.agg(F.sum("c")).first()[0] or 0)  # ends
     marked = docs.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT)
-    scored = settle(marked.mapInArrow(partial(_score, path=path, model=model, head=head, whole=whole), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:string,times:int>>"), "lm-scored")
-    rare = scored.select("row", F.inline("rare")).join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    scored = settle(marked.mapInArrow(partial(_score, path=path, model=model, head=head, whole=whole), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>"), "lm-scored")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     every = F.lit(float(np.log10(tokens + distinct + 1)))
     return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
