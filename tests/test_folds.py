@@ -328,3 +328,10 @@ def test_silence(spark, lattice):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         folds.spatial(lattice, "occ", hexagon=False, rows_cols=(3, 3), selection="systematic", k=3)
+
+
+def test_autocor_bins_the_pairs_of_all_points(spark):
+    n = 5200  # more than a raster's sample
+    x = plane(spark, [(i, float(i), 0.0, i % 2) for i in range(n)])
+    found = scale.spatial_autocor(x, ["occ"])["variograms"]["occ"]
+    assert found.agg({"np": "sum"}).first()[0] == sum(n - d for d in range(1, int(scale.CUTOFF * (n - 1)) + 1))
