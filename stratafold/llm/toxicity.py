@@ -6,7 +6,7 @@ each word beginning of ``PREFIXES`` letters, gets the log-odds of standing in a
 ``LEAST_Z`` or more enter the model; a word takes the entry whose log-odds, a deviation nearer to zero, are
 farthest from it, and a word without entry is neutral.
 
-Scoring: a word's score is its log-odds less ``DRIFT``, so that ordinary text falls; a word counts once a document, so that a stuttered word is no passage. A linear scan finds every maximal
+Scoring: a word's score is its log-odds less ``DRIFT``, so that ordinary text falls; a word next to itself counts once, so that a stuttered word is no passage. A linear scan finds every maximal
 scoring segment (Ruzzo and Tompa, 1999). For segments of ordinary text the highest score of n words follows an extreme-value law,
 P(S >= x) = 1 - exp(-K n exp(-lambda x)) (Karlin and Altschul, 1990), with lambda and K from the sample's clean documents. The r best
 segments have a common p-value (Karlin and Altschul, 1993); a document takes the smallest, and a logistic curve
@@ -117,11 +117,9 @@ class Scorer(dict):
             self.clear()
         words = _WORD.findall(text)
         scores = np.fromiter(map(self.__getitem__, words), float, len(words))
-        seen: set[str] = set()
         for i in np.flatnonzero(scores > 0).tolist():
-            if (word := words[i].lower()) in seen:
+            if i and words[i].lower() == words[i - 1].lower():
                 scores[i] = -DRIFT
-            seen.add(word)
         return maximal_segments(scores), len(words)
 
 

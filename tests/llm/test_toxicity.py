@@ -52,3 +52,12 @@ def test_edges(spark):
     assert toxicity.score(docs.limit(0), empty).count() == 0
     assert toxicity.passages(docs, empty).count() == 0
     assert toxicity.entries("Été") == ["été"] and toxicity.entries("abcdef") == ["abcdef", "abcd*", "abcde*", "abcdef*"]
+
+
+def test_a_second_passage_of_the_same_words_counts():
+    bad = ["vile", "foul", "nasty", "gross"]
+    scorer, one = toxicity.Scorer(toxicity.Model({w: (2.0, 9.0) for w in bad})), 2.0 - toxicity.DRIFT
+    passage, calm = " ".join(bad), "calm " * 60
+    assert [s for *_, s in scorer.scan(f"{passage} {calm} {passage}")[0]] == [4 * one] * 2
+    assert max(s for *_, s in scorer.scan(f" {calm} ".join(bad) + f" {calm} {passage}")[0]) == 4 * one
+    assert max(s for *_, s in scorer.scan("vile " * 50)[0]) == one
