@@ -7,7 +7,7 @@ predicts the class of the next id and then the id in its class:
   ``SPAN`` to ``2 * SPAN`` ids with relative position biases;
 * an id in its class follows its counts after the last id, drawn to its overall share of the class, so that all ids together have probability one.
 
-Counts are sums over all training documents. The attention is trained on a window of every training document: each partition takes Adam steps over
+Counts are sums over all training documents. The attention is trained on every id of every training document, in windows that see what scoring sees: each partition takes Adam steps over
 its windows from common parameters, and the parameters are averaged, ``ROUNDS`` times. Scoring cuts a text into blocks of ``SPAN`` ids that also see the
 block before, so windows overlap and every id is scored once; blocks of many texts form one batch, masked to the past and their own text.
 
@@ -86,7 +86,7 @@ class Subwords:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words (kind 0) and of neighbouring ids (kind 1, key last * 65536 + id), and a window of each document (kind 2)."""
+    """Partial counts of words (kind 0) and of neighbouring ids (kind 1, key last * 65536 + id), and the ids of each document (kind 2)."""
     schema = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     subwords, words, pairs = Subwords(path), Counter(), Counter()
 
@@ -98,7 +98,7 @@ def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     end = np.array([subwords.end], "<u2").tobytes()
     for b in sized(batches, "text", 4 << 20):
-        split, windows = [x.lower().split() for x in utf8(b["text"])], []
+        split = [x.lower().split() for x in utf8(b["text"])]
         for x in split:
             words.update(x)
         ids = [end + x + end for x in subwords.rows(split)]
@@ -107,12 +107,8 @@ def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         ends = np.cumsum([len(x) // 2 for x in ids])[:-1] - 1
         values, n = np.unique(np.delete(key, ends), return_counts=True)
         pairs.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        for doc, x in zip(b["doc_id"].to_pylist(), ids, strict=True):
-            span = len(x) // 2 - 2 * SPAN
-            at = (hash((doc or 0) * 2654435761) % span if span > 0 else 0) * 2
-            windows.append(x[at : at + 4 * SPAN + 2])
-        m = len(windows)
-        yield batch({"kind": [2] * m, "word": [None] * m, "key": [None] * m, "n": [1] * m, "ids": windows}, schema)
+        m = len(ids)
+        yield batch({"kind": [2] * m, "word": [None] * m, "key": [None] * m, "n": [1] * m, "ids": ids}, schema)
         if len(words) > 400_000:
             yield out(words, 0)
         if len(pairs) > 400_000:
@@ -206,12 +202,17 @@ def gradients(params: list[np.ndarray], table: np.ndarray, x: np.ndarray, y: np.
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     out = []
     for g in (dq, dk, dv):
-        t = np.zeros_like(q_of)
-        np.add.at(t, x.ravel(), g.reshape(-1, DIM))
-        out.append(t)
+        g = g.reshape(-1, DIM)
+        out.append(np.stack([np.bincount(x.ravel(), g[:, k], len(q_of)) for k in range(DIM)], 1).astype(q_of.dtype))
     return loss, [*out, dbias.astype(w.dtype), dw]
 
 
+def cut(ids: bytes) -> list[bytes]:
+    """Windows of 2 * SPAN + 1 ids at most, SPAN apart, over a whole text; all but the first one's first SPAN targets are context."""
+    step = 2 * SPAN
+    return [ids[at : at + 2 * step + 2] for at in range(0, max(len(ids) - 2 - step, 1), step)]
+
+
 def windows(rows: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Last rows, next classes and a mask, (windows, 2 * SPAN), from uint16 windows."""
     n, length = len(rows), 2 * SPAN
@@ -220,6 +221,8 @@ def windows(rows: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np
         ids = np.frombuffer(r, "<u2").astype(np.int64)
         m = len(ids) - 1
         x[i, :m], y[i, :m], seen[i, :m] = model.last[ids[:-1]], model.classes[ids[1:]], 1
+        if ids[0] != model.end:  # not the first of its text
+            seen[i, :SPAN] = 0
     return x, y, seen
 
 
@@ -236,16 +239,18 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _steps(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
-    """Adam over this partition's windows; its parameters, weighted by its windows."""
+    """Adam over this partition's windows; its parameters, weighted by its targets."""
     from pyspark import TaskContext
 
     params, t, n = [p.copy() for p in model.params], 0, 0
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for b in batches:
-        rows = b["ids"].to_pylist()
+    for b in sized(batches, "ids", 1 << 20):
+        rows = [w for x in b["ids"].to_pylist() for w in cut(x)]
+        rows = [rows[i] for i in np.random.default_rng(SEED).permutation(len(rows))]
         for at in range(0, len(rows), BATCH):
-            _, grads = gradients(params, model.table, *windows(rows[at : at + BATCH], model))
-            t, n = t + 1, n + len(rows[at : at + BATCH])
+            x, y, seen = windows(rows[at : at + BATCH], model)
+            _, grads = gradients(params, model.table, x, y, seen)
+            t, n = t + 1, n + int(seen.sum())
             rate = RATE / (1 + turn) / (1 + t / 200)
             for p, g, mm, vv in zip(params, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
@@ -259,7 +264,7 @@ def _add(rows: pa.Table) -> pa.Table:
 
 
 def train_attention(model: Model, rows: DataFrame) -> Model:
-    """Local steps and averages over all windows ``rows.ids``."""
+    """Local steps and averages over all texts ``rows.ids``."""
     model.params = model.start()
     parts = rows.rdd.getNumPartitions()
     for turn in range(ROUNDS):

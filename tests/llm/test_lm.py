@@ -104,3 +104,23 @@ def test_table(spark):
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_id_is_a_target_once(spark):
+    m, _, size = toy()
+    for n in (2, 16, 17, 32, 33, 34, 48, 49, 50, 120):
+        ids = np.array([m.end, *np.arange(1, n - 1) % (size - 2), m.end], "<u2")
+        parts = lm.cut(ids.tobytes())
+        _, y, seen = lm.windows(parts, m)
+        got = [c for row, mask in zip(y, seen, strict=True) for c in row[mask > 0]]
+        assert got == m.classes[ids[1:]].tolist()
+    long = spark.createDataFrame([(1, "word " * 1000)], "doc_id long, text string")
+    rows = [r["ids"] for r in long.mapInArrow(lambda b: lm._gather(b, PATH), "kind int, word string, key long, n long, ids binary").filter("kind = 2").collect()]
+    assert sum(int(lm.windows(lm.cut(bytes(x)), m_of(x))[2].sum()) for x in rows) == 1001
+
+
+def m_of(ids):
+    m, _, _ = toy()
+    m.last, m.classes = np.zeros(1 << 16, int), np.zeros(1 << 16, int)
+    m.end = int(np.frombuffer(bytes(ids), "<u2")[0])
+    return m
