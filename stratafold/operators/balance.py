@@ -1,4 +1,4 @@
-"""Assignment of pieces (blocks, groups, clusters) to folds: round robin, and a seeded search for the most even one.
+"""Assignment of pieces (blocks, groups, clusters) to folds by a seeded search for the most even one.
 
 The search is one query. Points are first counted to (piece, class), after which their number no longer matters; the iterations are a key. Each
 iteration deals the pieces by the order of a hash, is scored, and the smallest score of the earliest iteration wins.
@@ -6,15 +6,10 @@ iteration deals the pieces by the order of a hash, is scored, and the smallest s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def round_robin(pieces: DataFrame, k: int, order: list[Column | str]) -> DataFrame:
-    """``pieces`` with fold 1 to k by their order; pieces are few beside points."""
-    return pieces.withColumn("fold", ((F.row_number().over(Window.orderBy(*order)) - 1) % k + 1).cast("int"))
-
-
 def candidates(pieces: DataFrame, n: int, k: int, iterations: int, seed: int = 0) -> DataFrame:
     """(iter, piece, fold) for ``pieces`` numbered 1 to n: whole rounds are dealt evenly, each piece of the rest gets a fold of its own."""
     spark = pieces.sparkSession

@@ -13,6 +13,7 @@ from stratafold.operators import balance
 from stratafold.operators.folds import Folds, _kfold
 from stratafold.operators.response import response
 from stratafold.sources import points as P
+from stratafold.state import settle
 
 
 def scales(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
@@ -55,11 +56,12 @@ def assign(df: DataFrame, centres: list[list[float]]) -> DataFrame:
 
 def cluster(
     x: P.Points, column: str | None = None, r: P.Raster | None = None, k: int = 5, scale: bool = True, raster_cluster: bool = False, num_sample: int = 10_000, spatial_weight: float = 0.0,
-    balance_folds: bool = False, presence_bg: bool = False, k_multiplier: int = 5, iteration: object = 100, seed: int = 0, num_bins: int | None = 4, starts: int = 25,
+    balance_folds: bool = False, presence_bg: bool = False, k_multiplier: int = 5, iteration: object = 100, seed: int = 0, num_bins: int | None = 4, starts: int = 25, centres: list[list[float]] | None = None,
 ) -> Folds:
     """Folds by k-means: on places without ``r``, on its bands with it. The seed rules both clusters and search.
 
-    With balance, min(k * k_multiplier, n) clusters are dealt to k folds by the search; without it each cluster is a fold, empty ones too.
+    With balance, min(k * k_multiplier, n) clusters are dealt to k folds by the search; without it each cluster is a fold, empty ones too. Given ``centres``, in the
+    space that is clustered, are clusters as they are: points go to the nearest, and no search for centres is made.
     """
     column = P.check_column(x.df, column)
     P.presences(x.df, column, presence_bg)
@@ -86,15 +88,21 @@ def cluster(
     n = x.df.count()
     P.check_count(k, n)
     many = min(k * k_multiplier, n) if balance_folds else k
-    model = kmeans(train.select(array_to_vector("features").alias("features")), many, starts, seed=seed)
-    labels = model.transform(df.select("id", array_to_vector("features").alias("features"))).select("id", (F.col("prediction") + 1).alias("cluster"))
+    if centres is not None:
+        if len(centres) != many:
+            raise ValueError(f"{many} centres are needed, not {len(centres)}")
+        labels = assign(df.select("id", "features"), centres).select("id", "cluster")
+    else:
+        model = kmeans(train.select(array_to_vector("features").alias("features")), many, starts, seed=seed)
+        labels = model.transform(df.select("id", array_to_vector("features").alias("features"))).select("id", (F.col("prediction") + 1).alias("cluster"))
     res = response(x.df, column, num_bins)
+    own = {"column": column, "presence_bg": presence_bg}
     kind = "Environmental Cluster" if r is not None else "Spatial Cluster"
     if not balance_folds:
-        return _kfold("cluster", x, labels.select("id", F.col("cluster").alias("fold")), res, k, {"type": kind})
-    labels = labels.persist()
+        return _kfold("cluster", x, labels.select("id", F.col("cluster").alias("fold")), res, k, {"type": kind, **own})
+    labels = settle(labels, "clusters")
     used = labels.select("cluster").distinct().orderBy("cluster").collect()
     number = F.create_map(*(v for i, row in enumerate(used) for v in (F.lit(row[0]), F.lit(i + 1))))
     dense = labels.withColumn("piece", number[F.col("cluster")])
     won = balance.balanced(res.df.select("id", "cls").join(dense, "id"), "piece", res.classes, k, P.iterations(iteration), seed, presence_bg, len(used))
-    return _kfold("cluster", x, dense.join(won, "piece").select("id", "fold"), res, k, {"type": kind, "clusters": len(used)})
+    return _kfold("cluster", x, dense.join(won, "piece").select("id", "fold"), res, k, {"type": kind, "clusters": len(used), **own})

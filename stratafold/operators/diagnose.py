@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.functions.stats import ecdf_grid, signif, wasserstein
-from stratafold.operators import nn
-from stratafold.operators.cluster import standard
-from stratafold.operators.folds import Folds
+from stratafold.functions.stats import ecdf_grid, hash_rank, running, signif, wasserstein
+from stratafold.operators import local, nn
+from stratafold.operators.cluster import scales, standard
+from stratafold.operators.folds import Folds, check_folds, check_matches
 from stratafold.sources import points as P
+from stratafold.state import settle
 
 
 @dataclass
@@ -25,18 +27,38 @@ class Report:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def describe(self, cap: int = 12) -> str:
+        """The text that printing shows: parameters, and up to ``cap`` rows of each small table."""
+        lines = [f"{a}: {b}" for a, b in self.params.items()]
+        for name in ("distances", "W", "extrapolation", "overall", "records", "warnings"):
+            if name in self.tables:
+                rows = self.tables[name].limit(cap + 1).collect()
+                lines += [name, *(f"  {r.asDict()}" for r in rows[:cap]), *(["  ... more rows"] if len(rows) > cap else [])]
+        return "\n".join(lines)
 
-def test_to_train(folds: Folds, points: DataFrame) -> DataFrame:
-    """(fold, id, d): each test point's nearest training point in its fold."""
+    __str__ = describe
+
+
+def test_to_train(folds: Folds, points: DataFrame, features: bool = False) -> DataFrame:
+    """(fold, id, d): each test point's nearest training point in its fold, among ``points`` (id, x, y, or features)."""
+    longlat = folds.points.longlat
     if not folds.loo:
         table = points.join(folds.table.filter("fold is not null"), "id")
-        return nn.across_folds(table.select("id", "x", "y", "fold")).join(table.select("id", "fold"), "id").select("fold", "id", "d")
-    held = folds.extra["held"]
+        near = nn.in_features(table, table, "fold") if features else nn.across_folds(table, longlat)
+        return near.join(table.select("id", "fold"), "id").select("fold", "id", "d")
     tests = folds.table.select("fold", "id").join(points, "id")
-    pairs = tests.select("fold", "id", "x", "y").join(points.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry")), F.lit(True))
-    open_ = pairs.join(held.select("fold", F.col("id").alias("r_id")), ["fold", "r_id"], "left_anti")
-    d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-    return open_.groupBy("fold", "id").agg(F.sqrt(F.min(d2.cast("double"))).alias("d"))
+    if features:  # training is the points that are not held: pairs within the exclusion, few beside all
+        return _features_unheld(tests, points, folds.extra["held"])
+    asked = tests.join(folds.extra["exclusion"].select("fold", F.col("exclusion_distance").alias("beyond")), "fold")
+    # a fold's training is what lies farther from its target than the exclusion; tests that are not targets are backgrounds, which are not compared
+    near = nn.nearest(asked.filter("fold = id"), points, beyond="beyond", longlat=longlat).filter("d is not null")
+    return near.select(F.col("id").alias("fold"), "id", "d")
+
+
+def _features_unheld(tests: DataFrame, points: DataFrame, held: DataFrame) -> DataFrame:
+    """(fold, id, d) for leave-one-out folds in feature space: queries carry the ids that are not in their training."""
+    out = held.groupBy("fold").agg(F.collect_list("id").alias("out"))
+    return nn.in_features(tests.join(out, "fold", "left").drop("fold"), points, unheld="out").join(tests.select("id", "fold"), "id").select("fold", "id", "d")
 
 
 def distance_table(star: DataFrame, median: DataFrame) -> DataFrame:
@@ -50,50 +72,119 @@ def distance_table(star: DataFrame, median: DataFrame) -> DataFrame:
 def random_folds(points: DataFrame, k: int, draws: int, seed: int = 0) -> DataFrame:
     """(draw, id, fold): ``draws`` shuffles of balanced labels, each by the order of a hash."""
     many = points.select("id").crossJoin(F.broadcast(points.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"))))
-    by = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "draw", "id")))
-    return many.withColumn("fold", ((F.row_number().over(by) - 1) % k + 1).cast("int"))
+    return hash_rank(many, ["draw"], seed, "draw", "id").select("draw", "id", ((F.col("rank") - 1) % k + 1).cast("int").alias("fold"))
+
+
+def feature_table(df: DataFrame, r: P.Raster, scale: dict[str, tuple[float, float]] | None) -> DataFrame:
+    """``df`` (id, ...) with ``features``: its raster values, scaled by moments; rows without a value are dropped."""
+    arr = F.array(*((standard(b, scale, unit=True) if scale else F.col(b).cast("double")) for b in r.bands))
+    return r.extract(df).dropna(subset=r.bands).withColumn("features", arr).drop(*r.bands)
 
 
-def distances(folds: Folds, pred: DataFrame, num_random: int = 10, add_random: bool = True, seed: int = 0) -> Report:
+def distances(
+    folds: Folds, pred: P.Points | DataFrame | None = None, num_random: int = 10, add_random: bool = True, seed: int = 0, space: str = "geographical", r: P.Raster | None = None, model_domain: list[tuple[float, float]] | None = None,
+    num_sample: int = 10_000, sampling: str = "regular", scale: bool = True, x: P.Points | None = None,
+) -> Report:
     """Nearest distances from prediction places (gij), between points (gj) and from test to training (star), with their Wasserstein distances to gij.
 
-    ``random`` is the mean over ``num_random`` shuffles into k folds; leave-one-out folds have none. Presence-background folds compare presences alone.
+    Prediction places are ``pred``, or a sample of ``model_domain`` or of ``r``. ``Random`` is the mean over ``num_random`` shuffles into k folds, whose curves'
+    mean and 10 to 90 per cent band are ``random_ecdf``; leave-one-out folds have none. Presence-background folds compare presences alone. In
+    feature space distances are between scaled values of the raster ``r``.
     """
-    points = folds.points.df.select("id", "x", "y")
-    if folds.params.get("presence_bg"):
-        points = points.join(folds.extra["targets"].select(F.col("fold").alias("id")), "id")
-    longlat = folds.points.longlat
-    gij, gj, star = nn.nearest(pred.select("id", "x", "y"), points, longlat=longlat), nn.loo(points, longlat), test_to_train(folds, points)
+    check_folds(folds)
+    folds.points.require_crs()
+    if x is not None:
+        check_matches(folds, x)
+    if space not in ("geographical", "feature"):
+        raise ValueError(f"unknown space {space!r}")
+    if space == "feature" and r is None:
+        raise ValueError("distances in feature space need the raster r")
+    places = P.prediction_points(folds.points.df.sparkSession, pred, model_domain, r, num_sample, sampling, seed, folds.points)
+    points, longlat = folds.compared().df.select("id", "x", "y"), folds.points.longlat
+    if space == "feature":
+        got = r.extract(points)
+        if got.filter(" or ".join(f"`{b}` is null" for b in r.bands)).limit(1).count():
+            raise ValueError("some points have no raster value")
+        moments = scales(got, r.bands) if scale else None
+        points, places = settle(feature_table(points, r, moments), "features"), feature_table(places, r, moments)
+        gij, gj, star = nn.in_features(places, points), nn.in_features(points, points, "id"), test_to_train(folds, points, True)
+    else:
+        gij, gj, star = nn.nearest(places, points, longlat=longlat), nn.loo(points, longlat), test_to_train(folds, points)
+    gij, gj, star = (settle(df, name) for df, name in ((gij.select("id", "d"), "gij"), (gj.select("id", "d"), "gj"), (star, "star")))
     median = gij.agg(F.percentile("d", F.lit(0.5)).alias("m"))
     w = wasserstein(star, gij).select(F.lit("CV").alias("curve"), "w").unionByName(wasserstein(gj, gij).select(F.lit("LOO").alias("curve"), "w"))
     curves = star.select(F.lit("CV").alias("curve"), "d").unionByName(gij.select(F.lit("Prediction").alias("curve"), "d")).unionByName(gj.select(F.lit("LOO").alias("curve"), "d"))
+    tables = {}
     if add_random and not folds.loo:
-        from stratafold.operators.matching import score_candidates
+        drawn = random_folds(points, folds.k, max(1, num_random), seed).join(points, "id").withColumnRenamed("draw", "candidate")
+        near = settle(nearest_apart(drawn, longlat, space == "feature"), "random")
+        w = w.unionByName(score_distances(near, gij).agg(F.avg("w").alias("w")).select(F.lit("Random").alias("curve"), "w"))
+        grid = ecdf_grid(near.select(F.concat(F.lit("draw "), F.col("candidate").cast("string")).alias("curve"), "d").unionByName(curves)).filter(F.col("curve").startswith("draw "))
+        tables["random_ecdf"] = grid.groupBy("r").agg(F.avg("f").alias("mean"), F.percentile("f", F.lit(0.1)).alias("low"), F.percentile("f", F.lit(0.9)).alias("high"))
+    return Report({"gij": gij, "gj": gj, "star": star, "distances": distance_table(star, median), "W": w, "ecdf": ecdf_grid(curves), **tables}, {"k": folds.k, "space": space, "presence_bg": bool(folds.params.get("presence_bg"))})
+
+
+def nearest_apart(folded: DataFrame, longlat: bool = False, features: bool = False) -> DataFrame:
+    """(candidate, id, d): each point's nearest point of another fold in the same candidate."""
+    near = nn.in_features(folded, folded, "fold", "candidate") if features else nn.nearest(folded, folded, "fold", "candidate", longlat=longlat)
+    return near.select("candidate", "id", "d")
+
+
+def score_distances(near: DataFrame, gij: DataFrame) -> DataFrame:
+    """(candidate, w): the Wasserstein distance of each candidate's distances (candidate, d) from ``gij`` (d).
+
+    Candidates, some hundreds at most, are sent to the distinct values of ``gij``, not the other way round.
+    """
+    mine = near.filter("d is not null").groupBy("candidate", F.col("d").alias("v")).agg(F.count("*").alias("na"))
+    theirs = gij.filter("d is not null").groupBy(F.col("d").alias("v")).agg(F.count("*").alias("nb")).crossJoin(F.broadcast(near.select("candidate").distinct()))
+    both = mine.withColumn("nb", F.lit(0).cast("long")).unionByName(theirs.withColumn("na", F.lit(0).cast("long"))).groupBy("candidate", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    steps = running(both, ["candidate"], "v", ["na", "nb"])
+    gap = F.abs(F.col("cum_na") / F.col("all_na") - F.col("cum_nb") / F.col("all_nb")) * (F.col("next") - F.col("v"))
+    return steps.groupBy("candidate").agg(F.coalesce(F.sum(gap), F.lit(0.0)).alias("w"))
 
-        drawn = random_folds(points, folds.k, num_random, seed).join(points, "id").withColumnRenamed("draw", "candidate")
-        w = w.unionByName(score_candidates(drawn, gij, longlat).agg(F.avg("w").alias("w")).select(F.lit("Random").alias("curve"), "w"))
-    return Report({"gij": gij, "gj": gj, "star": star, "distances": distance_table(star, median), "W": w, "ecdf": ecdf_grid(curves)}, {"k": folds.k})
+
+def _melted(values: DataFrame, bands: list[str], *keep: str) -> DataFrame:
+    pairs = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands)))
+    return values.select(*keep, pairs.alias("p")).select(*keep, "p.band", "p.v").filter("v is not null")
 
 
-def mess(values: DataFrame, bands: list[str], folds: int | None = None) -> DataFrame:
+def mess(values: DataFrame, bands: list[str]) -> DataFrame:
     """(id, fold, band, mess) of k folds: ``values`` holds (id, fold, bands); each point against the training values of its own fold.
 
     Training counts at or below a value are those of all points less those of the own fold, so nothing is repeated for each fold. Bands without spread
     in training, and missing values, give null.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands)))
-    long = values.select("id", "fold", pairs.alias("p")).select("id", "fold", "p.band", "p.v").filter("v is not null and fold is not null")
+    long = settle(_melted(values, bands, "id", "fold").filter("fold is not null"), "bands")
     counts = long.groupBy("band", "fold", "v").agg(F.count("*").alias("n"))
-    by_value = counts.groupBy("band", "v").agg(F.sum("n").alias("n"))
-    all_below = by_value.withColumn("c_all", F.sum("n").over(Window.partitionBy("band").orderBy("v"))).select("band", "v", "c_all")
-    own_below = counts.withColumn("c_own", F.sum("n").over(Window.partitionBy("band", "fold").orderBy("v"))).select("band", "fold", "v", "c_own")
+    all_below = running(counts.groupBy("band", "v").agg(F.sum("n").alias("n")), ["band"], "v", ["n"]).select("band", "v", F.col("cum_n").alias("c_all"))
+    own_below = running(counts, ["band", "fold"], "v", ["n"]).select("band", "fold", "v", F.col("cum_n").alias("c_own"))
     edge = counts.groupBy("band", "fold").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     a, b = edge.alias("a"), edge.alias("b")
     train = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.fold") != F.col("b.fold"))).groupBy("a.band", "a.fold").agg(F.sum("b.n").alias("n"), F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi"))
-    joined = long.join(all_below, ["band", "v"]).join(own_below, ["band", "fold", "v"]).join(F.broadcast(train), ["band", "fold"])
+    joined = long.join(all_below, ["band", "v"]).join(own_below, ["band", "fold", "v"]).join(train, ["band", "fold"])
     return joined.select("id", "fold", "band", mess_value(F.col("v"), (F.col("c_all") - F.col("c_own")) * 100 / F.col("n"), F.col("lo"), F.col("hi")).alias("mess"))
 
 
+def mess_loo(values: DataFrame, tests: DataFrame, held: DataFrame, bands: list[str]) -> DataFrame:
+    """The same for leave-one-out folds: ``values`` (id, bands), ``tests`` and ``held`` (fold, id), where training is all points not held.
+
+    Counts are those of all points less the held ones. The training's least value is that after the run of values, from the least on, that are held whole; the
+    largest likewise from the other end. So the work follows the held pairs and not points times folds.
+    """
+    long = settle(_melted(values, bands, "id"), "bands")
+    by_value = settle(running(long.groupBy("band", "v").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)), ["band"], "v", ["n", "one"]).select("band", "v", "n", F.col("cum_n").alias("c_all"), F.col("all_n").alias("total"), F.col("cum_one").alias("rank"), F.col("all_one").alias("ranks")), "by-value")
+    asked = tests.select("fold", "id").join(long, "id").join(by_value.select("band", "v", "c_all", "total", "ranks"), ["band", "v"])
+    out = settle(held.select("fold", "id").join(long, "id").groupBy("fold", "band", "v").agg(F.count("*").alias("h")).join(by_value.select("band", "v", "n", "rank", "ranks"), ["band", "v"]), "held-values")
+    low, high = Window.partitionBy("fold", "band").orderBy("rank"), Window.partitionBy("fold", "band").orderBy(F.desc("rank"))  # over one fold's held values
+    runs = out.filter("h = n").select("fold", "band", (F.col("rank") == F.row_number().over(low)).cast("int").alias("lo"), (F.col("ranks") + 1 - F.col("rank") == F.row_number().over(high)).cast("int").alias("hi")).groupBy("fold", "band").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    gone = out.select("fold", "band", F.col("v").alias("hv"), "h")
+    below = asked.join(gone, ["fold", "band"], "left").groupBy("fold", "id", "band", "v", "c_all", "total", "ranks").agg(F.coalesce(F.sum(F.when(F.col("hv") <= F.col("v"), F.col("h"))), F.lit(0)).alias("h_below"), F.coalesce(F.sum("h"), F.lit(0)).alias("h_all"))
+    ends = below.join(runs, ["fold", "band"], "left").withColumn("lo_rank", 1 + F.coalesce("lo", F.lit(0))).withColumn("hi_rank", F.col("ranks") - F.coalesce("hi", F.lit(0))).drop("lo", "hi")
+    at = lambda n: by_value.select("band", F.col("rank").alias(f"{n}_rank"), F.col("v").alias(n))
+    full = ends.filter("total > h_all").join(at("lo"), ["band", "lo_rank"]).join(at("hi"), ["band", "hi_rank"])
+    return full.select("id", "fold", "band", mess_value(F.col("v"), (F.col("c_all") - F.col("h_below")) * 100 / (F.col("total") - F.col("h_all")), F.col("lo"), F.col("hi")).alias("mess"))
+
+
 def mess_value(p: Column, f: Column, lo: Column, hi: Column) -> Column:
     """Similarity of a value to a reference whose share ``f`` (per cent) lies at or below it; negative outside the reference's range."""
     inner = F.when(f <= 50, 2 * f).otherwise(200 - 2 * f)
@@ -110,23 +201,50 @@ def mess_points(by_band: DataFrame) -> DataFrame:
 def metric_similarity(values: DataFrame, sample: DataFrame, bands: list[str], scale: dict[str, tuple[float, float]], kind: str = "L1") -> DataFrame:
     """(id, fold, value): the sample's mean distance to its nearest point, less each test point's distance to its nearest training point.
 
-    All is scaled by the sample's moments. In k folds training and test together are all points, so the baseline is made once. The points are sent
-    to every task in ``nn.in_features``: callers bound their number.
+    All is scaled by the sample's moments. In k folds training and test together are all points, so the baseline is made once.
     """
-    arr = F.array(*(standard(b, scale) for b in bands))
-    ready = values.dropna(subset=bands).filter("fold is not null").select("id", "fold", arr.alias("features"))
-    base = nn.in_features(sample.dropna(subset=bands).select("id", arr.alias("features")), ready.select("id", "features"), kind=kind).agg(F.avg("d").alias("base"))
-    near = nn.in_features(ready, ready.select("id", "fold", "features"), F.col("q_fold") != F.col("r_fold"), kind)
+    arr = F.array(*(standard(b, scale, unit=True) for b in bands))
+    ready = settle(values.dropna(subset=bands).filter("fold is not null").select("id", "fold", arr.alias("features")), "scaled")
+    base = nn.in_features(sample.dropna(subset=bands).select("id", arr.alias("features")), ready, kind=kind).agg(F.avg("d").alias("base"))
+    near = nn.in_features(ready, ready, "fold", kind=kind)
     return near.join(ready.select("id", "fold"), "id").crossJoin(F.broadcast(base)).select("id", "fold", (F.col("base") - F.col("d")).alias("value"))
 
 
+def metric_similarity_loo(values: DataFrame, tests: DataFrame, held: DataFrame, sample: DataFrame, bands: list[str], scale: dict[str, tuple[float, float]], kind: str = "L1", limit: int = 20_000) -> DataFrame:
+    """The same for leave-one-out folds, each of which has a baseline of its own: the points that are neither training nor test are left out of it.
+
+    A sample point's nearest point serves all folds but those that leave it out; only these look at the next one. Tasks take parts of the sample and hold the
+    points and the pairs that are left out, so points are ``limit`` at most.
+    """
+    arr = F.array(*(standard(b, scale, unit=True) for b in bands))
+    ready = values.dropna(subset=bands).select("id", arr.alias("features"))
+    rows = ready.orderBy("id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{kind} for leave-one-out folds takes {limit} points at most")
+    spark = values.sparkSession
+    at, feats = {r["id"]: k for k, r in enumerate(rows)}, np.array([r["features"] for r in rows], float).reshape(len(rows), len(bands))
+    tested = tests.select("fold", "id").join(ready.select("id"), "id").toPandas()
+    names = np.sort(tested["fold"].unique())
+    out = held.select("fold", "id").join(ready.select("id"), "id", "left_semi").filter(F.col("fold").isin(*names.tolist()) if len(names) < 1000 else F.lit(True)).toPandas()
+    out = out[out["fold"].isin(names)]
+    fold_of, point_of = np.searchsorted(names, out["fold"].to_numpy()), np.array([at[i] for i in out["id"]], np.int64)
+    kernel = local.LeftOut(feats, fold_of, point_of, np.searchsorted(names, tested["fold"].to_numpy()), np.array([at[i] for i in tested["id"]], np.int64), len(names), kind)
+    sums = sample.dropna(subset=bands).select(arr.alias("features")).mapInPandas(kernel.baselines, "fold int, total double, n long").groupBy("fold").agg((F.sum("total") / F.sum("n")).alias("base"))
+    asked = tests.select("fold", "id").join(ready, "id").join(spark.createDataFrame([(int(f), k) for k, f in enumerate(names)], "fold long, __k int"), "fold")
+    near = asked.mapInPandas(kernel.nearest, "fold long, id long, k int, d double").filter("d is not null and not isnan(d)")
+    return near.join(sums.withColumnRenamed("fold", "k"), "k").select("id", "fold", (F.col("base") - F.col("d")).alias("value"))
+
+
 def extrapolation(values: DataFrame, limiting: bool = False) -> DataFrame:
-    """(fold, n_test, pct_novel, min, median[, limiting_var]): how much of each test set lies outside its training; null values do not count."""
+    """(fold, n_test, pct_novel, min, median[, limiting_var]): how much of each test set lies outside its training; null values do not count.
+
+    limiting_var is the band that most of the novel points are least similar in, by name on ties; null without novel points.
+    """
     ok = values.filter("value is not null and not isnan(value)")
     table = ok.groupBy("fold").agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("value") < 0).cast("double")) * 100, 1).alias("pct_novel"), F.round(F.min("value"), 2).alias("min"), F.round(F.percentile("value", F.lit(0.5)), 2).alias("median"))
     if not limiting:
         return table
-    counts = ok.groupBy("fold", "limiting").agg(F.count("*").alias("n")).groupBy("fold").agg(F.min(F.struct((-F.col("n")).alias("n"), "limiting"))["limiting"].alias("limiting_var"))
+    counts = ok.filter("value < 0").groupBy("fold", "limiting").agg(F.count("*").alias("n")).groupBy("fold").agg(F.min(F.struct((-F.col("n")).alias("n"), "limiting"))["limiting"].alias("limiting_var"))
     return table.join(counts, "fold", "left")
 
 
@@ -134,32 +252,39 @@ def overall_novelty(values: DataFrame) -> DataFrame:
     return values.filter("value is not null and not isnan(value)").agg(F.round(F.avg((F.col("value") < 0).cast("double")) * 100, 1).alias("pct_novel"))
 
 
-def similarity(folds: Folds, r: P.Raster, method: str = "MESS", num_sample: int = 10_000, seed: int = 0, limit: int = 100_000) -> Report:
-    """Environmental similarity of test to training values of a raster's bands: MESS, L1 or L2; for k folds.
+def similarity(folds: Folds, r: P.Raster, method: str = "MESS", num_sample: int = 10_000, seed: int = 0, num_plots: list[int] | None = None, x: P.Points | None = None) -> Report:
+    """Environmental similarity of test to training values of a raster's bands: MESS, L1 or L2.
 
-    L1 and L2 send all points to every task, so they take ``limit`` points at most.
+    Tables: ``values`` (id, fold, value[, limiting]), ``map`` with places, ``extrapolation`` by fold, ``overall``. ``num_plots`` names the folds to look at, all
+    without it. Presence-background folds compare presences alone.
     """
+    check_folds(folds)
+    method = method.upper()
+    if method not in ("MESS", "L1", "L2"):
+        raise ValueError(f"unknown method {method!r}")
+    if x is not None:
+        check_matches(folds, x)
     r.check_numeric()
-    if folds.loo:
-        values = r.extract(folds.points.df.select("id", "x", "y"))
-        table = folds.extra["targets"].select(F.col("fold").alias("id"), "fold").join(values, "id")
-        train = folds.folds_list().filter("role = 'train'").select("fold", "id").join(values, "id")
-        pairs = lambda df: df.select("id", "fold", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in r.bands))).alias("p")).select("id", "fold", "p.band", "p.v").filter("v is not null")
-        ref = pairs(train).select("fold", "band", F.col("v").alias("t"))
-        per = pairs(table).join(ref, ["fold", "band"]).groupBy("id", "fold", "band", "v").agg((F.count_if(F.col("t") <= F.col("v")) * 100 / F.count("*")).alias("f"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-        values = mess_points(per.select("id", "fold", "band", mess_value(F.col("v"), F.col("f"), F.col("lo"), F.col("hi")).alias("mess")))
-        return Report({"values": values, "extrapolation": extrapolation(values, True), "overall": overall_novelty(values)}, {"method": "MESS"})
-    values = r.extract(folds.points.df.select("id", "x", "y")).join(folds.table, "id")
+    if not r.contains(folds.points):
+        raise ValueError("the points are not within the raster")
+    places = folds.compared().df.select("id", "x", "y")
+    values = settle(r.extract(places).drop("x", "y"), "extracted")
+    tests = folds.table.filter("fold is not null").select("fold", "id")
+    if num_plots is not None:
+        tests = tests.filter(F.col("fold").isin([p for p in num_plots]))
+        if not tests.limit(1).count():
+            raise ValueError("num_plots holds none of the folds")
     if method == "MESS":
-        per = mess_points(mess(values, r.bands))
-        return Report({"values": per, "extrapolation": extrapolation(per, True), "overall": overall_novelty(per)}, {"method": method})
-    if folds.points.df.count() > limit:
-        raise ValueError(f"{method} compares every point with all others and takes {limit} points at most")
-    from stratafold.operators.cluster import scales
-
-    sample = r.random_sample(r.clamp(num_sample), seed).withColumn("id", F.col("row").cast("long") * r.ncol + F.col("col"))
-    per = metric_similarity(values, sample, r.bands, scales(sample, r.bands), method)
-    return Report({"values": per, "extrapolation": extrapolation(per), "overall": overall_novelty(per)}, {"method": method})
+        by_band = mess_loo(values, tests, folds.extra["held"], r.bands) if folds.loo else mess(values.join(folds.table, "id"), r.bands)
+        per = mess_points(by_band)
+    else:
+        sample = r.numbered_sample(num_sample, seed)
+        moments = scales(sample, r.bands)
+        per = metric_similarity_loo(values, tests, folds.extra["held"], sample, r.bands, moments, method) if folds.loo else metric_similarity(values.join(folds.table, "id"), sample, r.bands, moments, method)
+    if num_plots is not None and not folds.loo:
+        per = per.join(tests, ["fold", "id"], "left_semi")
+    per = settle(per, "similarity")
+    return Report({"values": per, "map": per.join(places, "id"), "extrapolation": extrapolation(per, method == "MESS"), "overall": overall_novelty(per)}, {"method": method, "presence_bg": bool(folds.params.get("presence_bg"))})
 
 
 def fold_warnings(rec: DataFrame, classes: list[str], k: int, loo: bool = False, dist: DataFrame | None = None, min_test: int = 5) -> DataFrame:
@@ -195,8 +320,9 @@ def fold_warnings(rec: DataFrame, classes: list[str], k: int, loo: bool = False,
     return out.orderBy("fold", "type")
 
 
-def summary(folds: Folds, pred: DataFrame | None = None, r: P.Raster | None = None, min_test: int = 5) -> Report:
+def summary(folds: Folds, pred: P.Points | DataFrame | None = None, r: P.Raster | None = None, min_test: int = 5) -> Report:
     """Records, warnings, and where their inputs are given distances and novelty."""
+    check_folds(folds)
     tables = {"records": folds.records}
     dist = None
     if pred is not None:

@@ -14,9 +14,9 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.functions.geometry import distance, hex_centre, hexagon, in_polygon, square_cell
+from stratafold.functions.geometry import diagonal, distance, hex_centre, hexagon, in_polygon, square_cell
 from stratafold.operators import balance, nn
-from stratafold.operators.response import Response, loo_summary, records, records_of_roles, response
+from stratafold.operators.response import Response, loo_summary, records, response
 from stratafold.sources import points as P
 
 
@@ -37,6 +37,13 @@ class Folds:
     def loo(self) -> bool:
         return self.kind in ("buffer", "nndm")
 
+    def compared(self) -> P.Points:
+        """The points that diagnostics compare: presences alone for presence-background folds, else all."""
+        column = self.params.get("column")
+        if self.params.get("presence_bg") and column in self.points.df.columns:
+            return self.points.with_df(self.points.df.filter(F.col(column) == 1))
+        return self.points
+
     def folds_list(self) -> DataFrame:
         """(fold, id, role) with every training row: k times the points, or their square for leave-one-out folds."""
         if not self.loo:
@@ -175,11 +182,10 @@ def spatial(
     column = P.check_column(x.df, column)
     P.presences(x.df, column, presence_bg)
     x = x.guess_crs()
-    res = response(x.df, column, num_bins)
+    res, own = response(x.df, column, num_bins), {"column": column, "presence_bg": presence_bg}
     if user_blocks is not None:
         extra_cols = [folds_column] if folds_column else []
-        blocks = user_blocks.select("block_id", "ring", *extra_cols).withColumn("x0", F.array_min(F.transform("ring", lambda p: p["x"]))).withColumn("x1", F.array_max(F.transform("ring", lambda p: p["x"])))
-        hit = x.df.select("id", "x", "y").join(F.broadcast(blocks), F.col("x").between(F.col("x0"), F.col("x1")) & in_polygon("x", "y", "ring"))
+        hit = in_polygons(x.df.select("id", "x", "y"), user_blocks.select("block_id", "ring", *extra_cols))
         keyed = hit.groupBy("id").agg(F.min(F.struct(F.col("block_id").alias("key"), *extra_cols)).alias("b")).select("id", "b.*")
         order = ["key"]
     else:
@@ -190,10 +196,10 @@ def spatial(
         order = ["key"]
     if selection == "checkerboard":
         table = keyed.select("id", ((F.col("row") + F.col("col") + 1) % 2 + 1).alias("fold"))
-        return _kfold("spatial", x, table, res, k, {"selection": selection, "size": size}, {"blocks": keyed})
+        return _kfold("spatial", x, table, res, k, {"selection": selection, "size": size, **own}, {"blocks": keyed})
     if selection == "predefined":
         table = keyed.select("id", F.col(folds_column).cast("int").alias("fold"))
-        return _kfold("spatial", x, table, res, k, {"selection": selection}, {"blocks": keyed})
+        return _kfold("spatial", x, table, res, k, {"selection": selection, **own}, {"blocks": keyed})
     occupied = keyed.select("key").distinct()
     if hexagon and user_blocks is None:
         _, cy = hex_centre(F.col("key.row"), F.col("key.col"), grid.xmin, grid.ymin, grid.width, flat_top)
@@ -208,7 +214,24 @@ def spatial(
         tagged = res.df.select("id", "cls").join(blocks, "id")
         won = balance.balanced(tagged, "block_id", res.classes, k, P.iterations(iteration) if balance_folds else 1, seed, presence_bg, n)
         table = blocks.join(won.withColumnRenamed("piece", "block_id"), "block_id")
-    return _kfold("spatial", x, table, res, k, {"selection": selection, "size": size, "blocks": n}, {"blocks": blocks})
+    return _kfold("spatial", x, table, res, k, {"selection": selection, "size": size, "blocks": n, **own}, {"blocks": blocks})
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, most_cells: int = 64) -> DataFrame:
+    """``points`` (id, x, y) beside the ``polygons`` (ring, ...) that hold them, edges included.
+
+    Both meet in grid cells as wide as an average polygon, or the widest over ``most_cells``: an equi-join, whatever the number of polygons.
+    """
+    side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    boxed = polygons.select("*", side(F.array_min, "x").alias("__x0"), side(F.array_max, "x").alias("__x1"), side(F.array_min, "y").alias("__y0"), side(F.array_max, "y").alias("__y1"))
+    wide = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")).cast("double")
+    mean, most = boxed.agg(F.avg(wide), F.max(wide)).first()
+    width = F.lit(max(mean or 0.0, (most or 0.0) / most_cells) or 1.0)
+    cell = lambda c: F.floor(F.col(c) / width)
+    spread = boxed.withColumn("__gx", F.explode(F.sequence(cell("__x0"), cell("__x1")))).withColumn("__gy", F.explode(F.sequence(cell("__y0"), cell("__y1"))))
+    placed = points.withColumn("__gx", cell("x")).withColumn("__gy", cell("y"))
+    near = placed.join(spread, ["__gx", "__gy"]).filter(F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1")) & in_polygon("x", "y", "ring"))
+    return near.drop("__gx", "__gy", "__x0", "__x1", "__y0", "__y1")
 
 
 def group(x: P.Points, group_col: str, column: str | None = None, k: int | None = None, balance_folds: bool = False, iteration: object = 100, seed: int = 0, num_bins: int | None = 4) -> Folds:
@@ -257,26 +280,32 @@ def buffer(x: P.Points, size: float, column: str | None = None, presence_bg: boo
     tests = targets.select(F.col("id").alias("fold"), "id")
     if presence_bg and add_bg:
         tests = tests.unionByName(held.join(x.df.filter(F.col(column) == 0).select("id"), "id").select("fold", "id"))
-    return _loo("buffer", x, res, targets.select(F.col("id").alias("fold")), held, tests, {"size": size, "presence_bg": presence_bg, "add_bg": add_bg}, {})
+    return _loo("buffer", x, res, targets.select(F.col("id").alias("fold")), held, tests, {"size": size, "column": column, "presence_bg": presence_bg, "add_bg": add_bg}, {"exclusion": targets.select(F.col("id").alias("fold"), F.lit(float(size)).alias("exclusion_distance"))})
 
 
 def nndm_folds(x: P.Points, exclusion: DataFrame, column: str | None, presence_bg: bool, add_bg: bool, num_bins: int | None, params: dict) -> Folds:
     """Leave-one-out folds whose training is farther than each target's own exclusion distance; ``exclusion``: (fold, exclusion_distance)."""
     res = response(x.df, column, num_bins)
     targets = P.presences(x.df, column, presence_bg)
-    far = exclusion.agg(F.max("exclusion_distance")).first()[0]
-    near = nn.within(targets, x.df, far if far else 1.0, x.longlat).withColumnRenamed("i", "fold")
+    most = 2 * diagonal(x.bbox(), x.longlat) + 1.0
+    far = min(exclusion.agg(F.max("exclusion_distance")).first()[0] or 1.0, most)
+    near = nn.within(targets, x.df, far, x.longlat).withColumnRenamed("i", "fold")
     held = near.join(exclusion.select("fold", "exclusion_distance"), "fold").filter(F.col("d") <= F.col("exclusion_distance")).select("fold", F.col("j").alias("id"))
     held = held.unionByName(targets.select(F.col("id").alias("fold"), "id")).distinct()
     tests = targets.select(F.col("id").alias("fold"), "id")
     if presence_bg and add_bg:
         tests = tests.unionByName(held.join(x.df.filter(F.col(column) == 0).select("id"), "id").select("fold", "id"))
-    return _loo("nndm", x, res, targets.select(F.col("id").alias("fold")), held, tests, params, {"exclusion": exclusion})
+    return _loo("nndm", x, res, targets.select(F.col("id").alias("fold")), held, tests, params | {"column": column, "presence_bg": presence_bg, "add_bg": add_bg}, {"exclusion": exclusion})
 
 
-def to_long(folds: Folds, num_plots: list[int] | None = None) -> DataFrame:
-    """(id, x, y, fold, role) for maps: 1 in training, 0 in test, null if left out; points behind come first in ``layer``."""
+def to_long(folds: Folds, num_plots: list[int] | None = None, combine_folds: bool = False) -> DataFrame:
+    """(id, x, y, fold, role) for maps: 1 in training, 0 in test, null if left out; with ``combine_folds`` (id, x, y, fold), a row a point."""
+    check_folds(folds)
     spark = folds.points.df.sparkSession
+    if combine_folds:
+        if folds.loo:
+            raise ValueError("folds of one point each cannot be combined to one map")
+        return folds.points.df.select("id", "x", "y").join(folds.table, "id", "left")
     if folds.loo:
         shown = folds.extra["targets"].orderBy("fold").limit(10) if num_plots is None else folds.extra["targets"].filter(F.col("fold").isin(num_plots))
     else:
@@ -291,8 +320,14 @@ def to_long(folds: Folds, num_plots: list[int] | None = None) -> DataFrame:
     return tagged.select("id", "x", "y", "fold", F.when(F.col("test") == 1, 0).when(F.col("out").isNull(), 1).alias("role"))
 
 
+def check_folds(folds: object) -> None:
+    if not isinstance(folds, Folds):
+        raise TypeError(f"folds must come from a fold constructor, not {type(folds).__name__}")
+
+
 def check_matches(folds: Folds, x: P.Points) -> None:
     """The points must be those that the folds were made from, by number."""
+    check_folds(folds)
     if folds.points.df.count() != x.df.count():
         raise ValueError("the points do not match the folds")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,55 +11,44 @@ from pyspark.sql import functions as F
 
 from stratafold.functions.geometry import hexagon as hex_cell
 from stratafold.functions.geometry import square_cell
-from stratafold.functions.stats import ks_greater
+from stratafold.functions.stats import hash_rank, ks_greater
 from stratafold.operators import local, nn
-from stratafold.operators.cluster import kmeans, scales, standard
+from stratafold.operators.cluster import kmeans, scales
+from stratafold.operators.diagnose import feature_table, nearest_apart, score_distances
 from stratafold.operators.folds import Folds, _kfold, nndm_folds
 from stratafold.operators.response import response
 from stratafold.sources import points as P
+from stratafold.state import settle
 
 
-def nndm(x: P.Points, pred: DataFrame, size: float, column: str | None = None, min_train: float = 0.05, presence_bg: bool = False, add_bg: bool = False, num_bins: int | None = 4, limit: int = local.MAX_LOCAL) -> Folds:
-    """Leave-one-out folds whose nearest training distances follow those from prediction places ``pred`` (id, x, y).
+def nndm(
+    x: P.Points, pred: P.Points | DataFrame | None, size: float, column: str | None = None, min_train: float = 0.05, presence_bg: bool = False, add_bg: bool = False, num_bins: int | None = 4, limit: int = local.MAX_LOCAL,
+    r: P.Raster | None = None, model_domain: list[tuple[float, float]] | None = None, num_sample: int = 10_000, sampling: str = "random", seed: int = 0, pred_limit: int = 5_000_000,
+) -> Folds:
+    """Leave-one-out folds whose nearest training distances follow those from prediction places: ``pred``, or a sample of ``model_domain`` or ``r``.
 
-    Neighbour lists are a range join; the matching itself is sequential and runs on one machine for ``limit`` targets at most. The distances are exact up
-    to the exclusion bound ``size``; a target without a neighbour within it keeps its nearest one.
+    The matching is sequential and runs on one machine, which holds the distances between targets (``limit`` at most) and the distinct prediction
+    distances up to ``size`` (``pred_limit`` at most); what is beyond ``size`` counts as a number only.
     """
     column = P.check_column(x.df, column)
+    if x.crs is None:
+        warnings.warn("no coordinate reference system is set; distances are in the units of the coordinates", stacklevel=2)
+    places = P.prediction_points(x.df.sparkSession, pred, model_domain, r, num_sample, sampling, seed, x)
     targets = P.presences(x.df, column, presence_bg).select("id", "x", "y")
-    n = targets.count()
-    if n > limit:
-        raise ValueError(f"the matching takes {limit} targets at most, not {n}")
-    pairs = nn.within(targets, targets, size, x.longlat).filter("i <> j")
-    beyond = nn.loo(targets, x.longlat)
-    lists: dict[int, list[tuple[float, int]]] = {r["id"]: [] for r in targets.select("id").collect()}
-    for r in pairs.collect():
-        lists[r["i"]].append((r["d"], r["j"]))
-    for r in beyond.filter("d is not null").collect():
-        if not lists[r["id"]]:
-            lists[r["id"]].append((r["d"], r["ref"]))
-    next_out = _next_beyond(targets, size, x.longlat).collect()
-    for r in next_out:
-        if r["d"] is not None and (not lists[r["i"]] or r["d"] > max(lists[r["i"]])[0]):
-            lists[r["i"]].append((r["d"], -1))
-    for v in lists.values():
-        v.sort()
-    gij = np.array([r["d"] for r in nn.nearest(pred, targets, longlat=x.longlat).select("d").collect()], float)
-    found = local.match_distances(lists, n, gij, size, min_train)
-    spark = x.df.sparkSession
-    exclusion = spark.createDataFrame([(int(i), int(i), float(d)) for i, d in sorted(found.items())], "fold long, test_id long, exclusion_distance double")
+    rows = targets.orderBy("id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the matching takes {limit} targets at most")
+    gij = settle(nn.nearest(places, targets, longlat=x.longlat).filter("d is not null").groupBy("d").agg(F.count("*").alias("n")), "gij")
+    near = gij.filter(F.col("d") <= size).orderBy("d").limit(pred_limit + 1).toPandas()
+    if len(near) > pred_limit:
+        raise ValueError(f"the matching takes {pred_limit} distinct prediction distances at most")
+    beyond = gij.filter(F.col("d") > size).agg(F.sum("n")).first()[0] or 0
+    distinct, weights = np.append(near["d"].to_numpy(float), np.inf), np.append(near["n"].to_numpy(float), beyond)
+    found = local.match_distances(local.sorted_distances(np.array([(t["x"], t["y"]) for t in rows], float).reshape(-1, 2), x.longlat), distinct, weights, size, min_train)
+    exclusion = x.df.sparkSession.createDataFrame([(t["id"], t["id"], float(d)) for t, d in zip(rows, found, strict=True)], "fold long, test_id long, exclusion_distance double")
     return nndm_folds(x, exclusion, column, presence_bg, add_bg, num_bins, {"size": size, "min_train": min_train})
 
 
-def _next_beyond(targets: DataFrame, size: float, longlat: bool) -> DataFrame:
-    """(i, d): each target's nearest other beyond ``size``; targets are few (see ``nndm``)."""
-    from stratafold.functions.geometry import distance
-
-    a, b = (targets.select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for n in ("i", "j"))
-    pairs = a.join(F.broadcast(b), F.col("i") != F.col("j")).withColumn("d", distance("ix", "iy", "jx", "jy", longlat)).filter(F.col("d") > size)
-    return pairs.groupBy("i").agg(F.min("d").alias("d"))
-
-
 def principal_axis(points: DataFrame) -> tuple[float, float]:
     """The first principal component of (x, y); its larger loading is positive, x on a tie."""
     r = points.agg(F.var_samp("x"), F.covar_samp("x", "y"), F.var_samp("y")).first()
@@ -111,18 +101,23 @@ def block_candidates(points: DataFrame, bbox: tuple[float, float, float, float],
 
 
 def knndm(
-    x: P.Points, pred: DataFrame, column: str | None = None, k: int = 5, maxp: float = 0.5, clustering: str = "blocks", space: str = "geographical", r: P.Raster | None = None, hexagon: bool = True, keep_blocks: bool = True,
-    nk_len: int = 100, scale: bool = True, balance_folds: bool = True, presence_bg: bool = False, seed: int = 0, num_bins: int | None = 4,
+    x: P.Points, pred: P.Points | DataFrame | None = None, column: str | None = None, k: int = 5, maxp: float = 0.5, clustering: str = "blocks", space: str = "geographical", r: P.Raster | None = None, hexagon: bool = True, keep_blocks: bool = True,
+    nk_len: int = 100, scale: bool = True, balance_folds: bool = True, presence_bg: bool = False, seed: int = 0, num_bins: int | None = 4, model_domain: list[tuple[float, float]] | None = None, num_sample: int = 10_000, sampling: str = "regular",
 ) -> Folds:
-    """k folds whose nearest distances between folds come closest to those from prediction places.
+    """k folds whose nearest distances between folds come closest to those from prediction places: ``pred``, or a sample of ``model_domain`` or ``r``.
 
     All candidates are keys of one table: merged, scored by the Wasserstein distance and compared in one plan. A candidate that leaves no class out of a test
     comes before the others. Where the points are no more clustered than the prediction places, folds are random. Hierarchical clustering runs
-    on one machine, for ``local.MAX_LOCAL`` points at most; in feature space the smaller side must be broadcast.
+    on one machine, for ``local.MAX_LOCAL`` points at most; in feature space all pairs are compared, block by block.
     """
     x.require_crs()
-    if space == "feature" and clustering == "blocks":
-        clustering = "hierarchical"
+    if space not in ("geographical", "feature"):
+        raise ValueError(f"unknown space {space!r}")
+    if space == "feature":
+        if r is None:
+            raise ValueError("matching in feature space needs the raster r")
+        if clustering == "blocks":
+            clustering = "hierarchical"
     column = P.check_column(x.df, column)
     own = P.presences(x.df, column, presence_bg)
     n = own.count()
@@ -130,33 +125,34 @@ def knndm(
         raise ValueError("k is a whole number from 2 to less than the number of points")
     if not 1 / k < maxp < 1:
         raise ValueError("maxp lies between 1 / k and 1")
+    if x.longlat and clustering != "hierarchical":
+        warnings.warn("sizes and centres on degrees are approximate", stacklevel=2)
     res = response(x.df, column, num_bins)
-    base = own.select("id", "x", "y").persist()
+    places = P.prediction_points(x.df.sparkSession, pred, model_domain, r, num_sample, sampling, seed, x)
+    base = settle(own.select("id", "x", "y"), "points")
     feature = space == "feature"
     if feature:
-        names = r.bands
-        sc = scales(r.extract(base).dropna(subset=names), names) if scale else None
-        arr = F.array(*((standard(b, sc, unit=True) if sc else F.col(b).cast("double")) for b in names))
-        base = r.extract(base).withColumn("features", arr).select("id", "x", "y", "features").persist()
-        pred = r.extract(pred.select("id", "x", "y")).dropna(subset=names).withColumn("features", arr).select("id", "features")
-        gij = nn.in_features(pred, base.select("id", "features"))
-        gj = nn.in_features(base.select("id", "features"), base.select("id", "features"), F.col("q_id") != F.col("r_id"))
+        got = r.extract(base)
+        if got.filter(" or ".join(f"`{b}` is null" for b in r.bands)).limit(1).count():
+            raise ValueError("some points have no raster value")
+        moments = scales(got, r.bands) if scale else None
+        base = settle(feature_table(base, r, moments), "features")
+        gij, gj = nn.in_features(feature_table(places, r, moments), base), nn.in_features(base, base, "id")
     else:
-        gij, gj = nn.nearest(pred.select("id", "x", "y"), base, longlat=x.longlat), nn.loo(base, x.longlat)
-    gij = gij.persist()
+        gij, gj = nn.nearest(places, base, longlat=x.longlat), nn.loo(base, x.longlat)
+    gij, gj = settle(gij.select("id", "d"), "gij"), settle(gj.select("id", "d"), "gj")
     gate = ks_greater(gj, gij).first()
-    params = {"space": space, "p_value": gate["p_value"]}
+    params = {"space": space, "p_value": gate["p_value"], "column": column, "presence_bg": presence_bg}
     extra: dict[str, DataFrame] = {}
     if gate["p_value"] >= 0.05:
-        rank = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "id"))))
-        table, params["clustering"] = base.select("id", ((rank - 1) % k + 1).cast("int").alias("fold")), "random"
+        table, params["clustering"] = hash_rank(base.select("id"), [], seed, "id").select("id", ((F.col("rank") - 1) % k + 1).cast("int").alias("fold")), "random"
     else:
         params["clustering"] = clustering
         labelled, sizes = _candidates(base, x, clustering, k, n, nk_len, hexagon, seed, feature)
         ax, ay = principal_axis(base)
         merged = merge_clusters(labelled, k, maxp, F.col("x") * F.lit(ax) + F.col("y") * F.lit(ay), n)
-        folded = labelled.join(merged, ["candidate", "cluster"]).select("candidate", "cluster", "id", "x", "y", "fold").persist()
-        scored = score_candidates(folded, gij, x.longlat, base.select("id", "features") if feature else None)
+        folded = settle(labelled.join(merged, ["candidate", "cluster"]).select("candidate", "cluster", "id", "x", "y", "fold"), "candidates")
+        scored = score_distances(nearest_apart(folded.join(base.select("id", "features"), "id") if feature else folded, x.longlat, feature), gij)
         complete = class_complete(folded.join(res.df.select("id", "cls"), "id"), res.classes, k) if balance_folds and res.classes and not presence_bg else folded.select("candidate").distinct().withColumn("complete", F.lit(True))
         win = scored.join(complete, "candidate").agg(F.min(F.struct((~F.col("complete")).alias("gap"), F.round("w", 9).alias("w"), "candidate")).alias("b")).first()["b"]
         if win is None:
@@ -187,7 +183,7 @@ def _candidates(base: DataFrame, x: P.Points, clustering: str, k: int, n: int, n
         return labels.join(base.select("id", "x", "y"), "id").select("candidate", "cluster", "id", "x", "y"), {}
     from pyspark.ml.functions import array_to_vector
 
-    vec = base.select("id", "x", "y", array_to_vector(F.col("features") if feature else F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("features")).persist()
+    vec = base.select("id", "x", "y", array_to_vector(F.col("features") if feature else F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("features"))
     out = None
     for c in counts:
         one = kmeans(vec.select("features"), c, 1, 100, seed).transform(vec).select(F.lit(c).alias("candidate"), F.format_string("%09d", "prediction").alias("cluster"), "id", "x", "y")
@@ -195,37 +191,6 @@ def _candidates(base: DataFrame, x: P.Points, clustering: str, k: int, n: int, n
     return out, {}
 
 
-def score_candidates(folded: DataFrame, gij: DataFrame, longlat: bool = False, features: DataFrame | None = None) -> DataFrame:
-    """(candidate, w): the Wasserstein distance of the nearest distances between folds from ``gij``, for all candidates at once.
-
-    A point's nearest distances are looked up among its neighbours in rising order: pairs are made once for all candidates, not once for each.
-    """
-    if features is not None:
-        table = folded.select("candidate", "id", "fold").join(features, "id")
-        per = nn.in_features(table.select(F.struct("candidate", "id").alias("id"), "candidate", "fold", "features"), table.select("candidate", "fold", "features"), (F.col("q_candidate") == F.col("r_candidate")) & (F.col("q_fold") != F.col("r_fold")))
-        star = per.select(F.col("id.candidate").alias("candidate"), "d")
-    else:
-        keyed = folded.select(F.struct("candidate", F.col("id").alias("id")).alias("id"), "x", "y", "fold", "candidate")
-        apart = _shifted(keyed)
-        star = apart
-    a = star.select("candidate", F.col("d").alias("v"), F.lit(1).alias("of")).unionByName(star.select("candidate").distinct().crossJoin(F.broadcast(gij.select(F.col("d").alias("v")))).select("candidate", "v", F.lit(2).alias("of")))
-    counts = a.filter("v is not null").groupBy("candidate", "v").agg(F.count_if(F.col("of") == 1).alias("na"), F.count_if(F.col("of") == 2).alias("nb"))
-    by, whole = Window.partitionBy("candidate").orderBy("v"), Window.partitionBy("candidate")
-    running = by.rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select("candidate", (F.sum("na").over(running) / F.sum("na").over(whole) - F.sum("nb").over(running) / F.sum("nb").over(whole)).alias("gap"), (F.lead("v").over(by) - F.col("v")).alias("width"))
-    return steps.groupBy("candidate").agg(F.coalesce(F.sum(F.abs("gap") * F.col("width")), F.lit(0.0)).alias("w"))
-
-
-def _shifted(keyed: DataFrame) -> DataFrame:
-    """(candidate, d): nearest point of another fold in the same candidate. Candidates are moved apart, so that one grid serves all."""
-    box = keyed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    reach = max(float((box[1] or 0) - (box[0] or 0)), float((box[3] or 0) - (box[2] or 0)), 1.0)
-    gap = 4 * float((box[1] or 0) - (box[0] or 0) + 1)
-    ids = keyed.select(F.xxhash64("id.candidate", "id.id").alias("id"), (F.col("x") + F.col("candidate") * F.lit(gap)).alias("x"), "y", "fold", "candidate", F.col("x").alias("own"))
-    found = nn.nearest(ids.select("id", "x", "y", "fold", "candidate"), ids.select("id", "x", "y", "fold", "candidate"), lambda: (F.col("q_candidate") == F.col("r_candidate")) & (F.col("q_fold") != F.col("r_fold")), ("fold", "candidate"), reach=reach)
-    return found.join(ids.select("id", "candidate"), "id").select("candidate", "d")
-
-
 def class_complete(folded: DataFrame, classes: list[str], k: int) -> DataFrame:
     """(candidate, complete): whether every class is in the test set of every fold."""
     cells = folded.filter(F.col("cls").isin(classes)).groupBy("candidate").agg(F.countDistinct("fold", "cls").alias("cells"))

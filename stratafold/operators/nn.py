@@ -1,89 +1,310 @@
-"""Distance joins without a nested loop: points meet in grid cells, the exact distance decides."""
+"""Distance joins without a nested loop.
+
+``within`` is an equi-join on grid cells. ``nearest`` compares a query with the few tiles of references that can hold its answer:
+
+* References are dealt to tiles at quantiles: strips of x, each cut along y. A tile's box, and whether it holds references of one key or of several, bound what it can answer:
+  a query looks at all tiles whose box begins within the least of its largest distances to tiles that surely hold an allowed reference.
+* In a tile, queries meet references in blocks of a distance matrix.
+* ``LOCAL_REFS`` references or fewer go to every task with their tiles, and queries need no shuffle. More references stay distributed, in tiles of about ``TILE_REFS`` and
+  ``MAX_TILES`` at most, of which the driver holds a row each; queries are sent to their tiles, and tiles asked by more than ``TILE_QUERIES`` are split by query.
+
+References at one place with one key are one row, so a tile is no larger when a third of all references stand at one place. On degrees boxes are those of
+unit vectors, whose chords rise with great-circle distance.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.geometry import distance, haversine, neighbours, squared, with_cell
+from stratafold.functions.geometry import EARTH_RADIUS, distance, neighbours, with_cell
+from stratafold.state import settle
 
-GROWTH = 8
+LOCAL_REFS = 200_000
+LOCAL_TILE = 512
+TILE_REFS = 2000
+MAX_TILES = 16_384
+TILE_QUERIES = 20_000
+BLOCK_CELLS = 1 << 20
+FEATURE_ROWS = 4096
 
 
 def within(a: DataFrame, b: DataFrame, size: float, longlat: bool = False) -> DataFrame:
-    """(i, j, d): pairs of ``a`` and ``b`` (id, x, y) at ``size`` or less; an equi-join on cells as wide as ``size``, nine for each left point.
+    """(i, j, d): pairs of ``a`` and ``b`` (id, x, y) at ``size`` or less; an equi-join on cells as wide as ``size``, with all cells around each left point.
 
-    On degrees a cell is one of latitude bands; longitude is left to the exact distance.
+    On degrees the cells are cubes around unit vectors, as wide as the chord of ``size`` metres.
     """
     left, right = (df.select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for df, n in ((a, "i"), (b, "j")))
     if longlat:
-        band = size / 111_000.0
-        left = left.withColumn("g", F.explode(F.array(*(F.floor(F.col("iy") / band) + k for k in (-1, 0, 1)))))
-        pairs = left.join(right.withColumn("g", F.floor(F.col("jy") / band)), "g")
-        return pairs.withColumn("d", haversine("ix", "iy", "jx", "jy")).filter(F.col("d") <= size).select("i", "j", "d")
-    left = left.withColumn("g", F.explode(neighbours(F.col("ix"), F.col("iy"), size))).select("i", "ix", "iy", "g.gx", "g.gy")
-    pairs = left.join(with_cell(right, size, "jx", "jy"), ["gx", "gy"]).withColumn("d2", squared("ix", "iy", "jx", "jy"))
-    return pairs.filter(F.col("d2") <= size * size).select("i", "j", F.sqrt("d2").alias("d"))
-
-
-def nearest(queries: DataFrame, refs: DataFrame, allowed: Callable[[], Column] | None = None, extra: tuple[str, ...] = (), longlat: bool = False, reach: float | None = None) -> DataFrame:
-    """(id, d, ref): each query's nearest allowed reference, null where none is; equal distances go to the smallest id.
-
-    ``queries`` and ``refs`` hold (id, x, y) and the ``extra`` columns, which ``allowed`` compares as q_<name> and r_<name> (q_id and r_id
-    too). The grid starts at the references' mean spacing; whatever is found within one cell's width is exact, and queries without it go on to
-    a grid ``GROWTH`` times wider, up to one cell for all, or one as wide as ``reach``, beyond which the caller knows of no allowed reference.
-    Great-circle distances compare all pairs.
+        width = max(2 * math.sin(min(size / EARTH_RADIUS, math.pi) / 2) * (1 + 1e-9), 1e-9)
+        cell = lambda n: [F.floor(v / F.lit(width)) for v in _unit(f"{n}x", f"{n}y")]
+        gx, gy, gz = cell("i")
+        around = [F.struct((gx + p).alias("gx"), (gy + q).alias("gy"), (gz + r).alias("gz")) for p in (-1, 0, 1) for q in (-1, 0, 1) for r in (-1, 0, 1)]
+        left = left.withColumn("g", F.explode(F.array(*around))).select("i", "ix", "iy", "g.gx", "g.gy", "g.gz")
+        right = right.select("*", *(c.alias(n) for c, n in zip(cell("j"), ("gx", "gy", "gz"), strict=True)))
+        pairs = left.join(right, ["gx", "gy", "gz"])
+    else:
+        left = left.withColumn("g", F.explode(neighbours(F.col("ix"), F.col("iy"), size))).select("i", "ix", "iy", "g.gx", "g.gy")
+        pairs = left.join(with_cell(right, size, "jx", "jy"), ["gx", "gy"])
+    return pairs.withColumn("d", distance("ix", "iy", "jx", "jy", longlat)).filter(F.col("d") <= size).select("i", "j", "d")
+
+
+def _unit(x: str, y: str) -> list:
+    lon, lat = F.radians(x), F.radians(y)
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
+
+
+def _unit_np(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    lon, lat = np.radians(x), np.radians(y)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+
+
+@dataclass
+class Tiles:
+    """Boxes of tiles, in the plane or around unit vectors, by group; ``one`` is the only key in a tile, where ``many`` is false."""
+
+    group: np.ndarray
+    tile: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    one: np.ndarray
+    many: np.ndarray
+    longlat: bool
+
+    def place(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return _unit_np(x, y) if self.longlat else np.stack([x, y], 1)
+
+    def reach(self, metres: np.ndarray) -> np.ndarray:
+        """A distance as the boxes measure it."""
+        return 2 * np.sin(np.minimum(metres / EARTH_RADIUS, math.pi) / 2) if self.longlat else metres
+
+
+def _route(batches: Iterator[pd.DataFrame], tiles: Tiles, differ: bool) -> Iterator[pd.DataFrame]:
+    """(q, group, x, y, key, beyond, tile): each query beside each tile that may hold its nearest allowed reference."""
+    of_group = {g: np.flatnonzero(tiles.group == g) for g in np.unique(tiles.group)}
+    for b in batches:
+        for g, rows in [(b["group"].iloc[0], b)] if len(b) and b["group"].nunique() == 1 else b.groupby("group", sort=False):
+            own = of_group.get(g)
+            if own is None:
+                continue
+            step = max(1, BLOCK_CELLS // len(own))
+            for at in range(0, len(rows), step):
+                q = rows.iloc[at : at + step]
+                p = tiles.place(q["x"].to_numpy(float), q["y"].to_numpy(float))
+                near, far = np.zeros((len(q), len(own))), np.zeros((len(q), len(own)))
+                for k in range(p.shape[1]):
+                    low, high, v = tiles.low[own, k], tiles.high[own, k], p[:, k : k + 1]
+                    near += np.maximum(np.maximum(low - v, v - high), 0) ** 2
+                    far += np.maximum(np.abs(v - low), np.abs(high - v)) ** 2
+                may = np.ones(near.shape, bool)
+                if differ:
+                    may = tiles.many[own] | (tiles.one[own] != q["key"].to_numpy()[:, None])
+                beyond = tiles.reach(q["beyond"].to_numpy(float))[:, None]
+                sure = may & (np.sqrt(near) > beyond * (1 + 1e-9))
+                bound = np.where(sure, far, np.inf).min(1, keepdims=True)
+                who, which = np.nonzero(may & (near <= bound * (1 + 1e-9) + 1e-15) & (np.sqrt(far) * (1 + 1e-9) + 1e-12 >= beyond))
+                yield q.iloc[who].assign(tile=tiles.tile[own[which]])
+
+
+def _best(q: list[np.ndarray], r: list[np.ndarray], differ: bool, longlat: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and id of the best of one tile for each query, infinite where none is allowed; equal distances go to the smallest id.
+
+    ``q``: x, y, key, beyond. ``r``: x, y, key, id, and the id of another reference at the place, the same one where there is none.
     """
-    q = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", *extra)))
-    r = refs.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "x", "y", *extra)))
-    ok = allowed() if allowed else F.lit(True)
-    if longlat:
-        pairs = q.join(r, ok, "left").withColumn("d", distance("q_x", "q_y", "r_x", "r_y", True))
-        best = pairs.groupBy("q_id").agg(F.min(F.when(F.col("r_id").isNotNull(), F.struct("d", F.col("r_id").alias("ref")))).alias("best"))
-        return best.select(F.col("q_id").alias("id"), F.col("best.d").alias("d"), F.col("best.ref").alias("ref"))
-    box = lambda df: df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
-    a, b = box(queries), box(refs)
-    if not a[4] or not b[4]:
-        return q.select(F.col("q_id").alias("id"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("ref"))
-    extent = max(max(a[k + 2], b[k + 2]) - min(a[k], b[k]) for k in (0, 1)) or 1.0
-    spacing = math.sqrt(float(b[2] - b[0]) * float(b[3] - b[1]) / b[4]) or float(extent) / b[4]
-    extent = float(extent) if reach is None else min(float(extent), reach)
-    width, state, sure = min(spacing, extent), q.withColumn("best", F.lit(None).cast("struct<d2:double,ref:bigint>")), None
-    while True:
-        last = width >= extent
-        open_ = F.col("best").isNull() if sure is None else F.col("best").isNull() | (F.col("best.d2") > sure * sure)
-        asked = state.withColumn("g", F.explode(F.when(open_, neighbours(F.col("q_x"), F.col("q_y"), width)).otherwise(F.array(F.lit(None).cast("struct<gx:bigint,gy:bigint>"))))).select("*", F.col("g.gx").alias("gx"), F.col("g.gy").alias("gy"))
-        cells = with_cell(r, width, "r_x", "r_y")
-        joined = asked.join(cells, (asked["gx"] == cells["gx"]) & (asked["gy"] == cells["gy"]) & ok, "left")
-        found = F.when(F.col("r_id").isNotNull(), F.struct(squared("q_x", "q_y", "r_x", "r_y").alias("d2"), F.col("r_id").cast("long").alias("ref")))
-        keep = [c for c in q.columns if c != "q_id"]
-        state = joined.groupBy("q_id").agg(*(F.first(c).alias(c) for c in keep), F.min(F.when(found.isNull() | (F.col("best") < found), F.col("best")).otherwise(found)).alias("best"))
-        if last:
-            return state.select(F.col("q_id").alias("id"), F.sqrt("best.d2").alias("d"), F.col("best.ref").alias("ref"))
-        sure, width = width, width * GROWTH
+    (qx, qy, qk, beyond), (rx, ry, rk, ids, second) = q, r
+    out_d, out_ref = np.empty(len(qx)), np.empty(len(qx), np.int64)
+    step = max(1, BLOCK_CELLS // max(1, len(rx)))
+    several = second != ids
+    for at in range(0, len(qx), step):
+        s = slice(at, at + step)
+        if longlat:
+            lat, lon = np.radians(ry)[None], np.radians(rx)[None]
+            a, o = np.radians(qy[s])[:, None], np.radians(qx[s])[:, None]
+            h = np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - o) / 2) ** 2
+            d = 2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1)))
+        else:
+            d = np.sqrt((qx[s][:, None] - rx[None]) ** 2 + (qy[s][:, None] - ry[None]) ** 2)
+        d[d <= beyond[s][:, None]] = np.inf
+        own = qk[s][:, None] == rk[None] if differ else None
+        if own is not None:
+            d[own & ~several[None]] = np.inf
+        least = d.min(1)
+        named = ids[None] if own is None else np.where(own, second[None], ids[None])
+        out_d[s], out_ref[s] = least, np.where(d == least[:, None], named, np.iinfo(np.int64).max).min(1)
+    return out_d, out_ref
+
+
+_Q, _R = ("x", "y", "key", "beyond"), ("x", "y", "key", "id", "second")
+
+
+def _meet(q: pd.DataFrame, r: pd.DataFrame, differ: bool, longlat: bool) -> pd.DataFrame:
+    """(q, group, d, ref) of one distributed tile."""
+    d, ref = _best([q[c].to_numpy() for c in _Q], [r[c].to_numpy() for c in _R], differ, longlat)
+    return pd.DataFrame({"q": q["q"].to_numpy(), "group": q["group"].to_numpy(), "d": d, "ref": ref})[np.isfinite(d)]
+
+
+def _local_tiles(r: pd.DataFrame, longlat: bool) -> tuple[Tiles, list[list[np.ndarray]]]:
+    """Tiles of references that are all at hand, and the references of each."""
+    boxes, members = [], []
+    for g, rows in r.groupby("group", sort=False):
+        x, y, at = rows["x"].to_numpy(), rows["y"].to_numpy(), rows.index.to_numpy()
+        strips = max(1, round(math.sqrt(len(rows) / LOCAL_TILE)))
+        for strip in np.array_split(np.argsort(x, kind="stable"), strips):
+            for tile in np.array_split(strip[np.argsort(y[strip], kind="stable")], strips):
+                if len(tile):
+                    part = [r[c].to_numpy()[at[tile]] for c in _R]
+                    p = _unit_np(part[0], part[1]) if longlat else np.stack(part[:2], 1)
+                    many = bool((part[2] != part[2][0]).any() or (part[3] != part[4]).any())
+                    boxes.append((g, len(members), p.min(0), p.max(0), part[2][0], many))
+                    members.append(part)
+    group, tile, low, high, one, many = (np.array(v) for v in zip(*boxes, strict=True))
+    return Tiles(group, tile, low, high, one, many, longlat), members
+
+
+def _search(batches: Iterator[pd.DataFrame], tiles: Tiles, members: list[list[np.ndarray]], differ: bool) -> Iterator[pd.DataFrame]:
+    """(q, group, d, ref) of all queries against tiles at hand; infinite distances where no reference is allowed."""
+    for b in batches:
+        b = b.reset_index(drop=True)
+        best_d, best_ref = np.full(len(b), np.inf), np.full(len(b), -1, np.int64)
+        for asked in _route(iter([b]), tiles, differ):
+            for t, q in asked.groupby("tile", sort=False):
+                at = q.index.to_numpy()
+                d, ref = _best([q[c].to_numpy() for c in _Q], members[t], differ, tiles.longlat)
+                better = (d < best_d[at]) | ((d == best_d[at]) & (ref < best_ref[at]) & np.isfinite(d))
+                best_d[at[better]], best_ref[at[better]] = d[better], ref[better]
+        yield pd.DataFrame({"q": b["q"], "group": b["group"], "d": best_d, "ref": best_ref})
+
+
+def _code(df: DataFrame, column: str | None) -> F.Column:
+    """A column as a long that is equal where its values are."""
+    if column is None:
+        return F.lit(0).cast("long")
+    kind = dict(df.dtypes)[column]
+    return F.col(column).cast("long") if kind in ("int", "bigint", "smallint", "tinyint") else F.xxhash64(column)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, differ: str | None = None, same: str | None = None, beyond: str | None = None, longlat: bool = False) -> DataFrame:
+    """(id[, same], d, ref): each query's nearest allowed reference, null where none is; equal distances go to the smallest id.
+
+    ``queries`` and ``refs`` hold (id, x, y). An allowed reference has another value of the column ``differ`` and the same value of the column ``same`` (a whole
+    number), and is farther than the query's ``beyond``. Where ``differ`` is the id, a query that has the smallest id of several at its place gets the largest there.
+    """
+    group = F.col(same).cast("long") if same else F.lit(0).cast("long")
+    place = [group.alias("group"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    limit = F.coalesce(F.col(beyond).cast("double"), F.lit(-1.0)) if beyond else F.lit(-1.0)
+    q = queries.select(F.col("id").cast("long").alias("q"), *place, _code(queries, differ).alias("key"), limit.alias("beyond"))
+    r = refs.select(F.col("id").cast("long").alias("id"), *place, _code(refs, differ).alias("key")).filter("x is not null and y is not null")
+    if differ == "id":
+        r = r.groupBy("group", "x", "y").agg(F.min("id").alias("key"), F.min("id").alias("id"), F.max("id").alias("second"))
+    else:
+        r = r.groupBy("group", "x", "y", "key").agg(F.min("id").alias("id"), F.min("id").alias("second"))
+    out = [F.col("q").alias("id"), *([F.col("group").cast(dict(queries.dtypes)[same]).alias(same)] if same else [])]
+    r = settle(r, "references")
+    n = r.count()
+    if not n:
+        return q.select(*out, F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("ref"))
+    if n <= LOCAL_REFS:
+        tiles, members = _local_tiles(r.toPandas(), longlat)
+        found = q.filter("x is not null and y is not null").mapInPandas(partial(_search, tiles=tiles, members=members, differ=differ is not None), "q long, group long, d double, ref long")
+        ok = F.col("d") < math.inf
+        return found.select(*out, F.when(ok, F.col("d")).alias("d"), F.when(ok, F.col("ref")).alias("ref"))
+    best = _distributed(q, r, n, differ is not None, longlat)
+    return q.select("q", "group").join(best, ["q", "group"], "left").select(*out, F.col("best.d").alias("d"), F.col("best.ref").alias("ref"))
+
+
+def _distributed(q: DataFrame, r: DataFrame, n: int, differ: bool, longlat: bool) -> DataFrame:
+    """(q, group, best) of queries that have an allowed reference, for references that stay distributed."""
+    groups = r.agg(F.countDistinct("group")).first()[0]
+    strips = max(1, min(int(math.sqrt(MAX_TILES / groups)) or 1, round(math.sqrt(n / groups / TILE_REFS))))
+    placed = settle(_deal(r, strips), "tiles")
+    tiles = _tiles(placed, longlat)
+    asked = q.filter("x is not null and y is not null").mapInPandas(partial(_route, tiles=tiles, differ=differ), "q long, group long, x double, y double, key long, beyond double, tile int")
+    asked, placed = asked.withColumn("part", F.lit(0)), placed.withColumn("part", F.lit(0))
+    keys = ["group", "tile", "part"]
+    if q.count() > TILE_QUERIES:  # only then can a tile be asked too often
+        load = asked.groupBy("group", "tile").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("parts")).filter("parts > 1").collect()
+        if load:
+            table = lambda: F.broadcast(q.sparkSession.createDataFrame(load, "group long, tile int, parts int"))  # noqa: E731  a row a tile at most
+            asked = asked.join(table(), ["group", "tile"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), "parts"), F.lit(0)).cast("int")).drop("parts")
+            placed = placed.join(table(), ["group", "tile"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    empty = pd.DataFrame({"q": [], "group": [], "d": [], "ref": []})
+    met = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(lambda a, b: _meet(a, b, differ, longlat) if len(a) and len(b) else empty, "q long, group long, d double, ref long")
+    return met.groupBy("q", "group").agg(F.min(F.struct("d", "ref")).alias("best"))
+
+
+def _deal(places: DataFrame, strips: int) -> DataFrame:
+    """``places`` with their tile: ``strips`` quantile strips of x, each cut to as many along y."""
+    if strips == 1:
+        return places.withColumn("tile", F.lit(0))
+    at = [k / strips for k in range(1, strips)]
+    cuts = sorted(set(places.agg(F.percentile_approx("x", at, 10_000)).first()[0]))
+    dealt = places.withColumn("strip", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("x") > c)))
+    edges = dealt.groupBy("strip").agg(F.array_distinct(F.percentile_approx("y", at, 10_000)).alias("edges"))  # strips * strips numbers at most
+    return dealt.join(F.broadcast(edges), "strip").withColumn("tile", (F.col("strip") * strips + F.size(F.filter("edges", lambda e: F.col("y") > e))).cast("int")).drop("strip", "edges")
+
+
+def _tiles(placed: DataFrame, longlat: bool) -> Tiles:
+    place = _unit("x", "y") if longlat else [F.col("x"), F.col("y")]
+    found = placed.groupBy("group", "tile").agg(*(f(p) for p in place for f in (F.min, F.max)), F.min("key"), ((F.min("key") != F.max("key")) | F.max(F.col("second") != F.col("id"))).alias("many")).collect()
+    a = [tuple(r) for r in found]
+    low = np.array([t[2 : 2 + 2 * len(place) : 2] for t in a], float)
+    high = np.array([t[3 : 2 + 2 * len(place) : 2] for t in a], float)
+    return Tiles(np.array([t[0] for t in a], np.int64), np.array([t[1] for t in a], np.int32), low, high, np.array([t[-2] for t in a], np.int64), np.array([t[-1] for t in a], bool), longlat)
 
 
 def loo(points: DataFrame, longlat: bool = False) -> DataFrame:
     """(id, d, ref): each point's nearest other point."""
-    return nearest(points, points, lambda: F.col("q_id") != F.col("r_id"), longlat=longlat)
+    return nearest(points, points, "id", longlat=longlat)
 
 
 def across_folds(points: DataFrame, longlat: bool = False) -> DataFrame:
     """(id, d, ref): each point's nearest point of another fold; ``points`` holds fold as well."""
-    return nearest(points, points, lambda: F.col("q_fold") != F.col("r_fold"), ("fold",), longlat)
+    return nearest(points, points, "fold", longlat=longlat)
+
+
+def _feature_block(q: pd.DataFrame, r: pd.DataFrame, kind: str, differ: bool) -> pd.DataFrame:
+    place = {i: k for k, i in enumerate(r["r"])} if "out" in q.columns else {}
+    a, b = np.array(q["features"].to_list(), float), np.array(r["features"].to_list(), float)
+    out, rk = np.empty(len(a)), r["key"].to_numpy()
+    step = max(1, (1 << 22) // max(1, b.size))
+    groups = q["key"].to_numpy()
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        d = np.abs(part[:, None] - b[None]).sum(2) if kind == "L1" else ((part[:, None] - b[None]) ** 2).sum(2)
+        if differ:
+            d[groups[at : at + step][:, None] == rk[None]] = np.inf
+        if place:
+            for k, gone in enumerate(q["out"].iloc[at : at + step]):
+                d[k, [place[i] for i in (gone if gone is not None else ()) if i in place]] = np.inf
+        out[at : at + step] = d.min(1)
+    return pd.DataFrame({"q": q["q"].to_numpy(), "group": q["group"].to_numpy(), "t": out})[np.isfinite(out)]
+
 
+def in_features(queries: DataFrame, refs: DataFrame, differ: str | None = None, same: str | None = None, kind: str = "L2", unheld: str | None = None) -> DataFrame:
+    """(id[, same], d): smallest distance between ``features`` arrays of queries and of references whose ``differ`` differs and whose ``same`` agrees.
 
-def in_features(queries: DataFrame, refs: DataFrame, allowed: Column | None = None, kind: str = "L2") -> DataFrame:
-    """(id, d): smallest distance between ``features`` arrays. ``refs`` must be small enough to broadcast: callers check its count.
+    ``unheld`` is an array column of queries with the ids of references that a query must not meet.
 
-    A high-dimensional minimum has no cells to prune by; the references are streamed past each query.
+    A high-dimensional minimum has no cells to prune by: all pairs are compared, in blocks of ``FEATURE_ROWS`` queries by as many references, each a task's
+    distance matrix. Rows are sent once for each block of the other side; nothing is broadcast and no pair is written.
     """
-    r = F.broadcast(refs.select(*(F.col(c).alias(f"r_{c}") for c in refs.columns)))
-    q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    pairs = q.join(r, allowed if allowed is not None else F.lit(True))
-    gap = F.zip_with("q_features", "r_features", lambda a, b: F.abs(a - b) if kind == "L1" else (a - b) * (a - b))
-    total = F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)
-    return pairs.groupBy(F.col("q_id").alias("id")).agg(F.min(total).alias("t")).select("id", (F.col("t") if kind == "L1" else F.sqrt("t")).alias("d"))
+    group = F.col(same).cast("long") if same else F.lit(0).cast("long")
+    q = queries.select(F.col("id").cast("long").alias("q"), group.alias("group"), _code(queries, differ).alias("key"), F.col("features").alias("features"), *([F.col(unheld).alias("out")] if unheld else []))
+    r = refs.select(F.col("id").cast("long").alias("r"), group.alias("group"), _code(refs, differ).alias("key"), F.col("features").alias("features"))
+    sizes = lambda df: df.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    m, n = (max(1, -(-sizes(x) // FEATURE_ROWS)) for x in (q, r))
+    across = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q2 = q.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(m)).cast("int")).withColumn("j", across(n))
+    r2 = r.withColumn("j", F.pmod(F.xxhash64("r"), F.lit(n)).cast("int")).withColumn("i", across(m))
+    keys, empty = ["group", "i", "j"], pd.DataFrame({"q": [], "group": [], "t": []})
+    met = q2.groupBy(*keys).cogroup(r2.groupBy(*keys)).applyInPandas(lambda a, b: _feature_block(a, b, kind, differ is not None) if len(a) and len(b) else empty, "q long, group long, t double")
+    name = [F.col("q").alias("id"), *([F.col("group").cast(dict(queries.dtypes)[same]).alias(same)] if same else [])]
+    best = met.groupBy("q", "group").agg(F.min("t").alias("t"))
+    return best.select(*name, (F.col("t") if kind == "L1" else F.sqrt("t")).alias("d"))

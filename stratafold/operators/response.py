@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold.sources.points import check_classes
+
 
 def check_num_bins(num_bins: object) -> int | None:
     if num_bins is None:
@@ -57,6 +59,7 @@ def response(df: DataFrame, column: str | None, num_bins: int | None = 4) -> Res
             labels = [f"Q{k}" for k in range(1, max(2, len(breaks)))]
             return Response(df.withColumn("cls", bin_label(column, breaks)), labels, list(zip(labels, breaks, breaks[1:], strict=False)))
     values = [x[0] for x in df.select(column).distinct().filter(F.col(column).isNotNull()).orderBy(column).collect()]
+    check_classes(len(values), column)
     return Response(df.withColumn("cls", F.col(column).cast("string")), [str(v) for v in values])
 
 
@@ -75,12 +78,6 @@ def records(df: DataFrame, classes: list[str], k: int) -> DataFrame:
     return full.select("fold", *((F.coalesce(F.col(f"__{n}"), F.lit(0)) - F.col(n)).alias(n.replace("test", "train", 1)) for n in names), *names)
 
 
-def records_of_roles(df: DataFrame, classes: list[str]) -> DataFrame:
-    """The same for explicit (fold, role, cls) rows, as leave-one-out folds have them."""
-    cells = [F.count_if(F.col("role") == r).alias(r) for r in ("train", "test")] if not classes else [F.count_if((F.col("role") == r) & (F.col("cls") == c)).alias(f"{r}_{c}") for r in ("train", "test") for c in classes]
-    return df.groupBy("fold").agg(*cells)
-
-
 def loo_summary(table: DataFrame) -> DataFrame:
     """(stat, ...): smallest, mean and largest count of each column of a leave-one-out record table."""
     names = [c for c in table.columns if c != "fold"]

@@ -17,7 +17,7 @@ from stratafold.operators.response import records, response
 from stratafold.sources.points import Points, Raster
 
 CLASSES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-BANDS = ["b1", "b2", "b3", "b4"]
+BANDS = [f"b{k:02d}" for k in range(1, 65)]  # all values of an embedding
 CENTRES = [[1000.0, 1000.0], [5000.0, 2000.0], [8000.0, 8000.0], [2000.0, 9000.0], [5000.0, 5000.0]]
 SIZES = [500.0, 1000.0, 2000.0]
 
@@ -37,6 +37,11 @@ def clustered(spark: SparkSession, d: str) -> Points:
     return x.with_df(x.df.withColumn("x", F.floor(F.col("x") * F.col("x") * F.col("x") / (10007 * 10007))).withColumn("y", F.floor(F.col("y") * F.col("y") * F.col("y") / (10009 * 10009))))
 
 
+def degrees(x: Points) -> Points:
+    """The same points on degrees, ten by ten of them."""
+    return Points(x.df.withColumn("x", F.col("x") / 1000.0).withColumn("y", F.col("y") / 1000.0), "geographic", True)
+
+
 def suppliers(spark: SparkSession, d: str) -> Points:
     t = spark.read.parquet(f"{d}/supplier.parquet")
     key = F.col("s_suppkey").cast("long")
@@ -58,12 +63,22 @@ def covariates(spark: SparkSession) -> Raster:
 C = "(SELECT c_custkey AS id, (c_custkey*7919)%10007 AS x, (c_custkey*104729)%10009 AS y, c_mktsegment AS cls, CASE WHEN c_mktsegment IN ('BUILDING','MACHINERY') THEN 1 ELSE 0 END AS occ, c_acctbal::DOUBLE AS val, c_nationkey AS grp FROM customer)"
 S = "(SELECT s_suppkey AS id, (s_suppkey*7919)%10007 AS x, (s_suppkey*104729)%10009 AS y, 'c' || (s_nationkey%3) AS cls, s_nationkey%2 AS occ, s_acctbal::DOUBLE AS val FROM supplier)"
 V = "(SELECT vec_id AS id, vec_id%5+1 AS fold, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS {b}" for k, b in enumerate(BANDS)) + " FROM embeddings)"
+CC = f"(SELECT id, floor(x*x*x/(10007*10007))::BIGINT AS x, floor(y*y*y/(10009*10009))::BIGINT AS y, occ FROM {C})"
+R = f"(SELECT r, c, sin(r/7.0) AS warm, cos(c/5.0)+r/50.0 AS wet FROM range(0, 50) AS ra(r), range(0, 50) AS rb(c))"
 
 
 def _grid10(spark: SparkSession, d: str) -> folds.Folds:
     return folds.spatial(customers(spark, d), "cls_name", hexagon=False, rows_cols=(10, 10), selection="systematic", k=5)
 
 
+def _grid_degrees(spark: SparkSession, d: str) -> folds.Folds:
+    return folds.spatial(degrees(customers(spark, d)), "cls_name", hexagon=False, rows_cols=(10, 10), selection="systematic", k=5)
+
+
+def _grid_presences(spark: SparkSession, d: str) -> folds.Folds:
+    return folds.spatial(customers(spark, d), "occ", hexagon=False, rows_cols=(10, 10), selection="systematic", k=5, presence_bg=True)
+
+
 _CELLS = f"""box AS (SELECT min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1 FROM {C}),
 cells AS (SELECT p.*, least(floor((y1-y)/((y1-y0)/10)), 9)::INT AS r, least(floor((x-x0)/((x1-x0)/10)), 9)::INT AS c FROM {C} p, box),
 blocks AS (SELECT r, c, row_number() OVER (ORDER BY r, c) AS block_id FROM (SELECT DISTINCT r, c FROM cells))"""
@@ -113,12 +128,109 @@ def _loo_records(targets: str, classes: list[str], field: str, size: int, add_bg
     return f"SELECT a.id AS fold, {', '.join(cells)} FROM {targets} a, {S} b GROUP BY a.id"
 
 
-_LONG = "(SELECT id, fold, b AS band, v FROM (" + " UNION ALL ".join(f"SELECT id, fold, '{b}' AS b, {b} AS v FROM {V}" for b in BANDS) + "))"
-_MESS = f"""r AS (SELECT a.id, a.fold, a.band, a.v, 100.0*count(*) FILTER (WHERE b.v<=a.v)/count(*) AS f, min(b.v) AS lo, max(b.v) AS hi FROM {_LONG} a JOIN {_LONG} b ON a.band=b.band AND a.fold<>b.fold GROUP BY ALL),
-m AS (SELECT id, fold, band, CASE WHEN hi>lo THEN CASE WHEN f=0 THEN (v-lo)*100/(hi-lo) WHEN f=100 THEN (hi-v)*100/(hi-lo) WHEN f<=50 THEN 2*f ELSE 200-2*f END END AS mess FROM r),
+_LONG = "(SELECT vec_id AS id, vec_id%5+1 AS fold, format('b{:02d}', k) AS band, embedding[k]::DOUBLE AS v FROM embeddings, range(1, 65) AS t(k))"
+_MESS_VALUE = "CASE WHEN hi>lo THEN CASE WHEN f=0 THEN (v-lo)*100/(hi-lo) WHEN f=100 THEN (hi-v)*100/(hi-lo) WHEN f<=50 THEN 2*f ELSE 200-2*f END END"
+
+
+def _mess(long: str, test: str = "true", train: str = "a.fold<>b.fold") -> str:
+    """MESS as SQL over ``long`` (id, fold, band, v), ending in m (id, fold, band, mess) and pt (id, fold, value, limiting)."""
+    return f"""l AS ({long}), r AS (SELECT a.id, a.fold, a.band, a.v, 100.0*count(*) FILTER (WHERE b.v<=a.v)/count(*) AS f, min(b.v) AS lo, max(b.v) AS hi FROM l a JOIN l b ON a.band=b.band AND {train} WHERE {test} GROUP BY ALL),
+m AS (SELECT id, fold, band, {_MESS_VALUE} AS mess FROM r),
 pt AS (SELECT id, fold, min(mess) AS value, arg_min(band, (mess, band)) AS limiting FROM m WHERE mess IS NOT NULL GROUP BY id, fold)"""
 
 
+_MESS = _mess(f"SELECT * FROM {_LONG}")
+_EXTRAPOLATION = """lim AS (SELECT fold, limiting, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, limiting) AS k FROM pt WHERE value<0 GROUP BY fold, limiting)
+SELECT pt.fold::INT AS fold, count(*) AS n_test, round(avg((value<0)::INT)*100, 1) AS pct_novel, round(min(value), 2) AS min, round(quantile_cont(value, 0.5), 2) AS median, any_value(lim.limiting) AS limiting_var FROM pt LEFT JOIN lim ON lim.fold=pt.fold AND k=1 GROUP BY pt.fold"""
+
+
+def _extracted(points: str, cols: str) -> str:
+    """``points`` with their raster values as SQL."""
+    return f"SELECT {cols}, warm, wet FROM (SELECT *, least(floor((10010.0-y)/200.2), 49)::INT AS rr, least(floor(x/200.2), 49)::INT AS cc FROM {points}) p JOIN {R} g ON g.r=rr AND g.c=cc"
+
+
+def _bands_long(points: str, cols: str) -> str:
+    return f"SELECT {cols}, 'warm' AS band, warm AS v FROM {points} UNION ALL SELECT {cols}, 'wet', wet FROM {points}"
+
+
+def _similarity_loo(kind: str) -> str:
+    z = ", ".join(f"({b}-(SELECT avg({b}) FROM g))/(SELECT stddev_samp({b}) FROM g) AS {b}" for b in ("warm", "wet"))
+    gap = "abs(a.warm-b.warm)+abs(a.wet-b.wet)" if kind == "L1" else "sqrt((a.warm-b.warm)*(a.warm-b.warm)+(a.wet-b.wet)*(a.wet-b.wet))"
+    far = "(t.x-b.x)*(t.x-b.x)+(t.y-b.y)*(t.y-b.y) > 4000000"
+    return f"""WITH g AS (SELECT * FROM {R}), p0 AS ({_extracted(S, "id, x, y")}), p AS (SELECT id, x, y, {z} FROM p0), s AS (SELECT r*50+c AS cell, {z} FROM g),
+base AS (SELECT fold, avg(d) AS base FROM (SELECT t.id AS fold, a.cell, min({gap}) AS d FROM p t, s a, p b WHERE b.id=t.id OR {far} GROUP BY ALL) GROUP BY fold),
+near AS (SELECT t.id AS fold, min({gap.replace('a.', 't.')}) AS d FROM p t, p b WHERE {far} GROUP BY t.id) SELECT fold AS id, fold, round(base-d, 6) AS value FROM base JOIN near USING (fold)"""
+
+
+_PLANE, _GLOBE = "sqrt(((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))::DOUBLE)", (
+    "2*6371008.8*asin(sqrt(least(1.0, pow(sin((radians(b.y)-radians(a.y))/2), 2)+cos(radians(a.y))*cos(radians(b.y))*pow(sin((radians(b.x)-radians(a.x))/2), 2))))"
+)
+
+
+def _distance_sql(points: str, pred: str, d: str = _PLANE) -> str:
+    """gij, gj and star of the systematic folds of ``points`` (a table with fold) as SQL."""
+    return f"gij AS (SELECT a.id, min({d}) AS d FROM {pred} a, {points} b GROUP BY a.id), gj AS (SELECT a.id, min({d}) AS d FROM {points} a, {points} b WHERE a.id<>b.id GROUP BY a.id), star AS (SELECT a.id, a.fold, min({d}) AS d FROM {points} a, {points} b WHERE a.fold<>b.fold GROUP BY a.id, a.fold)"
+
+
+def _distance_rows(digits: int) -> str:
+    sig = {c: _SIGNIF.format(v=v) for c, v in {"min": "min(d)", "q1": "quantile_cont(d, 0.25)", "median": "quantile_cont(d, 0.5)", "q3": "quantile_cont(d, 0.75)", "max": "max(d)"}.items()}
+    return f"SELECT fold::INT AS fold, count(*) AS n_test, {', '.join(f'round({v}, {digits}) AS {n}' for n, v in sig.items())}, round(avg((d<(SELECT quantile_cont(d, 0.5) FROM gij))::INT)*100, 1) AS pct_below_pred FROM star GROUP BY fold"
+
+
+def _w_sql(a: str, b: str = "gij") -> str:
+    return f"(WITH {_STEPS.format(a=a, b=b)} SELECT coalesce(sum(abs(fa-fb)*width), 0) FROM st)"
+
+
+def _knndm_sql(points: str, pred: str, k: int, d: str) -> str:
+    """Block candidates, merged, scored and compared as SQL; ``points``: (id, x, y, occ)."""
+    tries = ", ".join(f"row(round((x-x0-(c{a}{b}*size+(r{a}%2)*(size/2)))*(x-x0-(c{a}{b}*size+(r{a}%2)*(size/2)))+(y-y0-r{a}*h)*(y-y0-r{a}*h), 9), r{a}, c{a}{b})" for a in "01" for b in "01")
+    return f"""WITH p AS (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y, occ FROM {points}), n AS (SELECT count(*) AS n FROM p), box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+gij AS (SELECT a.id, min({d}) AS d FROM {pred} a, p b GROUP BY a.id),
+nb AS (SELECT DISTINCT round_even(exp(ln(2)+j/99.0*(ln(greatest(3, ceil(sqrt(n))))-ln(2))), 0) AS nb FROM range(0, 100) AS t(j), n),
+cand AS (SELECT row_number() OVER (ORDER BY nb) AS candidate, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))/nb AS size FROM nb, box),
+e0 AS (SELECT *, size*{math.sqrt(3)!r}/2 AS h FROM cand), e1 AS (SELECT p.*, candidate, size, h, x0, y0, floor((y-y0)/h)::BIGINT AS r0, floor((y-y0)/h)::BIGINT+1 AS r1 FROM p, e0, box),
+e2 AS (SELECT *, floor((x-x0-(r0%2)*(size/2))/size)::BIGINT AS c00, floor((x-x0-(r0%2)*(size/2))/size)::BIGINT+1 AS c01, floor((x-x0-(r1%2)*(size/2))/size)::BIGINT AS c10, floor((x-x0-(r1%2)*(size/2))/size)::BIGINT+1 AS c11 FROM e1),
+e3 AS (SELECT candidate, id, x, y, occ, least({tries}) AS b FROM e2), lab AS (SELECT candidate, id, x, y, occ, format('{{:09d}}:{{:09d}}', b[2], b[3]) AS cluster FROM e3),
+v AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM p), ev AS (SELECT *, (a+c)/2+sqrt((a-c)*(a-c)/4+b*b) AS l FROM v),
+dir AS (SELECT CASE WHEN a>=c THEN l-c ELSE b END AS u, CASE WHEN a>=c THEN b ELSE l-a END AS w FROM ev), ax AS (SELECT u/sqrt(u*u+w*w)*s AS ax, w/sqrt(u*u+w*w)*s AS ay FROM (SELECT *, CASE WHEN (CASE WHEN abs(u)>=abs(w) THEN u ELSE w END)>=0 THEN 1 ELSE -1 END AS s FROM dir)),
+g AS (SELECT candidate, cluster, count(*) AS size, round(avg(x*ax+y*ay), 6) AS pc FROM lab, ax GROUP BY ALL), bg AS (SELECT g.*, (size>=n/{k}.0)::INT AS big FROM g, n),
+o AS (SELECT *, sum(big) OVER c AS bigs, count(*) OVER c AS al, sum(big) OVER w AS rb, sum(1-big) OVER w AS rs FROM bg WINDOW c AS (PARTITION BY candidate), w AS (PARTITION BY candidate ORDER BY pc, cluster ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN big=1 THEN rb WHEN bigs<{k} THEN bigs+1+(rs-1)%greatest(1, {k}-bigs) END AS fold FROM o),
+ld AS (SELECT candidate, count(fold) AS used, max(load) AS most FROM (SELECT candidate, fold, sum(size) AS load FROM f GROUP BY ALL) GROUP BY candidate),
+good AS (SELECT candidate, cluster, fold::INT AS fold FROM f JOIN ld USING (candidate), n WHERE al>={k} AND bigs<={k} AND fold IS NOT NULL AND used={k} AND most<=0.5*n),
+fd AS (SELECT candidate, id, x, y, occ, fold FROM lab JOIN good USING (candidate, cluster)),
+st AS (SELECT a.candidate, a.id, min({d}) AS d FROM fd a JOIN fd b ON a.candidate=b.candidate AND a.fold<>b.fold GROUP BY ALL),
+u AS (SELECT candidate, v, sum(na) AS na, sum(nb) AS nb FROM (SELECT candidate, d AS v, 1 AS na, 0 AS nb FROM st UNION ALL SELECT candidate, d, 0, 1 FROM gij, (SELECT DISTINCT candidate FROM fd)) GROUP BY ALL),
+sp AS (SELECT candidate, abs(sum(na) OVER w/(sum(na) OVER c)::DOUBLE-sum(nb) OVER w/(sum(nb) OVER c)::DOUBLE)*(lead(v) OVER (PARTITION BY candidate ORDER BY v)-v) AS a FROM u WINDOW w AS (PARTITION BY candidate ORDER BY v ROWS UNBOUNDED PRECEDING), c AS (PARTITION BY candidate)),
+sw AS (SELECT candidate, round(coalesce(sum(a), 0), 9) AS w FROM sp GROUP BY candidate), cl AS (SELECT candidate, count(DISTINCT (fold, occ))={k}*2 AS complete FROM fd GROUP BY candidate)
+SELECT id, fold FROM fd WHERE candidate=(SELECT candidate FROM sw JOIN cl USING (candidate) ORDER BY NOT complete, w, candidate LIMIT 1)"""
+
+
+_NNDM = f"""WITH RECURSIVE s AS (SELECT id, x, y FROM {S}), n AS (SELECT count(*) AS n FROM s), g AS (SELECT sqrt(min((c.x-s.x)*(c.x-s.x)+(c.y-s.y)*(c.y-s.y))::DOUBLE) AS d FROM {C} c, s GROUP BY c.id),
+pairs AS (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS pos, sqrt(((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))::DOUBLE) AS d FROM s a, s b WHERE a.id<>b.id),
+cdf AS (SELECT d, (SELECT count(*) FROM g WHERE g.d<=p.d)/(SELECT count(*) FROM g)::DOUBLE AS share FROM (SELECT DISTINCT d FROM pairs) p),
+near AS (SELECT id, pos, d, share FROM pairs JOIN cdf USING (d) UNION ALL SELECT id, n, 1e300::DOUBLE, 1.0::DOUBLE FROM s, n),
+st AS (SELECT 0 AS step, id, 1::BIGINT AS pos, -1.0::DOUBLE AS fl FROM s UNION ALL
+ SELECT step+1, id, CASE WHEN ok AND id=pick THEN pos+1 ELSE pos END, CASE WHEN ok THEN fl ELSE r END FROM (
+  SELECT *, (below-1)/n::DOUBLE>=share AND (n-ppos)/n::DOUBLE>0.05 AS ok FROM (
+   SELECT *, sum((cur<=r)::INT) OVER () AS below, max(CASE WHEN id=pick THEN pos END) OVER () AS ppos, max(CASE WHEN id=pick THEN sh END) OVER () AS share FROM (
+    SELECT *, min(CASE WHEN cur=r THEN id END) OVER () AS pick FROM (
+     SELECT st.step, st.id, st.pos, st.fl, near.d AS cur, near.share AS sh, n.n, min(CASE WHEN near.d>st.fl AND near.d<=3000 THEN near.d END) OVER () AS r FROM st JOIN near ON near.id=st.id AND near.pos=st.pos, n)))) WHERE r IS NOT NULL)
+SELECT st.id AS fold, st.id AS test_id, round(d, 6) AS exclusion_distance FROM st JOIN near USING (id, pos) WHERE step=(SELECT max(step) FROM st)"""
+
+_AUTOCOR = f"""WITH box AS (SELECT min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1 FROM {C}), cut AS (SELECT 0.35*sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS cut FROM box),
+pr AS (SELECT sqrt(((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))::DOUBLE) AS d, a.val-b.val AS zv, (a.occ-b.occ)::DOUBLE AS zo FROM {C} a JOIN {C} b ON a.id<b.id),
+bn AS (SELECT least(15, greatest(1, ceil(round(d/(cut/15), 9)))) AS bin, count(*) AS np, avg(d) AS dist, avg(zv*zv)/2 AS gv, avg(zo*zo)/2 AS go FROM pr, cut WHERE d>0 AND d<=cut GROUP BY 1),
+b AS (SELECT 'val' AS layer, dist, gv AS gamma, np/(dist*dist) AS w FROM bn UNION ALL SELECT 'occ', dist, go, np/(dist*dist) FROM bn),
+rg AS (SELECT layer, k, exp(low+(high-low)*k/399.0) AS r FROM (SELECT layer, ln(min(dist)/2) AS low, ln(max(dist)*2) AS high FROM b GROUP BY layer), range(0, 400) AS t(k)),
+fx AS (SELECT layer, k, r, m.i, dist, gamma, w, CASE m.i WHEN 0 THEN (CASE WHEN dist<r THEN 1.5*dist/r-0.5*pow(dist/r, 3) ELSE 1.0 END) WHEN 1 THEN 1-exp(-dist/r) ELSE 1-exp(-(dist/r)*(dist/r)) END AS f FROM rg JOIN b USING (layer), (VALUES (0), (1), (2)) AS m(i)),
+sm AS (SELECT layer, k, r, i, sum(w) AS s0, sum(w*gamma) AS sg, sum(w*f) AS sf, sum(w*f*f) AS sff, sum(w*f*gamma) AS sfg, sum(w*gamma*gamma) AS sc FROM fx GROUP BY ALL),
+ft AS (SELECT *, 0 AS plain, (sg-(s0*sfg-sf*sg)/(s0*sff-sf*sf)*sf)/s0 AS c0, (s0*sfg-sf*sg)/(s0*sff-sf*sf) AS c1 FROM sm WHERE s0*sff-sf*sf>1e-9*s0*sff UNION ALL SELECT *, 1, 0.0, sfg/sff FROM sm),
+er AS (SELECT ft.layer, ft.k, ft.r, ft.i, plain, c1, round(sum(w*(c0+c1*f-gamma)*(c0+c1*f-gamma))/any_value(sc), 9) AS sse FROM ft JOIN fx ON fx.layer=ft.layer AND fx.k=ft.k AND fx.i=ft.i WHERE c0>=0 AND c1>=0 GROUP BY ALL),
+bs AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY sse, i, k, plain) AS n FROM er)
+SELECT layer, CASE i WHEN 0 THEN 'Sph' WHEN 1 THEN 'Exp' ELSE 'Gau' END AS model, round(r, 3) AS range, round(c1, 4) AS sill FROM bs WHERE n=1"""
+
+
 def _similarity(kind: str) -> str:
     z = ", ".join(f"({b}-(SELECT avg({b}) FROM {V} WHERE label=0))/(SELECT stddev_samp({b}) FROM {V} WHERE label=0) AS {b}" for b in BANDS)
     gap = "+".join(f"abs(a.{b}-b.{b})" if kind == "L1" else f"(a.{b}-b.{b})*(a.{b}-b.{b})" for b in BANDS)
@@ -216,8 +328,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wasserstein_w": lambda s, d: _rounded(stats.wasserstein(nn.loo(customers(s, d).df), nn.nearest(suppliers(s, d).df, customers(s, d).df)), 4, "w"),
         "ks_gate": lambda s, d: _rounded(stats.ks_greater(nn.loo(customers(s, d).df), nn.nearest(suppliers(s, d).df, customers(s, d).df)).select("d_plus", "p_value"), 6, "d_plus", "p_value"),
         "distance_summary": _distance_report,
-        "distance_w": lambda s, d: _rounded(diagnose.distances(_grid10(s, d), suppliers(s, d).df, num_random=3, seed=5)["W"], 4, "w"),
-        "feature_nn": lambda s, d: (lambda v: _rounded(nn.in_features(v, v, F.col("q_id") != F.col("r_id")), 6, "d"))(vectors(s, d).select("id", F.array(*BANDS).alias("features"))),
+        "distance_w": lambda s, d: _rounded(diagnose.distances(_grid10(s, d), suppliers(s, d), seed=5)["W"], 4, "w"),
+        "distance_random_ecdf": lambda s, d: _rounded(diagnose.distances(_grid10(s, d), suppliers(s, d), seed=5)["random_ecdf"], 6, "r", "mean", "low", "high"),
+        "distance_longlat": lambda s, d: _rounded(diagnose.distances(_grid_degrees(s, d), degrees(suppliers(s, d)), add_random=False)["distances"], 3, "min", "q1", "median", "q3", "max"),
+        "distance_longlat_w": lambda s, d: _rounded(diagnose.distances(_grid_degrees(s, d), degrees(suppliers(s, d)), add_random=False)["W"], 3, "w"),
+        "distance_presence_bg": lambda s, d: _rounded(diagnose.distances(_grid_presences(s, d), suppliers(s, d), add_random=False)["distances"], 4, "min", "q1", "median", "q3", "max"),
+        "distance_loo": lambda s, d: _rounded(diagnose.distances(folds.buffer(suppliers(s, d), 2000), customers(s, d))["star"], 6, "d"),
+        "distance_feature": lambda s, d: _rounded(diagnose.distances(_grid10(s, d), suppliers(s, d), add_random=False, space="feature", r=covariates(s))["star"], 6, "d"),
+        "feature_nn": lambda s, d: (lambda v: _rounded(nn.in_features(v, v, "id"), 6, "d"))(vectors(s, d).select("id", F.array(*BANDS).alias("features"))),
         "mess_values": lambda s, d: _rounded(diagnose.mess(vectors(s, d), BANDS), 6, "mess"),
         "mess_extrapolation": lambda s, d: diagnose.extrapolation(diagnose.mess_points(diagnose.mess(vectors(s, d), BANDS)), True),
         "mess_overall": lambda s, d: diagnose.overall_novelty(diagnose.mess_points(diagnose.mess(vectors(s, d), BANDS))),
@@ -228,21 +346,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_assign_step": lambda s, d: cluster.assign(customers(s, d).df.select("id", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("features")), CENTRES).select("id", "cluster", "d2"),
         "variogram_empirical": lambda s, d: _rounded(scale.variogram(customers(s, d), "val", 1500.0), 4, "dist", "gamma"),
         "block_size_sweep": lambda s, d: _rounded(scale.block_sweep(customers(s, d), SIZES), 6, "avg_points"),
-        "plot_long": lambda s, d: folds.to_long(folds.buffer(suppliers(s, d), 2000, "cls_name"), [1, 2, 3]),
-        "knndm_blocks_folds": lambda s, d: matching.knndm(clustered(s, d), suppliers(s, d).df, "occ", k=4, nk_len=12).table,
-        "knndm_hierarchical": lambda s, d: matching.knndm(suppliers(s, d), clustered(s, d).df.select("id", "x", "y"), clustering="hierarchical", k=4, nk_len=10).table,
-        "nndm_exclusion": lambda s, d: matching.nndm(suppliers(s, d), customers(s, d).df, 3000).extra["exclusion"],
-        "cluster_kmeans_folds": lambda s, d: folds_sizes(cluster.cluster(customers(s, d), "occ", k=5, starts=3, seed=1)),
-        "cluster_env_weighted": lambda s, d: folds_sizes(cluster.cluster(customers(s, d), "occ", covariates(s), k=4, spatial_weight=0.5, starts=2, balance_folds=True, k_multiplier=3, iteration=20)),
+        "plot_long": lambda s, d: folds.to_long(folds.buffer(suppliers(s, d), 2000, "cls_name")),
+        "plot_combined": lambda s, d: folds.to_long(_grid10(s, d), combine_folds=True),
+        "knndm_blocks_folds": lambda s, d: matching.knndm(clustered(s, d), suppliers(s, d), "occ", k=4).table,
+        "knndm_longlat": lambda s, d: matching.knndm(degrees(clustered(s, d)), degrees(suppliers(s, d)), "occ", k=4).table,
+        "knndm_hierarchical": lambda s, d: matching.knndm(suppliers(s, d), clustered(s, d), clustering="hierarchical", k=4).table,
+        "nndm_exclusion": lambda s, d: _rounded(matching.nndm(suppliers(s, d), customers(s, d), 3000).extra["exclusion"], 6, "exclusion_distance"),
+        "cluster_kmeans_folds": lambda s, d: cluster.cluster(customers(s, d), "occ", k=5, seed=1).records,
+        "cluster_given_centres": lambda s, d: cluster.cluster(customers(s, d), "cls_name", k=5, centres=CENTRES).records,
+        "cluster_env_weighted": lambda s, d: cluster.cluster(customers(s, d), "occ", covariates(s), k=4, spatial_weight=0.5, balance_folds=True).records,
         "similarity_raster_mess": lambda s, d: diagnose.similarity(_grid10(s, d), covariates(s))["extrapolation"],
-        "autocor_ranges": lambda s, d: scale.spatial_autocor(customers(s, d), ["val", "occ"])["table"],
+        "similarity_presence_bg": lambda s, d: diagnose.similarity(_grid_presences(s, d), covariates(s))["extrapolation"],
+        "similarity_loo_mess": lambda s, d: _rounded(diagnose.similarity(folds.buffer(suppliers(s, d), 2000), covariates(s))["values"].select("id", "fold", "value"), 6, "value"),
+        "similarity_loo_l1": lambda s, d: _rounded(diagnose.similarity(folds.buffer(suppliers(s, d), 2000), covariates(s), "L1")["values"], 6, "value"),
+        "similarity_loo_l2": lambda s, d: _rounded(diagnose.similarity(folds.buffer(suppliers(s, d), 2000), covariates(s), "L2")["values"], 6, "value"),
+        "autocor_ranges": lambda s, d: _rounded(_rounded(scale.spatial_autocor(customers(s, d), ["val", "occ"])["table"], 3, "range"), 4, "sill"),
     }
 
 
-def folds_sizes(f: folds.Folds) -> DataFrame:
-    return f.records
-
-
 def oracle_sql() -> dict[str, str]:
     size = f"""WITH box AS (SELECT min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1 FROM {C}),
 g AS (SELECT *, greatest(1, ceil((x1-x0)/900))::INT AS nc, greatest(1, ceil((y1-y0)/900))::INT AS nr FROM box),
@@ -267,10 +388,16 @@ hf AS (SELECT id, cls, ((n-1)%5+1)::INT AS fold FROM h3 JOIN hb USING (r, c))"""
     runs = ", ".join(f"fold<>{p} AS \"RUN{p}\"" for p in range(1, 6))
     assign = ", ".join(f"row((x-{a})*(x-{a})+(y-{b})*(y-{b}), {i + 1})" for i, (a, b) in enumerate(CENTRES))
     sizes = " UNION ALL ".join(f"SELECT {s}::DOUBLE AS size, floor((t.y1-y)/{s}) AS r, floor((x-t.x0)/{s}) AS c FROM {C}, t" for s in SIZES)
-    sig = {c: _SIGNIF.format(v=v) for c, v in {"min": "min(d)", "q1": "quantile_cont(d, 0.25)", "median": "quantile_cont(d, 0.5)", "q3": "quantile_cont(d, 0.75)", "max": "max(d)"}.items()}
-    w = lambda a, b: f"(WITH {_STEPS.format(a=a, b=b)} SELECT coalesce(sum(abs(fa-fb)*width), 0) FROM st)"
-    drawn = f"dr AS (SELECT p.id, p.x, p.y, t.draw, (row_number() OVER (PARTITION BY draw ORDER BY md5('5:' || draw || ':' || p.id))-1)%5+1 AS fold FROM {C} p, range(1, 4) AS t(draw))"
-    ds = [f"(SELECT sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))::DOUBLE) AS d FROM dr a, dr b WHERE a.draw={k} AND b.draw={k} AND a.fold<>b.fold GROUP BY a.id)" for k in (1, 2, 3)]
+    w = _w_sql
+    drawn = f"dr AS (SELECT p.id, p.x, p.y, t.draw, (row_number() OVER (PARTITION BY draw ORDER BY md5('5:' || draw || ':' || p.id))-1)%5+1 AS fold FROM {C} p, range(1, 11) AS t(draw))"
+    apart = f"ap AS (SELECT a.draw, a.id, min({_PLANE}) AS d FROM dr a JOIN dr b ON a.draw=b.draw AND a.fold<>b.fold GROUP BY ALL)"
+    ds = [f"(SELECT d FROM ap WHERE draw={k})" for k in range(1, 11)]
+    dcells = f"""lp AS (SELECT id, x/1000.0 AS x, y/1000.0 AS y FROM {C}), lbox AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lp),
+lc AS (SELECT lp.*, least(floor((y1-y)/((y1-y0)/10)), 9)::INT AS r, least(floor((x-x0)/((x1-x0)/10)), 9)::INT AS c FROM lp, lbox), lb AS (SELECT r, c, row_number() OVER (ORDER BY r, c) AS n FROM (SELECT DISTINCT r, c FROM lc)),
+folded AS (SELECT id, x, y, (n-1)%5+1 AS fold FROM lc JOIN lb USING (r, c)), ls AS (SELECT id, x/1000.0 AS x, y/1000.0 AS y FROM {S})"""
+    shown = f"(SELECT id FROM {S} ORDER BY id LIMIT 10)"
+    loo_long = f"p AS ({_extracted(S, 'id, x, y')}), lx AS ({_bands_long('p', 'id, id AS fold, x, y')})"
+    feats = f"p0 AS ({_extracted('folded', 'id, fold')}), mo AS (SELECT avg(warm) AS a, stddev_samp(warm) AS b, avg(wet) AS c, stddev_samp(wet) AS e FROM p0), zf AS (SELECT id, fold, (warm-a)/b AS x, (wet-c)/e AS y FROM p0, mo)"
     low = " OR ".join(f"(t{c}+e{c}>=600 AND e{c}>0 AND e{c}<0.25*(t{c}+e{c})/300)" for c in "01")
     lows = "concat_ws(', ', " + ", ".join(f"CASE WHEN t{c}+e{c}>=600 AND e{c}>0 AND e{c}<0.25*(t{c}+e{c})/300 THEN '{c}' END" for c in "01") + ")"
     warn = f"""WITH rec AS ({_records(f"(SELECT id%300+1 AS fold, occ::VARCHAR AS cls FROM {C})", ["0", "1"], 300)}), r AS (SELECT fold, train_0 AS t0, train_1 AS t1, test_0 AS e0, test_1 AS e1, test_0+test_1 AS n FROM rec)
@@ -313,11 +440,28 @@ SELECT 1 AS candidate, cluster::INT AS cluster, fold::INT AS fold FROM f, l, n W
         "ecdf_curves": f"WITH a AS (SELECT 'Prediction' AS curve, d FROM {_GIJ} UNION ALL SELECT 'LOO', d FROM {_GJ}), t AS (SELECT max(d) AS top FROM a), k AS (SELECT k FROM range(0, 200) AS r(k)) SELECT curve, round(k.k*top/199, 6) AS r, round(count(*) FILTER (WHERE ceil(round(d/top*199, 9)) <= k.k)/count(*)::DOUBLE, 6) AS f FROM a, t, k GROUP BY curve, k.k, top",
         "wasserstein_w": f"WITH {ks} SELECT round(coalesce(sum(abs(fa-fb)*width), 0), 4) AS w FROM st",
         "ks_gate": f"WITH {ks}, g AS (SELECT greatest(max(fa-fb), 0) AS d FROM st), c AS (SELECT sum(na) AS n, sum(nb) AS m FROM u) SELECT round(d, 6) AS d_plus, round(exp(-2.0*d*d*(n*m/(n+m)::DOUBLE)), 6) AS p_value FROM g, c",
-        "distance_summary": f"WITH {_FOLD5}, m AS (SELECT quantile_cont(d, 0.5) AS m FROM {_GIJ}) SELECT fold::INT AS fold, count(*) AS n_test, {', '.join(f'round({v}, 4) AS {n}' for n, v in sig.items())}, round(avg((d<m)::INT)*100, 1) AS pct_below_pred FROM {_STAR} s, m GROUP BY fold",
-        "distance_w": f"WITH {_FOLD5}, {drawn} SELECT 'CV' AS curve, round({w(_STAR, _GIJ)}, 4) AS w UNION ALL SELECT 'LOO', round({w(_GJ, _GIJ)}, 4) UNION ALL SELECT 'Random', round(({' + '.join(w(x, _GIJ) for x in ds)})/3, 4)",
+        "distance_summary": f"WITH {_FOLD5}, {_distance_sql('folded', S)} {_distance_rows(4)}",
+        "distance_w": f"WITH {_FOLD5}, {_distance_sql('folded', S)}, {drawn}, {apart} SELECT 'CV' AS curve, round({w('star')}, 4) AS w UNION ALL SELECT 'LOO', round({w('gj')}, 4) UNION ALL SELECT 'Random', round(({' + '.join(map(w, ds))})/10, 4)",
+        "distance_random_ecdf": f"WITH {_FOLD5}, {_distance_sql('folded', S)}, {drawn}, {apart}, t AS (SELECT max(d) AS top FROM (SELECT d FROM gij UNION ALL SELECT d FROM gj UNION ALL SELECT d FROM star UNION ALL SELECT d FROM ap)), e AS (SELECT draw, k.k, top, count(*) FILTER (WHERE ceil(round(d/top*199, 9)) <= k.k)/count(*)::DOUBLE AS f FROM ap, t, range(0, 200) AS k(k) GROUP BY ALL) SELECT round(k*top/199, 6) AS r, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.1), 6) AS low, round(quantile_cont(f, 0.9), 6) AS high FROM e GROUP BY k, top",
+        "distance_longlat": f"WITH {dcells}, {_distance_sql('folded', 'ls', _GLOBE)} {_distance_rows(3)}",
+        "distance_longlat_w": f"WITH {dcells}, {_distance_sql('folded', 'ls', _GLOBE)} SELECT 'CV' AS curve, round({w('star')}, 3) AS w UNION ALL SELECT 'LOO', round({w('gj')}, 3)",
+        "distance_presence_bg": f"WITH {_FOLD5}, pr AS (SELECT * FROM folded WHERE occ=1), {_distance_sql('pr', S)} {_distance_rows(4)}",
+        "distance_loo": f"SELECT a.id AS fold, a.id, round(min({_PLANE}), 6) AS d FROM {S} a, {S} b WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 4000000 GROUP BY a.id",
+        "distance_feature": f"WITH {_FOLD5}, {feats} SELECT a.fold::INT AS fold, a.id, round(min({_PLANE}), 6) AS d FROM zf a, zf b WHERE a.fold<>b.fold GROUP BY a.id, a.fold",
         "feature_nn": f"SELECT a.id, round(sqrt(min({'+'.join(f'(a.{b}-b.{b})*(a.{b}-b.{b})' for b in BANDS)})), 6) AS d FROM {V} a, {V} b WHERE a.id<>b.id GROUP BY a.id",
         "mess_values": f"WITH {_MESS} SELECT id, fold::INT AS fold, band, round(mess, 6) AS mess FROM m",
-        "mess_extrapolation": f"WITH {_MESS}, l AS (SELECT fold, limiting, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, limiting) AS k FROM pt GROUP BY fold, limiting) SELECT pt.fold::INT AS fold, count(*) AS n_test, round(avg((value<0)::INT)*100, 1) AS pct_novel, round(min(value), 2) AS min, round(quantile_cont(value, 0.5), 2) AS median, any_value(l.limiting) AS limiting_var FROM pt JOIN l ON l.fold=pt.fold AND k=1 GROUP BY pt.fold",
+        "mess_extrapolation": f"WITH {_MESS}, {_EXTRAPOLATION}",
+        "similarity_raster_mess": f"WITH {_FOLD5}, xt AS ({_extracted('folded', 'id, fold')}), {_mess(_bands_long('xt', 'id, fold'))}, {_EXTRAPOLATION}",
+        "similarity_presence_bg": f"WITH {_FOLD5}, xt AS ({_extracted('(SELECT * FROM folded WHERE occ=1)', 'id, fold')}), {_mess(_bands_long('xt', 'id, fold'))}, {_EXTRAPOLATION}",
+        "similarity_loo_mess": f"WITH {loo_long}, {_mess('SELECT * FROM lx', train='(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 4000000')} SELECT id, fold, round(value, 6) AS value FROM pt",
+        "similarity_loo_l1": _similarity_loo("L1"),
+        "similarity_loo_l2": _similarity_loo("L2"),
+        "knndm_blocks_folds": _knndm_sql(CC, S, 4, _PLANE),
+        "knndm_longlat": _knndm_sql(f"(SELECT id, x/1000.0 AS x, y/1000.0 AS y, occ FROM {CC})", f"(SELECT id, x/1000.0 AS x, y/1000.0 AS y FROM {S})", 4, _GLOBE),
+        "nndm_exclusion": _NNDM,
+        "autocor_ranges": _AUTOCOR,
+        "cluster_given_centres": f"WITH t AS (SELECT b[2] AS fold, cls FROM (SELECT cls, least({assign}) AS b FROM {C})) {_records('t', CLASSES, 5)}",
+        "plot_combined": f"WITH {_FOLD5} SELECT id, x, y, fold::INT AS fold FROM folded",
         "mess_overall": f"WITH {_MESS} SELECT round(avg((value<0)::INT)*100, 1) AS pct_novel FROM pt",
         "similarity_l1": _similarity("L1"),
         "similarity_l2": _similarity("L2"),
@@ -326,5 +470,5 @@ SELECT 1 AS candidate, cluster::INT AS cluster, fold::INT AS fold FROM f, l, n W
         "kmeans_assign_step": f"SELECT id, b[2]::INT AS cluster, b[1]::DOUBLE AS d2 FROM (SELECT id, least({assign}) AS b FROM {C})",
         "variogram_empirical": f"WITH p AS (SELECT sqrt(((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))::DOUBLE) AS d, a.val-b.val AS z FROM {C} a JOIN {C} b ON a.id<b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) BETWEEN 1 AND 2250000) SELECT greatest(1, ceil(round(d/100.0, 9)))::INT AS bin, count(*) AS np, round(avg(d), 4) AS dist, round(avg(z*z)/2, 4) AS gamma FROM p GROUP BY 1",
         "block_size_sweep": f"WITH t AS (SELECT min(x)::DOUBLE AS x0, max(y)::DOUBLE AS y1 FROM {C}), c AS (SELECT size, r, c, count(*) AS n FROM ({sizes}) GROUP BY ALL) SELECT size, count(*) AS blocks, min(n) AS min_points, max(n) AS max_points, round(avg(n), 6) AS avg_points FROM c GROUP BY size",
-        "plot_long": f"SELECT b.id, b.x, b.y, a.id AS fold, CASE WHEN a.id=b.id THEN 0 WHEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 4000000 THEN 1 END AS role FROM {S} a, {S} b WHERE a.id IN (1, 2, 3)",
+        "plot_long": f"SELECT b.id, b.x, b.y, a.id AS fold, CASE WHEN a.id=b.id THEN 0 WHEN (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 4000000 THEN 1 END AS role FROM {S} a, {S} b WHERE a.id IN {shown}",
     }

@@ -62,13 +62,17 @@ def same_crs(a: str | None, b: str | None) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: str, crs: str | None = None) -> Points:
     """Points from a CSV with a header; ``id`` is added as 1 to n, in file order, where the schema has none.
 
-    Numbering needs one ordered pass over file positions; large inputs should bring their own ids.
+    A row's number is its place in its input partition after the rows of all partitions before: no task orders the whole file.
     """
     df = spark.read.csv(path, header=True, schema=schema)
     if "id" not in df.columns:
         from pyspark.sql import Window
 
-        df = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("id", F.row_number().over(Window.orderBy("__at")).cast("long")).drop("__at")
+        placed = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        counts = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        place = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
+        df = placed.join(F.broadcast(counts), "__part").withColumn("id", (F.col("__before") + place).cast("long")).drop("__part", "__at", "__before")
     return Points(df, crs)
 
 
@@ -140,33 +144,62 @@ class Raster:
         o = s // 2
         return self.usable([self.bands[0]]).filter((F.col("row") % s == o) & (F.col("col") % s == o))
 
+    def numbered_sample(self, size: int, seed: int = 0) -> DataFrame:
+        """``random_sample`` with the cells' numbers as ``id``."""
+        return self.random_sample(self.clamp(size), seed).withColumn("id", F.col("row").cast("long") * self.ncol + F.col("col"))
+
     def random_sample(self, size: int, seed: int = 0) -> DataFrame:
         """``size`` usable cells in the order of a seeded hash: the same at every partitioning."""
         return self.usable().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "row", "col"))).limit(size)
 
 
-def polygon_sample(spark: SparkSession, ring: list[tuple[float, float]], size: int) -> DataFrame:
-    """About ``size`` points of a regular lattice inside a polygon: (id, x, y)."""
+def polygon_sample(spark: SparkSession, ring: list[tuple[float, float]], size: int, sampling: str = "regular", seed: int = 0) -> DataFrame:
+    """(id, x, y) inside a polygon: about ``size`` points of a regular lattice, or ``size`` seeded random ones."""
     from stratafold.functions.geometry import in_ring
 
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
+    if area <= 0:
+        raise ValueError("the polygon has no area")
+    if sampling == "random":
+        share = area / ((max(xs) - min(xs)) * (max(ys) - min(ys)))
+        uniform = lambda tag: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(tag), "id")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+        drawn = spark.range(math.ceil(1.5 * size / share) + 200).select("id", (F.lit(min(xs)) + uniform("x") * (max(xs) - min(xs))).alias("x"), (F.lit(min(ys)) + uniform("y") * (max(ys) - min(ys))).alias("y"))
+        return drawn.filter(in_ring("x", "y", ring)).orderBy("id").limit(size)
     step = math.sqrt(area / size)
     nx, ny = math.ceil((max(xs) - min(xs)) / step), math.ceil((max(ys) - min(ys)) / step)
     lattice = spark.range(nx * ny).select(F.col("id"), (F.lit(min(xs)) + (F.col("id") % nx + 0.5) * step).alias("x"), (F.lit(min(ys)) + (F.floor(F.col("id") / nx) + 0.5) * step).alias("y"))
     return lattice.filter(in_ring("x", "y", ring))
 
 
-def prediction_points(spark: SparkSession, pred_points: DataFrame | None = None, model_domain: list[tuple[float, float]] | None = None, r: Raster | None = None, num_sample: int = 10_000, sampling: str = "regular", seed: int = 0) -> DataFrame:
-    """(id, x, y, ...) from the first source that is given: points, a polygon, or the first layer of a raster."""
+def prediction_points(spark: SparkSession, pred_points: Points | DataFrame | None = None, model_domain: list[tuple[float, float]] | None = None, r: Raster | None = None, num_sample: int = 10_000, sampling: str = "regular", seed: int = 0, x: Points | None = None, domain_crs: str | None = None) -> DataFrame:
+    """(id, x, y) from the first source that is given: points, a polygon, or the first layer of a raster. Reference systems must be those of the sample ``x``.
+
+    A bare table, and a polygon without ``domain_crs``, are taken to be in its system.
+    """
+    if sampling not in ("regular", "random"):
+        raise ValueError(f"unknown sampling {sampling!r}")
+    if r is not None and x is not None:
+        check_crs(x.crs, r.crs, "r")
     if pred_points is not None:
-        return pred_points
+        if isinstance(pred_points, Points):
+            if x is not None:
+                check_crs(x.crs, pred_points.crs, "pred_points")
+            pred_points = pred_points.df
+        return pred_points.select("id", "x", "y")
     if model_domain is not None:
-        return polygon_sample(spark, model_domain, num_sample)
+        if domain_crs is not None and x is not None:
+            check_crs(x.crs, domain_crs, "model_domain")
+        return polygon_sample(spark, model_domain, num_sample, sampling, seed)
     if r is not None:
         df = r.regular_sample(num_sample) if sampling == "regular" else r.random_sample(r.clamp(num_sample), seed)
-        return df.withColumn("id", F.col("row").cast("long") * r.ncol + F.col("col"))
-    raise ValueError("give pred_points, model_domain or r")
+        return df.select((F.col("row").cast("long") * r.ncol + F.col("col")).alias("id"), "x", "y")
+    raise ValueError("give pred_points, model_domain or r to say where predictions are made")
+
+
+def check_crs(a: str | None, b: str | None, name: str) -> None:
+    if not same_crs(a, b):
+        raise ValueError(f"the coordinate reference systems of the points ({a}) and of {name} ({b}) must match")
 
 
 def check_column(df: DataFrame, column: str | None) -> str | None:
@@ -199,9 +232,9 @@ def presences(df: DataFrame, column: str | None, presence_bg: bool) -> DataFrame
     return df.filter(F.col(column) == 1)
 
 
-def check_classes(df: DataFrame, column: str) -> None:
-    if df.agg(F.countDistinct(column)).first()[0] > MAX_CLASSES:
-        warnings.warn(f"{column!r} has more than {MAX_CLASSES} classes", stacklevel=2)
+def check_classes(n: int, column: str) -> None:
+    if n > MAX_CLASSES:
+        warnings.warn(f"{column!r} has more than {MAX_CLASSES} classes; is it a binary or categorical response?", stacklevel=3)
 
 
 def check_count(k: int, n: int, what: str = "points") -> None:

@@ -62,9 +62,8 @@ def test_matching_kernel():
         g = rng.random((50, 2)) * 20
         d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
         gij = np.sqrt(((g[:, None] - p[None]) ** 2).sum(2)).min(1)
-        lists = {i: sorted((d[i, j], j) for j in range(n) if j != i) for i in range(n)}
-        got = local.match_distances(lists, n, gij, phi, least)
-        assert np.allclose([got[i] for i in range(n)], brute_matching(d, gij, phi, least))
+        got = local.match_distances(local.sorted_distances(p), *np.unique(gij, return_counts=True), phi, least)
+        assert np.allclose(got, brute_matching(d, gij, phi, least))
 
 
 def test_nndm_folds(spark, lattice):
@@ -115,6 +114,89 @@ def test_nearest_is_brute_force(spark):
     assert len(none) == n and all(x["d"] is None for x in none)
 
 
+def test_nearest_rules_in_both_forms(spark, monkeypatch):
+    """Other fold, same group, farther than a bound, repeated places and degrees, with tiles at hand and with distributed ones."""
+    rng = np.random.default_rng(3)
+    for longlat in (False, True):
+        rows = [(i, *map(float, rng.integers(0, 9, 2)), int(rng.integers(0, 3)), int(rng.integers(0, 2)), float(rng.integers(0, 4)) * (90_000 if longlat else 1)) for i in range(120)]
+        rows += [(200 + i, 4.0, 4.0, 1, 0, 0.5) for i in range(60)]
+        df = spark.createDataFrame(rows, "id long, x double, y double, fold int, part int, far double")
+
+        def dist(a, b):
+            if not longlat:
+                return math.dist(a[1:3], b[1:3])
+            la, lb = math.radians(a[2]), math.radians(b[2])
+            h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+            return 2 * geometry.EARTH_RADIUS * math.asin(math.sqrt(min(1.0, h)))
+
+        rules = {
+            ("fold", None, None): lambda a, b: a[3] != b[3],
+            ("id", None, None): lambda a, b: a[0] != b[0],
+            ("fold", "part", None): lambda a, b: a[3] != b[3] and a[4] == b[4],
+            (None, None, "far"): lambda a, b: dist(a, b) > a[5],
+        }
+        for local_refs, tile in ((nn.LOCAL_REFS, 4), (0, 4)):
+            monkeypatch.setattr(nn, "LOCAL_REFS", local_refs)
+            monkeypatch.setattr(nn, "LOCAL_TILE", tile)
+            monkeypatch.setattr(nn, "TILE_REFS", tile)
+            monkeypatch.setattr(nn, "TILE_QUERIES", 50)
+            for (differ, same, beyond), ok in rules.items():
+                got = {r["id"]: r for r in nn.nearest(df, df, differ, same, beyond, longlat).collect()}
+                assert len(got) == len(rows)
+                for a in rows:
+                    best = min(((dist(a, b), b[0]) for b in rows if ok(a, b)), default=(None, None))
+                    assert got[a[0]]["d"] == pytest.approx(best[0], abs=1e-6 if longlat else 1e-9)
+                    if differ != "id" and not longlat:
+                        assert got[a[0]]["ref"] == best[1]
+        monkeypatch.undo()
+
+
+def test_running_sums_and_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v), int(rng.integers(1, 5))) for k in (1, 2) for v in set(rng.integers(0, 500, 80).tolist())]
+    df = spark.createDataFrame(rows, "k int, v double, n int")
+    for few in (stats.FEW_ROWS, 0):
+        monkeypatch.setattr(stats, "FEW_ROWS", few)
+        got = stats.running(df, ["k"], "v", ["n"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            mine = [x for x in rows if x[0] == r["k"]]
+            later = [x[1] for x in mine if x[1] > r["v"]]
+            assert (r["cum_n"], r["all_n"], r["next"]) == (sum(x[2] for x in mine if x[1] <= r["v"]), sum(x[2] for x in mine), min(later, default=None))
+    import hashlib
+
+    order = lambda k: {v: i for i, v in enumerate(sorted((x[1] for x in rows if x[0] == k), key=lambda v: hashlib.md5(f"7:{v}".encode()).hexdigest()), 1)}
+    assert all(order(r["k"])[r["v"]] == r["rank"] for r in stats.hash_rank(df, ["k"], 7, "v").collect())
+
+
+def test_sources_and_guards(spark, lattice, tmp_path):
+    square = [(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (0.0, 4.0)]
+    regular, drawn = P.prediction_points(spark, model_domain=square, num_sample=32), P.prediction_points(spark, model_domain=square, num_sample=50, sampling="random", seed=4)
+    assert regular.count() == 32 and drawn.count() == 50
+    assert all(0 <= r["x"] <= 8 and 0 <= r["y"] <= 4 for r in drawn.collect())
+    for wrong in (P.Points(lattice.df, "elsewhere"), P.Points(lattice.df, None)):
+        with pytest.raises(ValueError, match="must match"):
+            matching.nndm(lattice, wrong, 2.0)
+    with pytest.raises(ValueError, match="pred_points, model_domain or r"):
+        matching.knndm(lattice)
+    with pytest.raises(TypeError):
+        diagnose.distances("folds", lattice)
+    with pytest.raises(ValueError, match="do not match"):
+        f = folds.spatial(lattice, hexagon=False, rows_cols=(3, 3), selection="systematic", k=3)
+        diagnose.distances(f, lattice, x=lattice.with_df(lattice.df.limit(5)))
+    with pytest.warns(UserWarning, match="15 classes"):
+        response(lattice.df, "id", None)
+    report = diagnose.distances(f, lattice, num_random=2)
+    assert "distances" in report.describe() and "W" in report.describe()
+    (tmp_path / "p.csv").write_text("x,y\n" + "\n".join(f"{i},{-i}" for i in range(500)))
+    read = P.read_csv(spark.newSession(), str(tmp_path / "p.csv"), "x double, y double")
+    assert [(r["id"], r["x"]) for r in read.df.orderBy("id").collect()] == [(i + 1, float(i)) for i in range(500)]
+    ring = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    polygons = spark.createDataFrame([(i, [(a + 0.5 * i, b) for a, b in ring]) for i in range(40)], "block_id int, ring array<struct<x:double,y:double>>")
+    hits = {(r["id"], r["block_id"]) for r in folds.in_polygons(lattice.df.select("id", "x", "y"), polygons).collect()}
+    assert hits == {(r["id"], i) for r in lattice.df.collect() for i in range(40) if 1 + 0.5 * i <= r["x"] <= 3 + 0.5 * i and 1 <= r["y"] <= 3}
+
+
 def test_great_circle(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 179.9, 10.0)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 1.0, 0.0), (8, -179.9, 10.0)], "id long, x double, y double")
