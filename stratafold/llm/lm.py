@@ -7,9 +7,9 @@ predicts the class of the next id and then the id in its class:
   ``SPAN`` to ``2 * SPAN`` ids with relative position biases;
 * an id in its class follows its counts after the last id, drawn to its overall share of the class, so that all ids together have probability one.
 
-Counts are sums over all training documents. The attention is trained on every id of every training document, in windows that see what scoring sees: each partition takes Adam steps over
-its windows from common parameters, and the parameters are averaged, ``ROUNDS`` times. Scoring cuts a text into blocks of ``SPAN`` ids that also see the
-block before, so windows overlap and every id is scored once; blocks of many texts form one batch, masked to the past and their own text.
+Counts are sums over all training documents. The attention is trained on every id of every training document, once, in the blocks that scoring sees: in each of ``ROUNDS`` turns each
+partition takes Adam steps over its share of blocks from common parameters, and the parameters are averaged. A text is cut into blocks of ``SPAN`` ids that also see the
+block before, so windows overlap and every id is predicted once; blocks of many texts form one batch, masked to the past and their own text.
 
 Base scores need the count of every word. The ``HEAD_WORDS`` most frequent words go to every task; all other words are summed up by a join.
 """
@@ -38,7 +38,7 @@ PREVIOUS = 512
 DENSE_IDS = 4096
 DRAW = 20.0
 ROUNDS = 2
-BATCH = 256
+BATCH = 64
 RATE = 0.02
 HEAD_WORDS = 200_000
 CACHED_WORDS = 300_000
@@ -135,95 +135,142 @@ class Model:
         return [x.astype(np.float32) for x in (*made, np.zeros(2 * SPAN), np.zeros((DIM, CLASSES)))]
 
 
-def build(pairs: dict[int, dict[int, int]], unigrams: np.ndarray, starts: np.ndarray, end: int, last: np.ndarray) -> Model:
-    """Tables from counts: ``unigrams`` of ids, and ``pairs`` of (row of the last id) to {id: count} for frequent ids."""
-    size = len(unigrams)
-    order = np.lexsort((np.arange(size), -unigrams))
-    classes = np.zeros(size, np.int64)
-    single = CLASSES - BINS
+def order_of(unigrams: np.ndarray) -> np.ndarray:
+    """Ids by falling frequency."""
+    return np.lexsort((np.arange(len(unigrams)), -unigrams))
+
+
+def classes_of(unigrams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The class of each id: the most frequent ids have their own, the others share bins of falling frequency, by whether they begin a word."""
+    order, classes, single = order_of(unigrams), np.zeros(len(unigrams), np.int64), CLASSES - BINS
     classes[order[:single]] = np.arange(single)
-    for s in (False, True):  # the others in bins of falling frequency, by whether they begin a word
+    for s in (False, True):
         rest = order[single:][starts[order[single:]] == s]
         share = np.cumsum(unigrams[rest] + 1e-9)
         classes[rest] = single + s * (BINS // 2) + np.minimum((share / max(share[-1], 1e-12) * (BINS // 2)).astype(int), BINS // 2 - 1) if len(rest) else 0
+    return classes
+
+
+def build(counts: np.ndarray, by_class: np.ndarray, unigrams: np.ndarray, starts: np.ndarray, end: int, last: np.ndarray) -> Model:
+    """Tables from counts: ``unigrams`` of ids, ``counts`` (PREVIOUS, frequent ids in their order) and ``by_class`` (PREVIOUS, CLASSES) of all ids after a last id."""
+    size, order, classes = len(unigrams), order_of(unigrams), classes_of(unigrams, starts)
     in_class, ids_in_class = np.bincount(classes, unigrams, CLASSES), np.bincount(classes, minlength=CLASSES)
     overall = (unigrams + 0.5) / (in_class + 0.5 * ids_in_class)[classes]
-    keep = order[: min(DENSE_IDS, size)]
+    keep = order[: counts.shape[1]]
     dense = np.full(size, -1, np.int64)
     dense[keep] = np.arange(len(keep))
-    counts = np.zeros((PREVIOUS, len(keep)))
-    for row, found in pairs.items():
-        for i, n in found.items():
-            counts[row, dense[i]] += n
-    by_class = np.zeros((PREVIOUS, CLASSES))
+    kept, kept_share = np.zeros((PREVIOUS, CLASSES)), np.bincount(classes[keep], overall[keep], CLASSES)
     for k in range(CLASSES):
-        by_class[:, k] = counts[:, classes[keep] == k].sum(1)
+        kept[:, k] = counts[:, classes[keep] == k].sum(1)
     shares = (in_class + 0.5) / (in_class + 0.5).sum()
     table = np.log((by_class + DRAW * shares) / (by_class.sum(1, keepdims=True) + DRAW))
     after = np.log10((counts + DRAW * overall[keep]) / (by_class[:, classes[keep]] + DRAW))
-    loose = np.log10(DRAW / (by_class + DRAW))
+    # what a class has beyond the frequent ids is dealt to its other ids by their overall shares
+    others = np.maximum(1 - kept_share, 1e-12)
+    loose = np.log10(((by_class - kept) / others + DRAW) / (by_class + DRAW))
     return Model(classes, last, table.astype(np.float32), dense, after.astype(np.float32), loose.astype(np.float32), np.log10(overall).astype(np.float32), end)
 
 
-def _masks(n: int, back: int) -> tuple[np.ndarray, np.ndarray]:
-    """Relative positions of n queries that end ``back + n`` keys, and which keys they see."""
-    rel = back + np.arange(n)[:, None] - np.arange(back + n)[None]
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """Relative positions of a block's SPAN queries to the 2 * SPAN keys of the block before and its own, and which keys they see."""
+    rel = SPAN + np.arange(SPAN)[:, None] - np.arange(2 * SPAN)[None]
     return np.clip(rel, 0, 2 * SPAN - 1), rel >= 0
 
 
-def gradients(params: list[np.ndarray], table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss over the seen targets and its gradients; x: rows of last ids, y: classes of next ids, both (windows, length)."""
-    q_of, k_of, v_of, bias, w = params
-    n, length = x.shape
-    rel, open_ = _masks(length, 0)
-    q, k, v = q_of[x], k_of[x], v_of[x]
-    root = math.sqrt(DIM)  # a Python number, which leaves the arrays' type alone
-    s = q @ k.transpose(0, 2, 1) / root + bias[rel]
-    s = np.where(open_, s, -1e9)
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    o = a @ v
-    logits = table[x] + o @ w
-    logits = logits - logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(2)
-    own = np.take_along_axis(logits, y[..., None], 2)[..., 0]
-    m = max(1.0, float(seen.sum()))
-    loss = float(((np.log(total) - own) * seen).sum() / m)
-    d = p / total[..., None]
-    np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], 2) - 1, 2)
-    d *= (seen / m)[..., None]
-    dw = o.reshape(-1, DIM).T @ d.reshape(-1, w.shape[1])
-    do = d @ w.T
-    dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dbias = np.bincount(rel.ravel(), (ds.sum(0) * open_).ravel(), 2 * SPAN)
-    ds = ds / root
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    out = []
-    for g in (dq, dk, dv):
-        g = g.reshape(-1, DIM)
-        out.append(np.stack([np.bincount(x.ravel(), g[:, k], len(q_of)) for k in range(DIM)], 1).astype(q_of.dtype))
-    return loss, [*out, dbias.astype(w.dtype), dw]
+@dataclass
+class Blocks:
+    """Texts cut to blocks of SPAN ids: last ids' rows and next ids, which of them are real, and the blocks that begin a text."""
+
+    x: np.ndarray
+    y: np.ndarray
+    real: np.ndarray
+    begins: np.ndarray
+    at: np.ndarray  # place of each id in the flat blocks
+    sizes: np.ndarray  # ids to score in each text
+
+
+def blocks_of(sequences: list[np.ndarray], model: Model) -> Blocks:
+    """Every id of a text but the first, which stands before it, is the next id at one place of one block."""
+    sizes = np.array([len(s) - 1 for s in sequences])
+    n_blocks = -(-sizes // SPAN)
+    first = np.concatenate([[0], np.cumsum(n_blocks)[:-1]]) if len(sizes) else np.zeros(0, int)
+    total = int(n_blocks.sum())
+    at = np.repeat(first * SPAN - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    x, y, real = np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, bool)
+    if total:
+        x[at], y[at], real[at] = model.last[np.concatenate([s[:-1] for s in sequences])], np.concatenate([s[1:] for s in sequences]), True
+    begins = np.zeros(total, bool)
+    begins[first[n_blocks > 0]] = True
+    return Blocks(x.reshape(total, SPAN), y.reshape(total, SPAN), real.reshape(total, SPAN), begins, at, sizes)
 
 
-def cut(ids: bytes) -> list[bytes]:
-    """Windows of 2 * SPAN + 1 ids at most, SPAN apart, over a whole text; all but the first one's first SPAN targets are context."""
-    step = 2 * SPAN
-    return [ids[at : at + 2 * step + 2] for at in range(0, max(len(ids) - 2 - step, 1), step)]
+class Work:
+    """Buffers for batches of at most ``most`` blocks: fresh ones would cost more than the arithmetic."""
 
+    def __init__(self, most: int, train: bool = False, classes: int = CLASSES, dtype: type = np.float32):
+        self.most, f = most, lambda *shape: np.empty(shape, dtype)
+        self.q, self.o, self.k, self.v = f(most, SPAN, DIM), f(most, SPAN, DIM), f(most, 2 * SPAN, DIM), f(most, 2 * SPAN, DIM)
+        self.s, self.logits, self.drift = f(most, SPAN, 2 * SPAN), f(most * SPAN, classes), f(most * SPAN, classes)
+        self.ones = np.ones(classes, dtype)
+        if train:
+            self.do, self.dq, self.da = f(most, SPAN, DIM), f(most, SPAN, DIM), f(most, SPAN, 2 * SPAN)
+            self.dk, self.dv = f(most, 2 * SPAN, DIM), f(most, 2 * SPAN, DIM)
 
-def windows(rows: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Last rows, next classes and a mask, (windows, 2 * SPAN), from uint16 windows."""
-    n, length = len(rows), 2 * SPAN
-    x, y, seen = np.zeros((n, length), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), np.float32)
-    for i, r in enumerate(rows):
-        ids = np.frombuffer(r, "<u2").astype(np.int64)
-        m = len(ids) - 1
-        x[i, :m], y[i, :m], seen[i, :m] = model.last[ids[:-1]], model.classes[ids[1:]], 1
-        if ids[0] != model.end:  # not the first of its text
-            seen[i, :SPAN] = 0
-    return x, y, seen
+
+def forward(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before: np.ndarray, alone: np.ndarray, work: Work) -> tuple[np.ndarray, ...]:
+    """Attention and class logits of blocks: rows of last ids ``now`` and of the blocks ``before``, which ``alone`` blocks do not see. Returns views of ``work``."""
+    q_of, k_of, v_of, bias, w = params
+    n = len(now)
+    q, o, k, v, s = work.q[:n], work.o[:n], work.k[:n], work.v[:n], work.s[:n]
+    logits, drift = work.logits[: n * SPAN], work.drift[: n * SPAN]
+    rel, open_ = _masks()
+    seen = np.concatenate([before, now], 1)
+    np.take(q_of, now, 0, q, "clip")
+    np.take(k_of, seen, 0, k, "clip")
+    np.take(v_of, seen, 0, v, "clip")
+    np.matmul(q, k.transpose(0, 2, 1), s)
+    s *= s.dtype.type(1 / math.sqrt(DIM))
+    s += np.where(open_, bias[rel], -1e9).astype(s.dtype)
+    s[alone, :, :SPAN] = -1e9
+    np.minimum(s, 60, s)
+    np.exp(s, s)
+    s /= s.sum(2, keepdims=True)
+    np.matmul(s, v, o)
+    np.take(table, now.ravel(), 0, logits, "clip")
+    logits += np.matmul(o.reshape(-1, DIM), w, drift)
+    return q, k, v, s, o, logits, seen
+
+
+def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before: np.ndarray, alone: np.ndarray, y: np.ndarray, real: np.ndarray, work: Work) -> tuple[float, list[np.ndarray]]:
+    """Mean loss over the real targets of blocks and its gradients; y: classes of next ids."""
+    w, n = params[4], len(now)
+    q, k, v, a, o, logits, seen = forward(params, table, now, before, alone, work)
+    at, cls, weight = np.arange(n * SPAN), y.ravel(), real.ravel() / max(1.0, float(real.sum()))
+    own = logits[at, cls]
+    np.exp(logits, logits)
+    total = logits @ work.ones
+    loss = float(((np.log(total) - own) * weight).sum())
+    weight = weight.astype(w.dtype)
+    d = logits
+    d *= (weight / total)[:, None]
+    d[at, cls] -= weight
+    dw = o.reshape(-1, DIM).T @ d
+    do, dq, da, dk, dv = work.do[:n], work.dq[:n], work.da[:n], work.dk[:n], work.dv[:n]
+    np.matmul(d, w.T, do.reshape(-1, DIM))
+    np.matmul(a.transpose(0, 2, 1), do, dv)
+    np.matmul(do, v.transpose(0, 2, 1), da)
+    da -= np.einsum("nsk,nsk->ns", da, a)[..., None]
+    da *= a
+    rel, open_ = _masks()
+    dbias = np.bincount(rel.ravel(), (da.sum(0) * open_).ravel(), 2 * SPAN)
+    da *= da.dtype.type(1 / math.sqrt(DIM))
+    np.matmul(da, k, dq)
+    np.matmul(da.transpose(0, 2, 1), q, dk)
+    out = []
+    for rows, g, p in ((now, dq, params[0]), (seen, dk, params[1]), (seen, dv, params[2])):
+        flat = (rows.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
+        out.append(np.bincount(flat, g.ravel(), p.size).reshape(p.shape).astype(p.dtype))
+    return loss, [*out, dbias.astype(w.dtype), dw]
 
 
 def _flat(params: list[np.ndarray]) -> np.ndarray:
@@ -239,19 +286,21 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _steps(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
-    """Adam over this partition's windows; its parameters, weighted by its targets."""
+    """Adam over this partition's blocks of one turn; its parameters, weighted by its targets."""
     from pyspark import TaskContext
 
     params, t, n = [p.copy() for p in model.params], 0, 0
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    work = Work(BATCH, True)
     for b in sized(batches, "ids", 1 << 20):
-        rows = [w for x in b["ids"].to_pylist() for w in cut(x)]
-        rows = [rows[i] for i in np.random.default_rng(SEED).permutation(len(rows))]
-        for at in range(0, len(rows), BATCH):
-            x, y, seen = windows(rows[at : at + BATCH], model)
-            _, grads = gradients(params, model.table, x, y, seen)
-            t, n = t + 1, n + int(seen.sum())
-            rate = RATE / (1 + turn) / (1 + t / 200)
+        texts_ = blocks_of([np.frombuffer(x, "<u2") for x in b["ids"].to_pylist()], model)
+        mine = np.random.default_rng(SEED).permutation(len(texts_.x))[turn::ROUNDS]
+        for at in range(0, len(mine), BATCH):
+            i = mine[at : at + BATCH]
+            real = texts_.real[i]
+            _, grads = gradients(params, model.table, texts_.x[i], texts_.x[np.maximum(i - 1, 0)], texts_.begins[i], model.classes[texts_.y[i]], real, work)
+            t, n = t + 1, n + int(real.sum())
+            rate = RATE / (1 + turn) / (1 + t / 800)
             for p, g, mm, vv in zip(params, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
                 vv += 0.01 * (g * g - vv)
@@ -280,55 +329,23 @@ def train_attention(model: Model, rows: DataFrame) -> Model:
     return model
 
 
-def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128) -> np.ndarray:
+def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128, work: Work | None = None) -> np.ndarray:
     """log10 probability of each sequence of ids, of which the first stands before it and is not scored."""
-    q_of, k_of, v_of, bias, w = model.params
-    sizes = np.array([len(s) - 1 for s in sequences])
-    n_blocks = -(-sizes // SPAN)
-    first_block = np.concatenate([[0], np.cumsum(n_blocks)[:-1]]) if len(sizes) else np.zeros(0, int)
-    total = int(n_blocks.sum())
-    at = np.repeat(first_block * SPAN - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    x, y, real = np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, bool)
-    whole = np.concatenate([s[:-1] for s in sequences]), np.concatenate([s[1:] for s in sequences])
-    x[at], y[at], real[at] = model.last[whole[0]], whole[1], True
-    begins = np.zeros(total, bool)
-    begins[first_block[n_blocks > 0]] = True
-    rel, open_ = _masks(SPAN, SPAN)
-    bias_of = np.where(open_, bias[rel], -1e9).astype(np.float32)
-    alone = np.where(np.arange(2 * SPAN) < SPAN, np.float32(-1e9), np.float32(0))
-    out = np.empty(total * SPAN, np.float32)
-    x, y = x.reshape(total, SPAN), y.reshape(total, SPAN)
-    queries, ones = q_of * np.float32(1 / np.sqrt(DIM)), np.ones(CLASSES, np.float32)
-    # one set of buffers for all batches: fresh ones would cost more than the arithmetic
-    most = min(blocks, max(total, 1))
-    q, o = np.empty((most, SPAN, DIM), np.float32), np.empty((most, SPAN, DIM), np.float32)
-    k, v = np.empty((most, 2 * SPAN, DIM), np.float32), np.empty((most, 2 * SPAN, DIM), np.float32)
-    s, logits, drift = np.empty((most, SPAN, 2 * SPAN), np.float32), np.empty((most * SPAN, CLASSES), np.float32), np.empty((most * SPAN, CLASSES), np.float32)
-    for a in range(0, total, most):
-        now = x[a : a + most]
-        n = len(now)
-        if n < most:
-            q, o, k, v, s, logits, drift = q[:n], o[:n], k[:n], v[:n], s[:n], logits[: n * SPAN], drift[: n * SPAN]
-        seen = np.concatenate([x[np.maximum(np.arange(a, a + n) - 1, 0)], now], 1)
-        np.take(queries, now, 0, q, "clip")
-        np.take(k_of, seen, 0, k, "clip")
-        np.take(v_of, seen, 0, v, "clip")
-        np.matmul(q, k.transpose(0, 2, 1), s)
-        s += bias_of
-        s[begins[a : a + n]] += alone
-        np.exp(s, s)
-        np.matmul(s, v, o)
-        o /= s.sum(2, keepdims=True)
-        row, ids = now.ravel(), y[a : a + n].ravel()
-        np.take(model.table, row, 0, logits, "clip")
-        logits += np.matmul(o.reshape(-1, DIM), w, drift)
+    b = blocks_of(sequences, model)
+    work = work or Work(blocks)
+    out = np.empty(b.x.size, np.float32)
+    for a in range(0, len(b.x), blocks):
+        now = b.x[a : a + blocks]
+        before = b.x[np.maximum(np.arange(a, a + len(now)) - 1, 0)]
+        logits = forward(model.params, model.table, now, before, b.begins[a : a + blocks], work)[5]
+        row, ids = now.ravel(), b.y[a : a + blocks].ravel()
         cls = model.classes[ids]
         own = logits[np.arange(len(row)), cls]
         np.exp(logits, logits)
         column = model.dense[ids]
         emit = np.where(column >= 0, model.after[row, column], model.loose[row, cls] + model.overall[ids])
-        out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ ones)) / np.float32(np.log(10)) + emit
-    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), out[at].astype(float), len(sizes))
+        out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ work.ones)) / np.float32(np.log(10)) + emit
+    return np.bincount(np.repeat(np.arange(len(b.sizes)), b.sizes), out[b.at].astype(float), len(b.sizes))
 
 
 def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: dict[bytes, int], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -338,10 +355,10 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: dic
     subwords, row = Subwords(path), TaskContext.get().partitionId() << 36
     logs = {w: float(np.log10(n + 1)) for w, n in head.items() if w}
     end_log = float(np.log10(head[b""] + 1))
-    end = np.array([subwords.end], "<u2").tobytes()
+    end, work = np.array([subwords.end], "<u2").tobytes(), Work(128)
     for b in sized(batches, "text", 4 << 20):
         split = [x.lower().split() for x in utf8(b["text"])]
-        scores = log10_scores(model, [np.frombuffer(end + x + end, "<u2") for x in subwords.rows(split)])
+        scores = log10_scores(model, [np.frombuffer(end + x + end, "<u2") for x in subwords.rows(split)], 128, work)
         out = {k: [] for k in ("known", "logs", "rare")}
         for x in split:
             found = list(map(logs.get, x))
@@ -367,24 +384,33 @@ def prepare(docs: DataFrame, path: str) -> tuple[Model, DataFrame, int, int]:
     unigrams = np.zeros(subwords.size)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary at most
         unigrams[r["id"]] = r["n"]
-    order = np.lexsort((np.arange(subwords.size), -unigrams))
+    order = order_of(unigrams)
     last = np.where(subwords.starts, PREVIOUS - 1, PREVIOUS - 2)
     last[order[: PREVIOUS - 2]] = np.arange(PREVIOUS - 2)
     last[subwords.end] = last[subwords.end] if unigrams[subwords.end] else 0
-    keep = set(order[: min(DENSE_IDS, subwords.size)].tolist())
-    mapped = pairs.mapInArrow(partial(_rows, last=last, keep=np.isin(np.arange(subwords.size), list(keep))), "row int, id int, n long")
-    after: dict[int, dict[int, int]] = {}
-    for r in mapped.groupBy("row", "id").agg(F.sum("n").alias("n")).toLocalIterator():  # PREVIOUS * DENSE_IDS rows at most
-        after.setdefault(r["row"], {})[r["id"]] = r["n"]
-    model = build(after, unigrams, subwords.starts, subwords.end, last)
+    width = min(DENSE_IDS, subwords.size)
+    column = np.full(subwords.size, -1, np.int64)
+    column[order[:width]] = np.arange(width)
+    mapped = pairs.mapInArrow(partial(_rows, last=last, column=column, classes=classes_of(unigrams, subwords.starts)), "row int, cell int, n long").groupBy("row", "cell").agg(F.sum("n").alias("n"))
+    counts, by_class = np.zeros((PREVIOUS, width)), np.zeros((PREVIOUS, CLASSES))
+    for r in mapped.groupBy("row").applyInArrow(_packed, "row int, cells binary, n binary").toLocalIterator():  # PREVIOUS rows of DENSE_IDS + CLASSES cells at most
+        cell, n = np.frombuffer(bytes(r["cells"]), "<i2").astype(int), np.frombuffer(bytes(r["n"]), "<i8")
+        counts[r["row"], cell[cell >= 0]] = n[cell >= 0]
+        by_class[r["row"], -1 - cell[cell < 0]] = n[cell < 0]
+    model = build(counts, by_class, unigrams, subwords.starts, subwords.end, last)
     return train_attention(model, gathered.filter("kind = 2")), words, tokens, distinct
 
 
-def _rows(batches: Iterator[pa.RecordBatch], last: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], last: np.ndarray, column: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts by the row of the last id and a cell: the column of a frequent id, and for every id the class c as -1 - c."""
     for b in batches:
-        ids, before = b["id"].to_numpy(), b["last"].to_numpy()
-        inside = keep[ids]
-        yield batch({"row": last[before[inside]], "id": ids[inside], "n": b["n"].to_numpy()[inside]}, pa.schema([("row", pa.int32()), ("id", pa.int32()), ("n", pa.int64())]))
+        ids, row, n = b["id"].to_numpy(), last[b["last"].to_numpy()], b["n"].to_numpy()
+        known = column[ids] >= 0
+        yield batch({"row": np.concatenate([row, row[known]]), "cell": np.concatenate([-1 - classes[ids], column[ids[known]]]), "n": np.concatenate([n, n[known]])}, pa.schema([("row", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())]))
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    return pa.table({"row": rows["row"][:1], "cells": pa.array([rows["cell"].to_numpy().astype("<i2").tobytes()], pa.binary()), "n": pa.array([rows["n"].to_numpy().astype("<i8").tobytes()], pa.binary())})
 
 
 def score(docs: DataFrame, vocabulary: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:

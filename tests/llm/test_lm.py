@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from stratafold.llm import lm
 
@@ -17,31 +18,33 @@ def tokens(text):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    old = lm.PREVIOUS
     params = [rng.normal(size=s) for s in ((6, lm.DIM), (6, lm.DIM), (6, lm.DIM), (2 * lm.SPAN,), (lm.DIM, 5))]
-    table, x, y = rng.normal(size=(6, 5)), rng.integers(0, 6, (3, 7)), rng.integers(0, 5, (3, 7))
-    seen = (rng.random((3, 7)) < 0.8).astype(float)
-    _, grads = lm.gradients(params, table, x, y, seen)
+    table, now, before, y = rng.normal(size=(6, 5)), *(rng.integers(0, n, (3, lm.SPAN)) for n in (6, 6, 5))
+    real, alone = rng.random((3, lm.SPAN)) < 0.8, np.array([False, True, False])
+    loss = lambda: lm.gradients(params, table, now, before, alone, y, real, lm.Work(4, True, 5, float))
+    _, grads = loss()
     for p, g in zip(params, grads, strict=True):
         for _ in range(6):
             at = tuple(rng.integers(0, n) for n in p.shape)
             keep = p[at]
             p[at] = keep + 1e-5
-            up = lm.gradients(params, table, x, y, seen)[0]
+            up = loss()[0]
             p[at] = keep - 1e-5
-            down = lm.gradients(params, table, x, y, seen)[0]
+            down = loss()[0]
             p[at] = keep
             assert abs((up - down) / 2e-5 - g[at]) < 1e-5
-    assert old == lm.PREVIOUS
 
 
 def toy():
     rng = np.random.default_rng(2)
     size = 200
-    unigrams = rng.integers(0, 50, size).astype(float)
+    unigrams, starts = rng.integers(0, 50, size).astype(float), rng.random(size) < 0.5
     last = rng.integers(0, lm.PREVIOUS, size)
-    pairs = {int(r): {int(i): int(rng.integers(1, 9)) for i in rng.integers(0, size, 12)} for r in range(0, lm.PREVIOUS, 3)}
-    m = lm.build(pairs, unigrams, rng.random(size) < 0.5, size - 1, last)
+    all_counts = rng.integers(0, 9, (lm.PREVIOUS, size)) * (rng.random((lm.PREVIOUS, size)) < 0.1)
+    classes = lm.classes_of(unigrams, starts)
+    by_class = np.stack([all_counts[:, classes == k].sum(1) for k in range(lm.CLASSES)], 1).astype(float)
+    keep = lm.order_of(unigrams)[: min(lm.DENSE_IDS, size)]
+    m = lm.build(all_counts[:, keep].astype(float), by_class, unigrams, starts, size - 1, last)
     m.params = [(rng.normal(size=p.shape) * 0.5).astype(np.float32) for p in m.start()]
     return m, rng, size
 
@@ -63,22 +66,16 @@ def brute(m, seq):
     return out
 
 
-def test_blocks_are_the_definition_and_probabilities_sum_to_one():
+@pytest.mark.parametrize("dense", [lm.DENSE_IDS, 60])
+def test_blocks_are_the_definition_and_probabilities_sum_to_one(dense, monkeypatch):
+    monkeypatch.setattr(lm, "DENSE_IDS", dense)
     m, rng, size = toy()
+    assert m.after.shape[1] == min(dense, size)
     sequences = [rng.integers(0, size, n) for n in (2, 17, 18, 33, 34, 120, 2, 49)]
     assert np.allclose(lm.log10_scores(m, sequences, blocks=3), [brute(m, s) for s in sequences], rtol=1e-4)
     start = rng.integers(0, size, 20)
     every = lm.log10_scores(m, [np.append(start, i) for i in range(size)]) - lm.log10_scores(m, [start])[0]
     assert abs((10**every).sum() - 1) < 1e-3
-    few = lm.DENSE_IDS
-    try:
-        lm.DENSE_IDS = 60
-        m2, _, _ = toy()
-    except IndexError:
-        m2 = None
-    finally:
-        lm.DENSE_IDS = few
-    assert m2 is None or m2.after.shape[1] == 60
 
 
 def test_table(spark):
@@ -110,17 +107,55 @@ def test_every_id_is_a_target_once(spark):
     m, _, size = toy()
     for n in (2, 16, 17, 32, 33, 34, 48, 49, 50, 120):
         ids = np.array([m.end, *np.arange(1, n - 1) % (size - 2), m.end], "<u2")
-        parts = lm.cut(ids.tobytes())
-        _, y, seen = lm.windows(parts, m)
-        got = [c for row, mask in zip(y, seen, strict=True) for c in row[mask > 0]]
-        assert got == m.classes[ids[1:]].tolist()
+        b = lm.blocks_of([ids, ids[:2]], m)
+        assert b.y[b.real].tolist() == ids[1:].tolist() + [ids[1]] and b.begins.sum() == 2
+        turns = [np.random.default_rng(lm.SEED).permutation(len(b.x))[t :: lm.ROUNDS] for t in range(lm.ROUNDS)]
+        assert sorted(np.concatenate(turns).tolist()) == list(range(len(b.x)))
     long = spark.createDataFrame([(1, "word " * 1000)], "doc_id long, text string")
-    rows = [r["ids"] for r in long.mapInArrow(lambda b: lm._gather(b, PATH), "kind int, word string, key long, n long, ids binary").filter("kind = 2").collect()]
-    assert sum(int(lm.windows(lm.cut(bytes(x)), m_of(x))[2].sum()) for x in rows) == 1001
-
-
-def m_of(ids):
-    m, _, _ = toy()
-    m.last, m.classes = np.zeros(1 << 16, int), np.zeros(1 << 16, int)
-    m.end = int(np.frombuffer(bytes(ids), "<u2")[0])
-    return m
+    rows = [bytes(r["ids"]) for r in long.mapInArrow(lambda b: lm._gather(b, PATH), "kind int, word string, key long, n long, ids binary").filter("kind = 2").collect()]
+    assert [len(x) // 2 - 1 for x in rows] == [1001]
+
+
+def chains(spark, n):
+    """Texts of a closed vocabulary in which the word two places back, which only attention sees, rules the next."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in ("stone", "river", "cloud", "tiger", "maple", "ember") for b in ("field", "light", "house", "water", "garden")]
+    rows = []
+    for i in range(n):
+        at = [int(rng.integers(0, 30)), int(rng.integers(0, 30))]
+        for _ in range(60):
+            at.append((at[-2] * 7 + 3) % 30 if rng.random() < 0.9 else int(rng.integers(0, 30)))
+        rows.append((i, " ".join(vocabulary[k] for k in at)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+
+
+def per_token(rows, column):
+    return sum(r[column] for r in rows) / sum(r["n_tokens"] for r in rows)
+
+
+def test_attention_carries_the_score(spark, monkeypatch):
+    """On held-out texts whose words are all known the model beats its base, and without the attention it loses most of that."""
+    docs = chains(spark, 3000)
+    held = [r for r in lm.score(docs, PATH).collect() if r["held_out"]]
+    assert all(r["n_known"] == r["n_tokens"] for r in held)
+    base, whole = per_token(held, "base_score"), per_token(held, "score")
+    trained = lm.train_attention
+
+    def without(model, rows):
+        model = trained(model, rows)
+        model.params[4] = np.zeros_like(model.params[4])
+        return model
+
+    monkeypatch.setattr(lm, "train_attention", without)
+    plain = per_token([r for r in lm.score(docs, PATH).collect() if r["held_out"]], "score")
+    print("per token", whole, plain, base)
+    assert whole > 0.8 * base and whole - plain > 0.5 * (whole - base)
+
+
+def test_edges(spark):
+    rows = [(1, None, "k", 1), (2, "", "k", 2), (3, "a b c " * 20_000, "k", 3), (3, "a b c " * 20_000, "k", 3), (None, "a b", "k", 4), (4, "x" * 50_000, "k", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, held_out int")
+    got = lm.score(docs, PATH).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 60_001, 60_001]
+    twins = [r["score"] for r in got if r["doc_id"] == 3]
+    assert twins[0] == pytest.approx(twins[1], rel=1e-4) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
