@@ -71,6 +71,7 @@ class ByteBPE:
     """A byte-level BPE vocabulary in the format of the tokenizers library."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]

@@ -1,16 +1,18 @@
 """Token counts that follow edits.
 
 A text is cut into units, white-space bounded runs of pre-tokens, which byte-pair encoding never joins, so its count is the sum of theirs. Units stand in the
-leaves of a segment tree, some dozens a leaf, whose nodes hold the characters and tokens of their subtrees. An edit finds its place by a walk down, re-reads the
-units that it touches, with two characters of context before it, and goes on behind it only until a new unit begins where an old one did: from there the
-pattern, which looks ahead but never back, must repeat itself. Only new units are encoded, and the sums change on the paths to the root alone.
+leaves of a segment tree, some dozens a leaf, whose nodes hold the characters and tokens of their subtrees; the text is nowhere else. An edit finds its place by a walk down,
+re-reads the units that it touches, with two characters of context before it, and goes on behind it only until a new unit begins where an old one did: from there the
+pattern, which looks ahead but never back, must repeat itself. Only new units are encoded, and the sums change on the paths to the root alone: an edit's cost follows
+its own length and the depth of the tree, not the text.
 
 Texts with white space beyond ASCII or special tokens have single pre-tokens as units, and an edit to or from such a text counts it anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -25,17 +27,32 @@ CACHED_UNITS = 400_000
 
 
 class Counter(dict):
-    """Token counts of units, kept for the last units seen."""
+    """Token counts of units, kept for the last units seen. Distinct new units are encoded together, by the vocabulary's own library."""
 
     def __init__(self, bpe: ByteBPE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         self.bpe = bpe
+        self.tokenizer = Tokenizer.from_file(bpe.path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.longest = max(map(len, self.bpe.special), default=1)
 
-    def __missing__(self, unit: str) -> int:
+    def learn(self, texts: Iterable[list[str]]) -> None:
         if len(self) > CACHED_UNITS:
             self.clear()
-        self.bpe.known.clear()
-        n = self[unit] = len(self.bpe.encode(unit))
-        return n
+        fresh = list({u for units in texts for u in units if u not in self})
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            self.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+
+    def counts(self, units: list[str]) -> list[int]:
+        try:
+            return list(map(self.__getitem__, units))
+        except KeyError:
+            self.learn([units])
+            return list(map(self.__getitem__, units))
 
     def plain(self, text: str) -> bool:
         return not (_OTHER_SPACE.search(text) or any(t in text for t in self.bpe.special))
@@ -47,24 +64,39 @@ class Counter(dict):
 
 
 class CountedText:
-    """A text with its token count; ``edit`` keeps both."""
+    """A text with its token count; ``edit`` keeps both. The text exists as its units alone, some dozens a leaf."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, units: list[str] | None = None):
         self.counter = counter
-        self._build(text)
-
-    def _build(self, text: str) -> int:
-        self.text, self.plain = text, self.counter.plain(text)
-        units = self.counter.units(text)
-        lengths, counts = list(map(len, units)), list(map(self.counter.__getitem__, units))
-        self.lengths = [lengths[k : k + LEAF] for k in range(0, len(units), LEAF)] or [[]]
-        self.counts = [counts[k : k + LEAF] for k in range(0, len(units), LEAF)] or [[]]
-        self.base = 1 << (len(self.lengths) - 1).bit_length()
-        pad = [0] * (self.base - len(self.lengths))
-        self.chars, self.sums = [0] * self.base + list(map(sum, self.lengths)) + pad, [0] * self.base + list(map(sum, self.counts)) + pad
+        self._build(text, units)
+
+    def _build(self, text: str, units: list[str] | None = None) -> int:
+        self.plain = self.counter.plain(text)
+        units = self.counter.units(text) if units is None else units
+        counts = self.counter.counts(units)
+        self._plant([units[k : k + LEAF] for k in range(0, len(units), LEAF)] or [[]], [counts[k : k + LEAF] for k in range(0, len(units), LEAF)] or [[]])
+        return len(units)
+
+    def _plant(self, units: list[list[str]], counts: list[list[int]]) -> None:
+        """The tree over leaves of units: characters and tokens of each subtree."""
+        self.units, self.counts = units, counts
+        self.base = 1 << (len(units) - 1).bit_length()
+        pad = [0] * (self.base - len(units))
+        self.chars = [0] * self.base + [sum(map(len, x)) for x in units] + pad
+        self.sums = [0] * self.base + list(map(sum, counts)) + pad
         for k in range(self.base - 1, 0, -1):
             self.chars[k], self.sums[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.sums[2 * k] + self.sums[2 * k + 1]
-        return len(units)
+
+    def __len__(self) -> int:
+        return self.chars[1]
+
+    @property
+    def text(self) -> str:
+        return "".join(u for leaf in self.units for u in leaf)
+
+    @property
+    def lengths(self) -> list[list[int]]:
+        return [list(map(len, leaf)) for leaf in self.units]
 
     @property
     def tokens(self) -> int:
@@ -73,10 +105,10 @@ class CountedText:
     def prefix_tokens(self, position: int) -> int:
         """Tokens of the units that end at ``position`` or before."""
         leaf, at, before = self._leaf(position)
-        for n, c in zip(self.lengths[leaf], self.counts[leaf], strict=True):
-            if at + n > position:
+        for u, c in zip(self.units[leaf], self.counts[leaf], strict=True):
+            if at + len(u) > position:
                 break
-            at, before = at + n, before + c
+            at, before = at + len(u), before + c
         return before
 
     def _leaf(self, position: int) -> tuple[int, int, int]:
@@ -86,51 +118,80 @@ class CountedText:
             k *= 2
             if at + self.chars[k] <= position and self.chars[k + 1]:
                 at, tokens, k = at + self.chars[k], tokens + self.sums[k], k + 1
-        return min(k - self.base, len(self.lengths) - 1), at, tokens
+        return min(k - self.base, len(self.units) - 1), at, tokens
+
+    def slice(self, start: int, end: int) -> str:
+        """The characters from ``start`` to before ``end``, from the leaves that hold them."""
+        leaf, at, _ = self._leaf(max(start, 0))
+        parts, first = [], at
+        while leaf < len(self.units) and at < end:
+            parts.append("".join(self.units[leaf]))
+            at, leaf = at + len(parts[-1]), leaf + 1
+        return "".join(parts)[max(start, 0) - first : max(end - first, 0)]
 
     def _update(self, leaf: int) -> None:
         k = leaf + self.base
-        self.chars[k], self.sums[k] = sum(self.lengths[leaf]), sum(self.counts[leaf])
+        self.chars[k], self.sums[k] = sum(map(len, self.units[leaf])), sum(self.counts[leaf])
         while k := k // 2:
             self.chars[k], self.sums[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.sums[2 * k] + self.sums[2 * k + 1]
 
+    def _stays_plain(self, start: int, end: int, replacement: str) -> bool:
+        """Only the replacement can bring new white space, and only it with its surroundings a special token."""
+        if not self.plain or _OTHER_SPACE.search(replacement):
+            return False
+        near = self.counter.longest - 1
+        return self.counter.plain(self.slice(start - near, start) + replacement + self.slice(end, end + near))
+
     def edit(self, start: int, end: int, replacement: str) -> int:
         """Replace the characters from ``start`` to before ``end``; returns how many units were encoded again."""
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
-        text, shift = self.text[:start] + replacement + self.text[end:], len(replacement) - (end - start)
-        if not self.plain or not self.counter.plain(text):
-            return self._build(text)
+        start = min(max(start, 0), len(self))
+        end = min(max(end, start), len(self))
+        if not self._stays_plain(start, end, replacement):
+            return self._build(self.slice(0, start) + replacement + self.slice(end, len(self)))
+        shift = len(replacement) - (end - start)
         leaf, at, _ = self._leaf(max(0, start - CONTEXT))
         unit = 0
-        while unit < len(self.lengths[leaf]) and at + self.lengths[leaf][unit] <= start - CONTEXT:
-            at, unit = at + self.lengths[leaf][unit], unit + 1
-        old, new, units = at, at, []
-        to_leaf, to_unit = leaf, unit
-        fresh = (m.group() for m in _CHUNK.finditer(text, at))
-        while new < start + len(replacement) or old < end or new - shift != old:
-            if new < start + len(replacement) or new - shift < old:
-                units.append(u := next(fresh))
-                new += len(u)
-            else:
-                while to_unit >= len(self.lengths[to_leaf]):
-                    to_leaf, to_unit = to_leaf + 1, 0
-                old, to_unit = old + self.lengths[to_leaf][to_unit], to_unit + 1
-        lengths, counts = list(map(len, units)), list(map(self.counter.__getitem__, units))
-        for table, made in ((self.lengths, lengths), (self.counts, counts)):
+        while unit < len(self.units[leaf]) and at + len(self.units[leaf][unit]) <= start - CONTEXT:
+            at, unit = at + len(self.units[leaf][unit]), unit + 1
+        reach = 2 * CONTEXT + 64
+        while True:  # a window behind the edit, doubled until units begin in it where old ones did
+            last = end + reach >= len(self)
+            window = self.slice(at, start) + replacement + self.slice(end, min(end + reach, len(self)))
+            found = self._resume(window, at, leaf, unit, start + len(replacement), end, shift, last)
+            if found:
+                break
+            reach *= 2
+        made, to_leaf, to_unit = found
+        for table, new in ((self.units, made), (self.counts, self.counter.counts(made))):
             tail = table[to_leaf][to_unit:]
             for k in range(leaf + 1, to_leaf + 1):
                 table[k] = []
-            table[leaf] = table[leaf][:unit] + made + (tail if to_leaf == leaf else [])
+            table[leaf] = table[leaf][:unit] + new + (tail if to_leaf == leaf else [])
             if to_leaf > leaf:
                 table[to_leaf] = tail
-        self.text = text
-        if len(self.lengths[leaf]) > 8 * LEAF:
-            self._build(text)
+        if len(self.units[leaf]) > 8 * LEAF:  # a leaf that has grown is cut; only sums are made anew
+            cut = lambda table: [p for x in table for p in ([x[k : k + LEAF] for k in range(0, len(x), LEAF)] if len(x) > 8 * LEAF else [x])]
+            self._plant(cut(self.units), cut(self.counts))
         else:
             for k in range(leaf, to_leaf + 1):
                 self._update(k)
-        return len(units)
+        return len(made)
+
+    def _resume(self, window: str, at: int, leaf: int, unit: int, new_end: int, old_end: int, shift: int, last: bool) -> tuple[list[str], int, int] | None:
+        """New units of ``window``, which begins at ``at``, up to where one begins behind the edit at an old unit's place, and that place; None if the window is too short."""
+        old, new, units, fresh = at, at, [], _CHUNK.finditer(window)
+        while new < new_end or old < old_end or new - shift != old:
+            if new < new_end or new - shift < old:
+                m = next(fresh, None)
+                if m is None or (m.end() == len(window) and not last):  # what follows the window could change this unit
+                    return None
+                units.append(m.group())
+                new += len(units[-1])
+            else:
+                while unit >= len(self.units[leaf]):
+                    leaf, unit = leaf + 1, 0
+                old, unit = old + len(self.units[leaf][unit]), unit + 1
+        return units, leaf, unit
 
 
 #: Edits of the query: place as a share of the text, characters to delete, text to insert.
@@ -142,12 +203,14 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("edited_tok
 def _count(batches: Iterator[pa.RecordBatch], path: str, edits: tuple) -> Iterator[pa.RecordBatch]:
     counter = Counter(ByteBPE(path))
     for b in sized(batches, "text", 4 << 20):
-        rows = []
-        for doc, text in zip(b["doc_id"].to_pylist(), strings(b["text"]), strict=True):
-            counted = CountedText(text, counter)
+        rows, whole = [], strings(b["text"])
+        units = list(map(counter.units, whole))
+        counter.learn(units)
+        for doc, text, own in zip(b["doc_id"].to_pylist(), whole, units, strict=True):
+            counted = CountedText(text, counter, own)
             before, again = counted.tokens, 0
             for share, gone, come in edits:
-                at = int(len(counted.text) * share)
+                at = int(len(counted) * share)
                 again += counted.edit(at, at + gone, come)
             rows.append((doc, before, counted.tokens, again))
         yield batch(dict(zip(_OUT.names, zip(*rows, strict=True), strict=True)), _OUT)

@@ -51,3 +51,26 @@ def test_table(spark, own, tables):
             text = text[:at] + come + text[at + gone :]
         assert got[r["doc_id"]]["edited_tokens"] == len(own.encode(text))
     assert tokencount.edited_counts(docs.limit(0)).count() == 0
+
+
+def test_edges(spark, own):
+    long = "a word or two, 日本 and more\n" * 40_000
+    rows = [(1, long, "k", 1), (1, long, "k", 1), (2, "", "k", 2), (2, None, "k", 2), (None, "twin", "k", 3), (None, "twin", "k", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, edited_tokens int")
+    got = tokencount.edited_counts(docs).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(own.encode(t or "")) for _, t, *_ in rows)
+    assert {r["reencoded_units"] for r in got if r["doc_id"] == 1} == {next(r["reencoded_units"] for r in got if r["doc_id"] == 1)}
+    assert all(r["reencoded_units"] < 60 for r in got)
+
+
+def test_an_edit_does_not_read_the_text(own, monkeypatch):
+    """Edits of a text of millions of characters look at some thousands of them."""
+    text = "some words in a row, and more of them. " * 50_000
+    counted = tokencount.CountedText(text, tokencount.Counter(own))
+    read = []
+    plain, chunk = tokencount.Counter.plain, tokencount.CountedText.slice
+    monkeypatch.setattr(tokencount.Counter, "plain", lambda self, t: read.append(len(t)) or plain(self, t))
+    monkeypatch.setattr(tokencount.CountedText, "slice", lambda self, a, b: read.append(len(x := chunk(self, a, b))) or x)
+    for k in range(100):
+        counted.edit(k * 15_000, k * 15_000 + 3, " <|endof new")
+    assert sum(read) < 100 * 2000
