@@ -11,14 +11,17 @@ Texts with white space beyond ASCII or special tokens have single pre-tokens as
 
 from __future__ import annotations
 
-import os
+import json
+import re
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import cache, partial
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratafold.llm.bpe import _CHUNK, _OTHER_SPACE, ByteBPE
+from stratafold.llm.bpe import _CHUNK, _OTHER_SPACE, PRE_TOKEN, ByteBPE, byte_letters
 from stratafold.llm.common import batch, sized, strings, texts, tokenizer_path
 
 LEAF = 48  # units in a new leaf
@@ -26,26 +29,47 @@ CONTEXT = 2  # characters that the pattern looks at beyond a unit
 CACHED_UNITS = 400_000
 
 
+_PLAIN_WORD = re.compile(" ?[^\\s\x1c-\x1f\x85]+")
+
+
+@cache
+def _ranks(path: str) -> tuple[Any, int]:
+    """The vocabulary as merge ranks of byte strings, and the rank of a line end."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    back = {c: bytes([b]) for b, c in byte_letters().items()}
+    ranks = {bytes([b]): b for b in range(256)}
+    for k, m in enumerate(merges):
+        ranks.setdefault(b"".join(back[c] for c in (m.replace(" ", "") if isinstance(m, str) else "".join(m))), 256 + k)
+    return tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
+
+
 class Counter(dict):
-    """Token counts of units, kept for the last units seen. Distinct new units are encoded together, by the vocabulary's own library."""
+    """Token counts of units, kept for the last units seen. Distinct new words are encoded together by their merge ranks."""
 
     def __init__(self, bpe: ByteBPE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.bpe = bpe
-        self.tokenizer = Tokenizer.from_file(bpe.path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.longest = max(map(len, self.bpe.special), default=1)
+        self.bpe, self.longest = bpe, max(map(len, bpe.special), default=1)
+        self.ranks, self.newline = _ranks(bpe.path)
 
     def learn(self, texts: Iterable[list[str]]) -> None:
+        """Words, with a space before them or none, are encoded in one text, a line each, which pre-tokens do not cross; other units go through the queue of ``bpe``."""
         if len(self) > CACHED_UNITS:
             self.clear()
         fresh = list({u for units in texts for u in units if u not in self})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        words = [u for u in fresh if _PLAIN_WORD.fullmatch(u) and u not in self.bpe.special]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.ranks.encode_ordinary("\n".join(["", *part, ""])))
+            cuts = np.flatnonzero(ids == self.newline)
+            if len(cuts) != len(part) + 1:
+                raise ValueError("a unit holds a line end")
+            self.update(zip(part, (np.diff(cuts) - 1).tolist(), strict=True))
+        self.bpe.known.clear()
+        for u in fresh:
+            if u not in self:
+                self[u] = len(self.bpe.encode(u))
 
     def counts(self, units: list[str]) -> list[int]:
         try:
