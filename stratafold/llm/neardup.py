@@ -1,4 +1,4 @@
-"""Near copies by exact likeness: MinHash bands propose pairs, the Jaccard likeness of their word shingles decides.
+"""Part of the near-dedup by SimHash (``simhash.keep_one``): exact likeness of proposed pairs, and MinHash bands that propose the pairs which fingerprints keep apart.
 
 A text is the set of its ``SHINGLE``-word chains. Texts of equal sets are copies and go on as one. ``BANDS`` bands of ``ROWS`` minima propose pairs:
 of pairs with likeness 0.8 a share of (1 - 0.8^6)^32 = 6e-5 is not proposed. A bucket first compares each text with its smallest one; only texts that are
@@ -47,17 +47,34 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], seed=k) for k in range(BANDS)]
 
 
+def majority(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view(np.uint64)[0])
+
+
 def _mark(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows with the digest of their set; the bands go with the first row of a digest in a batch."""
+    """The rows with the digest of their set; fingerprint and bands go with the first row of a digest in a batch."""
     for b in sized(batches, text):
-        copy, keys, seen = [], [], set()
-        for x in utf8(b[text]):
+        copy, codes, keys, seen = [], [], [], set()
+        for x in utf8(b[text].cast(pa.string())):
             found = shingles(x)
             copy.append(xxhash.xxh64_intdigest(found.tobytes()))
-            keys.append(None if copy[-1] in seen else np.array(bands(found), np.uint64).view(np.int64))
+            fresh = copy[-1] not in seen
+            codes.append(majority(found) if fresh else 0)
+            keys.append(np.array(bands(found), np.uint64).view(np.int64) if fresh else None)
             seen.add(copy[-1])
-        fields = [*b.schema, pa.field("__copy", pa.int64()), pa.field("__bands", pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(copy, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema=pa.schema(fields))
+        signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+        fields = [*b.schema, pa.field("__copy", pa.int64()), pa.field("__fp", pa.int64()), pa.field("__bands", pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*b.columns, signed(copy), signed(codes), pa.array(keys, pa.list_(pa.int64()))], schema=pa.schema(fields))
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    """``docs`` with __copy, the digest of a row's shingles, and __fp and __bands, null bands where an equal row of the batch has them."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__copy", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(partial(_mark, text="text"), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,34 +94,36 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
 
-def keep_one(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """``docs`` with one row of each group that pairs of ``likeness`` or more link: the smallest doc_id's, and of its rows the first by text.
-
-    Groups are of rows: other texts under a repeated id stay, and rows without a doc_id are copies like any, after those with one.
-    """
-    schema = T.StructType([*docs.schema.fields, T.StructField("__copy", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    marked = settle(docs.mapInArrow(partial(_mark, text="text"), schema), "near-marked")
-    keyed = marked.select(F.col("__copy").alias("copy"), F.explode("__bands").alias("key")).distinct()
+def groups(marked: DataFrame, close: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(node, root): the copies of ``marked`` that pairs of ``likeness`` or more link; ``close`` (a, b) are pairs to try beside those of the bands."""
+    known = marked.filter("__bands is not null")
+    keys = F.concat("__bands", F.array(F.xxhash64(F.lit("fingerprint"), "__fp")))  # equal fingerprints are a bucket as well
+    keyed = known.select(F.col("__copy").alias("copy"), F.explode(keys).alias("key")).distinct()
     heads = keyed.groupBy("key").agg(F.min("copy").alias("head"), F.max("copy").alias("top")).filter("head <> top").select("key", "head")
     shared = settle(keyed.join(heads, "key"), "near-buckets")
-    asked = shared.select(F.col("copy").alias("__copy")).distinct()
+    close = settle(close, "near-close")
+    asked = shared.select(F.col("copy").alias("__copy")).unionByName(close.select(F.explode(F.array("a", "b")).alias("__copy"))).distinct()
     # one text of each copy: bands are known in few of its rows, which keeps the rest out of the shuffle
-    chosen = marked.filter("__bands is not null").join(asked, "__copy", "left_semi").select(F.col("__copy").alias("copy"), F.col("text").cast("string").alias("text")).dropDuplicates(["copy"])
+    chosen = known.join(asked, "__copy", "left_semi").select(F.col("__copy").alias("copy"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["copy"])
     sets = settle(chosen.mapInArrow(_sets, "copy long, found binary"), "near-sets")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
-        whole = pairs.join(sets.withColumnsRenamed({"copy": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"copy": "b", "found": "y"}), "b")
-        # likeness needs sizes as near
-        whole = whole.filter(F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * likeness)
+        # likeness needs sizes as near; sizes go first, so that only sets that may be alike are moved
+        sizes = sets.select("copy", F.length("found").alias("n"))
+        near = pairs.join(sizes.withColumnsRenamed({"copy": "a", "n": "m"}), "a").join(sizes.withColumnRenamed("copy", "b"), "b").filter(F.least("m", "n") >= F.greatest("m", "n") * likeness).select("a", "b")
+        whole = near.join(sets.withColumnsRenamed({"copy": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"copy": "b", "found": "y"}), "b")
         return settle(whole.select("a", "b", "x", "y").mapInArrow(partial(_alike, least=likeness), "a long, b long"), name)
 
-    first = alike(shared.filter("copy <> head").select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct(), "near-first")
+    first = alike(shared.filter("copy <> head").select(F.col("head").alias("a"), F.col("copy").alias("b")).unionByName(close.select("a", "b")).distinct(), "near-first")
     roots = connected_components(first)
     named = shared.join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     left, right = (named.filter("copy <> head").select("key", F.col("copy").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     apart = left.join(right, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    roots = connected_components(first.unionByName(alike(apart, "near-second")))
-    group = F.coalesce("root", "__copy")
-    grouped = marked.drop("__bands").join(roots.withColumnsRenamed({"node": "__copy"}), "__copy", "left").withColumn("__group", group)
+    return connected_components(first.unionByName(alike(apart, "near-second")))
+
+
+def first_of_groups(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of each group: the smallest doc_id's, rows without one last, and of its rows the first by text."""
+    grouped = marked.drop("__bands", "__fp").join(roots.withColumnsRenamed({"node": "__copy", "root": "__root"}), "__copy", "left").withColumn("__group", F.coalesce("__root", "__copy"))
     ranked = grouped.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy(F.asc_nulls_last("doc_id"), "text")))
     return ranked.filter("__rank = 1").select(*docs.columns)

@@ -1,9 +1,9 @@
 """Quality rules: base counts, and a linear-chain conditional random field over the lines of a text.
 
 The field has two labels, content and boilerplate, weights for features of a line, and weights for pairs of
-neighbouring labels. It is trained on lines of a bounded sample of labelled documents (``SAMPLE`` documents, whole
-texts); a line takes the label of its document there, so the noise of ordinary lines in rejected documents is
-part of training, and the prior weights hold where labels are missing. Viterbi decoding marks the lines of a text, and
+neighbouring labels. It is trained on a bounded sample of labelled documents (``SAMPLE`` documents, ``RUNS`` runs of ``RUN`` lines from each, evenly over the text). Their
+lines have no labels, so these are latent: the field so far decodes them, held to what the document's label says of the share of content, and is trained on that,
+``TURNS`` times from a prior. So lines differ inside a document, and the pair weights come from real changes between them. Viterbi decoding marks the lines of a text, and
 a text is kept if at least ``CONTENT_SHARE`` of its words stand in content lines.
 """
 
@@ -21,6 +21,8 @@ from stratafold.llm.common import batch, sized, texts, utf8
 from stratafold.llm.docstats import CLASSES, class_counts
 
 SAMPLE = 2000
+RUN, RUNS = 32, 32  # lines in a run, and runs of a document, that training sees
+TURNS = 3
 CONTENT_SHARE = 0.5
 MIN_WORDS = 20
 WINDOW = 8
@@ -28,9 +30,10 @@ MAX_REPEATS = 30  # per cent of the words
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 
-FEATURES = [*CLASSES, "distinct", "word_len", "log_words", "repeated_line", "closed", "one"]
+FEATURES = [*CLASSES, "marks", "distinct", "word_len", "log_words", "repeated_line", "closed", "one"]
+_MARKS = [CLASSES.index("symbol"), CLASSES.index("bang")]
 #: Prior weights for boilerplate against content, before any label is seen: symbols, pipes, bangs and few distinct words.
-PRIOR = {"symbol": 8.0, "pipe": 8.0, "bang": 8.0, "upper": 2.0, "distinct": -3.0, "repeated_line": 1.0, "one": 0.5}
+PRIOR = {"symbol": 8.0, "pipe": 8.0, "bang": 8.0, "marks": 2.0, "upper": 2.0, "distinct": -3.0, "repeated_line": 1.0, "one": 0.5}
 PRIOR_PAIRS = np.array([[0.5, -0.5], [-0.5, 0.5]])
 
 
@@ -88,7 +91,8 @@ def line_table(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     distinct = np.array([len(set(split[k])) for k in full]) / counts[full]
     words_len = np.minimum(size[full] / counts[full], 30) / 10
     closed = np.array([lines[k].rstrip().endswith((b".", b"?", b"!")) for k in full], float)
-    x = np.column_stack([shares[full], distinct, words_len, np.log1p(counts[full]) / 4, again[full], closed, np.ones(len(full))])
+    marks = np.minimum((shares[full] * size[full, None])[:, _MARKS].sum(1) / counts[full], 2)  # symbols and bangs a word
+    x = np.column_stack([shares[full], marks, distinct, words_len, np.log1p(counts[full]) / 4, again[full], closed, np.ones(len(full))])
     return x, counts[full], int(again.sum())
 
 
@@ -121,17 +125,18 @@ class LineField:
         return np.array([*reversed([*out, label])], bool)
 
     @classmethod
-    def train(cls, sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, width: int = 32) -> LineField:
-        """Gradient ascent (Adam) on the conditional likelihood, drawn to the prior; long texts train in runs of ``width`` lines."""
+    def train(cls, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 100, rate: float = 0.1, ridge: float = 1e-3) -> LineField:
+        """Gradient ascent (Adam) on the conditional likelihood of runs of lines with a label each (1 boilerplate), drawn to the prior; both labels weigh the same."""
         field = cls.prior()
-        chunks = [(x[k : k + width], y) for x, y in zip(sequences, labels, strict=True) for k in range(0, len(x), width)]
-        if not chunks or len({y for _, y in chunks}) < 2:
+        every = np.concatenate([*labels, np.zeros(0)])
+        if len(set(every.tolist())) < 2:
             return field
-        b, f = len(chunks), len(FEATURES)
-        xs, mask, gold = np.zeros((b, width, f)), np.zeros((b, width)), np.zeros(b)
-        for k, (x, y) in enumerate(chunks):
-            xs[k, : len(x)], mask[k, : len(x)], gold[k] = x, 1, y
-        share = np.where(gold == 1, 0.5 / max(1.0, mask[gold == 1].sum()), 0.5 / max(1.0, mask[gold == 0].sum()))  # both labels weigh the same
+        b, f, width = len(sequences), len(FEATURES), max(map(len, sequences))
+        xs, mask, gold = np.zeros((b, width, f)), np.zeros((b, width)), np.zeros((b, width))
+        for k, (x, y) in enumerate(zip(sequences, labels, strict=True)):
+            xs[k, : len(x)], mask[k, : len(x)], gold[k, : len(x)] = x, 1, y
+        each = np.where(gold == 1, 0.5 / max(1.0, (mask * gold).sum()), 0.5 / max(1.0, (mask * (1 - gold)).sum())) * mask
+        share = each.sum(1) / np.maximum(mask.sum(1), 1)  # a run weighs as its lines do on average
         theta = np.concatenate([field.weights, field.pairs.ravel()])
         first, m, v = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, rounds + 1):
@@ -140,9 +145,35 @@ class LineField:
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(theta[:f], theta[f:].reshape(2, 2))
 
+    @classmethod
+    def learn(cls, runs: list[tuple[np.ndarray, np.ndarray, int]], turns: int = TURNS) -> LineField:
+        """A field from runs (line features, words a line, 1 if the document is of low quality) whose lines have no labels of their own.
+
+        Labels are latent: each turn decodes the runs with the field so far, held to what the document's label says (``explain``), and trains on the result.
+        """
+        field = cls.prior()
+        for _ in range(turns):
+            field = cls.train([x for x, _, _ in runs], [field.explain(*run) for run in runs])
+        return field
+
+    def explain(self, x: np.ndarray, words: np.ndarray, low: int) -> np.ndarray:
+        """The likeliest labels of a run that agree with its document: half of the words or more are boilerplate if it is of low quality, else less than half.
+
+        Lines that must change are those whose own scores speak least against it.
+        """
+        found, score = self.boilerplate(x).astype(float), x @ self.weights
+        order = np.argsort(-score if low else score, kind="stable")
+        for k in order:
+            share = (found * words).sum() / max(1, words.sum())
+            if (share >= 0.5) == bool(low):
+                break
+            found[k] = float(low)
+        return found
+
     @staticmethod
     def _gradient(theta: np.ndarray, xs: np.ndarray, mask: np.ndarray, gold: np.ndarray, share: np.ndarray, f: int) -> np.ndarray:
-        """Observed less expected features, by the forward and backward recursions."""
+        """Observed less expected features, by the forward and backward recursions; ``gold`` is a label for each run or for each line."""
+        gold = np.broadcast_to(gold[:, None], mask.shape) if gold.ndim == 1 else gold
         w, pairs = theta[:f], theta[f:].reshape(2, 2)
         b, width, _ = xs.shape
         unary = np.stack([np.zeros((b, width)), xs @ w], axis=2)
@@ -158,30 +189,35 @@ class LineField:
         total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.exp(alpha[..., 1] + beta[..., 1] - total[:, None]) * mask
         weight = share[:, None] * mask
-        dw = np.einsum("bl,blf->f", (gold[:, None] - p) * weight, xs)
+        dw = np.einsum("bl,blf->f", (gold - p) * weight, xs)
         dp = np.zeros((2, 2))
         both = weight[:, 1:]
         for i in range(2):
             for j in range(2):
                 e = np.exp(alpha[:, :-1, i] + pairs[i, j] + unary[:, 1:, j] + beta[:, 1:, j] - total[:, None])
-                dp[i, j] = ((((gold == i) & (gold == j))[:, None] - e) * both).sum()
+                dp[i, j] = ((((gold[:, :-1] == i) & (gold[:, 1:] == j)) - e) * both).sum()
         return np.concatenate([dw, dp.ravel()])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("quality", pa.int32()), ("lines", pa.binary())])
+    """Runs of ``RUN`` lines, evenly over the whole text and ``RUNS`` at most, with the words of each line."""
+    schema = pa.schema([("quality", pa.int32()), ("lines", pa.binary()), ("words", pa.binary())])
     for b in batches:
-        rows = [np.ascontiguousarray(line_table(x)[0], np.float32).tobytes() for x in utf8(b["text"])]
-        yield batch({"quality": b["quality"], "lines": rows}, schema)
+        for q, text in zip(b["quality"].to_pylist(), utf8(b["text"]), strict=True):
+            x, words, _ = line_table(text)
+            starts = np.arange(0, len(x), RUN)
+            starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(RUNS, len(starts))).round().astype(int))] if len(starts) else starts
+            runs = [(x[k : k + RUN], words[k : k + RUN]) for k in starts]
+            yield batch({"quality": [q] * len(runs), "lines": [np.ascontiguousarray(v, np.float32).tobytes() for v, _ in runs], "words": [w.astype(np.int32).tobytes() for _, w in runs]}, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """A field from ``sample`` labelled documents at most, taken in the order of a hash of their ids."""
+    """A field from ``sample`` labelled documents at most, taken in the order of a hash of their ids, and ``RUNS`` runs of lines from each."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_lines, "quality int, lines binary").collect()
-    rows = sorted((r["quality"], bytes(r["lines"])) for r in rows)
-    return LineField.train([np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(float) for _, x in rows], [1 - q for q, _ in rows])
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_lines, "quality int, lines binary, words binary").collect()
+    rows = sorted((r["quality"], bytes(r["lines"]), bytes(r["words"])) for r in rows)
+    return LineField.learn([(np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(float), np.frombuffer(w, np.int32), 1 - q) for q, x, w in rows])
 
 
 def judge(text: bytes, field: LineField, share: float = CONTENT_SHARE) -> tuple[int, int, int, int, int, bool, float, bool]:

@@ -9,6 +9,9 @@ On a cluster the tree's upper levels are the shards: equal runs of the Gray orde
 of them, whose patterns every task holds. A fingerprint goes only to the later shards that the upper
 levels cannot rule out; the lower levels are built inside the shard. Shards are cut at quantiles, so a dense
 group of near copies is spread over several. A shard returns a spanning forest of its links, not the pairs.
+
+The pipeline's stage, ``keep_one``, proposes pairs by this index and, since pairs of likeness 0.8 lie farther apart than any index of 64-bit codes can search without comparing
+nearly all, by the MinHash bands of ``neardup``; both kinds are decided by exact likeness.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.llm import neardup
 from stratafold.llm.common import batch, settle, sized, texts, utf8
 from stratafold.llm.components import connected_components
 
@@ -209,13 +213,17 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGL
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest doc_id; repeated rows of an id count as copies.
+def keep_one(docs: DataFrame, likeness: float = neardup.LIKENESS, most: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group that pairs of ``likeness`` or more link: the smallest doc_id's, and of its rows the first by text.
 
-    Rows without a doc_id cannot be named as a copy and stay.
+    Likeness is the Jaccard share of five-word shingles and is decided exactly. The index proposes the texts whose fingerprints over these shingles differ in
+    ``most`` bits or fewer. Of pairs at 0.8 most are farther apart, 10 of 64 bits on average, where no prefix of a code holds them together; the bands of
+    ``neardup`` propose those. Groups are of rows: other texts under a repeated id stay, and rows without a doc_id are copies like any, after those with one.
+    Null and empty texts, and texts without words, are copies of each other; an empty table stays empty; columns pass through whatever their names.
     """
-    found = near_duplicates(docs, most, shingle)
-    extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    kept = docs.join(extra, docs["doc_id"] == F.col("__extra"), "left_anti")
-    numbered = kept.filter("doc_id is not null").withColumn("__again", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return numbered.filter("__again = 1").drop("__again").unionByName(docs.filter("doc_id is null"))
+    marked = settle(neardup.mark(docs), "near-marked")
+    codes = settle(marked.filter(F.col("__bands").isNotNull()).groupBy(F.col("__fp").alias("fp")).agg(F.min("__copy").alias("copy")), "near-codes")
+    close = links(codes, most)
+    first, second = (codes.withColumnsRenamed({"fp": c, "copy": f"copy_{c}"}) for c in "ab")
+    pairs = close.join(first, "a").join(second, "b").select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b"))
+    return neardup.first_of_groups(docs, marked, neardup.groups(marked, pairs, likeness))

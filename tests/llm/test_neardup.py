@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from stratafold.llm import neardup
+from stratafold.llm import neardup, simhash
 
 
 def brute_sets(text):
@@ -40,4 +40,26 @@ def test_edited_copies_go(spark):
     want = brute_kept(rows)
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert all((10 * k + 1) not in {i for i, _ in got} for k in range(30))  # two of 200 words edited
-    assert neardup.keep_one(docs.limit(0)).count() == 0
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_no_text_is_lost_and_columns_pass(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "x", 1), (1, "one two three four five six", "x", 2), (2, "alpha beta gamma delta epsilon zeta", "y", 3), (2, "one two three four five six", "y", 4), (3, "w " * 60_000, "z", 5), (4, "w " * 60_000, "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __copy_of string, fp int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["fp"] for r in kept.collect()) == [1, 2, 5]
+
+
+def test_links_that_only_bands_propose(spark):
+    """Pairs of likeness 0.8 and more whose fingerprints lie far apart are found; the index alone would miss them."""
+    rng = random.Random(8)
+    rows, far = [], 0
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(words, {30, 75, 120}))]
+        a, b = (neardup.majority(neardup.shingles(t.encode())) for _, t in rows[-2:])
+        far += (a ^ b).bit_count() > simhash.MAX_BITS
+    assert far > 30
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * k for k in range(60)}

@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -92,3 +93,46 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert np.array_equal(rules.train(docs, none).weights, prior.weights)
     assert rules.annotate(docs.limit(0), prior).count() == 0
+
+
+def test_lines_are_marked_one_by_one():
+    """Menus planted among sentences, from labels of whole documents alone."""
+    rng = np.random.default_rng(6)
+    nouns = ["river", "house", "garden", "window", "letter", "morning", "teacher", "village", "market", "winter", "story", "bridge"]
+    sentence = lambda: "The " + " ".join(rng.choice(nouns, rng.integers(6, 12))) + " was there."
+    menu = lambda: " | ".join(w.upper() for w in rng.choice(nouns, rng.integers(3, 6)))
+
+    def mixed(low):
+        flags, now = [], bool(rng.random() < 0.5)
+        for _ in range(24):
+            flags.append(now)
+            now = now != (rng.random() < 0.15)
+        flags = [(not f if rng.random() < 0.8 and f != low else f) for f in flags] if (np.mean(flags) >= 0.5) != low else flags
+        return flags, "\n".join(menu() if f else sentence() for f in flags)
+
+    def run_of(low):
+        flags, text = mixed(low)
+        x, words, _ = rules.line_table(text.encode())
+        return np.array(flags), text, (x, words, int(low))
+
+    field = rules.LineField.learn([run_of(k % 3 == 0)[2] for k in range(150)])
+    right = lines = between = 0
+    for k in range(60):
+        flags, text, (x, words, _) = run_of(k % 3 == 0)
+        found = field.boilerplate(x)
+        right, lines = right + int((found == flags).sum()), lines + len(flags)
+        share = rules.judge(text.encode(), field)[6]
+        assert share == pytest.approx(words[~found].sum() / words.sum())
+        between += 0 < share < 1
+    assert right > 0.97 * lines and between > 50
+
+
+def test_explained_labels_agree_with_the_document():
+    rng = np.random.default_rng(2)
+    field = rules.LineField.prior()
+    for _ in range(40):
+        x, words = rng.normal(size=(rng.integers(1, 12), len(rules.FEATURES))), rng.integers(1, 20, 12)
+        words = words[: len(x)]
+        for low in (0, 1):
+            found = field.explain(x, words, low)
+            assert ((found * words).sum() / words.sum() >= 0.5) == bool(low)
