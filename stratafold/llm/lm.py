@@ -266,11 +266,19 @@ def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, befo
     da *= da.dtype.type(1 / math.sqrt(DIM))
     np.matmul(da, k, dq)
     np.matmul(da.transpose(0, 2, 1), q, dk)
-    out = []
-    for rows, g, p in ((now, dq, params[0]), (seen, dk, params[1]), (seen, dv, params[2])):
-        flat = (rows.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
-        out.append(np.bincount(flat, g.ravel(), p.size).reshape(p.shape).astype(p.dtype))
-    return loss, [*out, dbias.astype(w.dtype), dw]
+    both = _by_row(seen, np.concatenate([dk, dv], 2), len(params[1]))
+    return loss, [_by_row(now, dq, len(params[0])), both[:, :DIM], both[:, DIM:], dbias.astype(w.dtype), dw]
+
+
+def _by_row(rows: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """Sums of gradients by the row they belong to."""
+    rows = rows.ravel()
+    order = np.argsort(rows, kind="stable")
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    out = np.zeros((n, g.shape[-1]), g.dtype)
+    out[sorted_rows[starts]] = np.add.reduceat(g.reshape(-1, g.shape[-1])[order], starts, axis=0)
+    return out
 
 
 def _flat(params: list[np.ndarray]) -> np.ndarray:
@@ -322,7 +330,7 @@ def train_attention(model: Model, rows: DataFrame) -> Model:
             left = -(-left // TREE)
             sums = sums.withColumn("slot", F.col("slot") % left).groupBy("slot").applyInArrow(lambda t: _add(t), "slot long, n long, sums binary")
         total, n = 0.0, 0
-        for r in sums.toLocalIterator():
+        for r in sums.collect():  # TREE rows at most, of the parameters' size; together, so that all partitions train at once
             total, n = total + np.frombuffer(bytes(r["sums"])), n + r["n"]
         if n:
             model.params = _shaped(total / n, model.params)
