@@ -38,7 +38,7 @@ PREVIOUS = 512
 DENSE_IDS = 4096
 DRAW = 20.0
 ROUNDS = 2
-BATCH = 64
+BATCH = 128
 RATE = 0.02
 HEAD_WORDS = 200_000
 CACHED_WORDS = 300_000
