@@ -10,15 +10,16 @@ Conventions of every operator here
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafold.state import settle
+
+__all__ = ["WORD", "batch", "fold", "read_table", "settle", "sized", "strings", "texts", "tokenizer_path", "utf8"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,26 +33,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "stratafold-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
-
-    A lost executor costs at most the tasks that read the table, never the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stratafold/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(column: str, parts: int) -> F.Column:
     """crc32 of an id's decimal text, modulo ``parts``; null ids are in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts), F.lit(0)).cast("int")
