@@ -1,8 +1,10 @@
 """Part of the near-dedup by SimHash (``simhash.keep_one``): exact likeness of proposed pairs, and MinHash bands that propose the pairs which fingerprints keep apart.
 
 A text is the set of its ``SHINGLE``-word chains. Texts of equal sets are copies and go on as one. ``BANDS`` bands of ``ROWS`` minima propose pairs:
-of pairs with likeness 0.8 a share of (1 - 0.8^6)^32 = 6e-5 is not proposed. A bucket first compares each text with its smallest one; only texts that are
-still apart then meet each other, so a group of near copies costs its size and not its square.
+of pairs with likeness 0.8 a share of (1 - 0.8^6)^32 = 6e-5 is not proposed. A bucket first compares each text with its head, so a group of near
+copies costs its size and not its square. Texts of a bucket that are still apart meet through their rarest chains (prefix filter): two sets with likeness t share
+one of the first n - ceil(t n) + 1 chains of each in any common order. The order puts chains first that occur in one group alone, where they meet nothing, then
+rare ones; a passage that many unlike texts share comes last, and the rest of both texts after their first shared chain must suffice, so its group is not paired.
 """
 
 from __future__ import annotations
@@ -99,8 +101,12 @@ def groups(marked: DataFrame, close: DataFrame, likeness: float = LIKENESS) -> D
     known = marked.filter("__bands is not null")
     keys = F.concat("__bands", F.array(F.xxhash64(F.lit("fingerprint"), "__fp")))  # equal fingerprints are a bucket as well
     keyed = known.select(F.col("__copy").alias("copy"), F.explode(keys).alias("key")).distinct()
-    heads = keyed.groupBy("key").agg(F.min("copy").alias("head"), F.max("copy").alias("top")).filter("head <> top").select("key", "head")
-    shared = settle(keyed.join(heads, "key"), "near-buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = settle(keyed.join(sizes, "key"), "near-buckets")
+    # the head of a bucket is its text with the most company: edited copies are nearer to their original than to each other
+    company = met.groupBy("copy").agg(F.sum("size").alias("company"))
+    heads = met.join(company, "copy").groupBy("key").agg(F.max(F.struct("company", "copy"))["copy"].alias("head"))
+    shared = met.select("key", "copy").join(heads, "key")
     close = settle(close, "near-close")
     asked = shared.select(F.col("copy").alias("__copy")).unionByName(close.select(F.explode(F.array("a", "b")).alias("__copy"))).distinct()
     # one text of each copy: bands are known in few of its rows, which keeps the rest out of the shuffle
@@ -114,12 +120,39 @@ def groups(marked: DataFrame, close: DataFrame, likeness: float = LIKENESS) -> D
         whole = near.join(sets.withColumnsRenamed({"copy": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"copy": "b", "found": "y"}), "b")
         return settle(whole.select("a", "b", "x", "y").mapInArrow(partial(_alike, least=likeness), "a long, b long"), name)
 
-    first = alike(shared.filter("copy <> head").select(F.col("head").alias("a"), F.col("copy").alias("b")).unionByName(close.select("a", "b")).distinct(), "near-first")
+    first = alike(shared.filter("copy <> head").select(F.least("head", "copy").alias("a"), F.greatest("head", "copy").alias("b")).unionByName(close.select("a", "b")).distinct(), "near-first")
     roots = connected_components(first)
     named = shared.join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-    left, right = (named.filter("copy <> head").select("key", F.col("copy").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    apart = left.join(right, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    return connected_components(first.unionByName(alike(apart, "near-second")))
+    return connected_components(first.unionByName(alike(apart(named.filter("copy <> head"), sets, likeness), "near-second")))
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("copy", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("chain", pa.int64())])
+    for b in sized(batches, "found", 2 << 20):
+        found = [np.frombuffer(x, np.int64) for x in b["found"].to_pylist()]
+        n = np.array([len(x) for x in found])
+        copy, root = (np.repeat(b[c].to_numpy(), n) for c in ("copy", "root"))
+        yield batch({"copy": copy, "root": root, "n": np.repeat(n, n), "chain": np.concatenate(found)}, schema)
+
+
+def apart(named: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(a, b): texts of ``named`` (key, copy, root) in buckets of several roots, of different roots themselves, that may have ``likeness``; ``sets`` (copy, found).
+
+    All such pairs of those texts with ``likeness`` are among them, in a shared bucket or not.
+    """
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    open_ = named.join(mixed, "key", "left_semi").select("copy", "root").distinct()
+    chains = sets.join(open_, "copy").mapInArrow(_chains, "copy long, root long, n long, chain long")
+    # chains of one root meet nothing: they count as the first of a text's order and go no further
+    common = chains.groupBy("chain").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("chain", "c")
+    own = Window.partitionBy("copy")
+    ranked = chains.join(common, "chain").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "chain")))
+    prefix = settle(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * likeness - 1e-9) + 1).select("chain", "copy", "root", "n", "at"), "near-prefixes")
+    left, right = (prefix.select("chain", F.col("copy").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), (F.col("n") - F.col("at") + 1).alias(f"rest_{c}")) for c in "ab")
+    # at the first chain that two texts share, what they share is at most the rest of either
+    enough = F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * (likeness / (1 + likeness)) - 1e-9
+    met = left.join(right, "chain").filter(F.expr("a < b and root_a <> root_b") & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * likeness - 1e-9) & enough)
+    return met.select("a", "b").distinct()
 
 
 def first_of_groups(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:

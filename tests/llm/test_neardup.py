@@ -63,3 +63,23 @@ def test_links_that_only_bands_propose(spark):
     assert far > 30
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * k for k in range(60)}
+
+
+def test_a_shared_passage_is_not_paired_and_loses_no_link(spark):
+    """Unlike texts of one bucket that share a passage make few pairs; the like ones among them are all found."""
+    rng = random.Random(5)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for k in range(300):
+        own = [f"k{rng.randrange(10_000)}" for _ in range(rng.randrange(8, 30))]
+        rows.append((10 * k, " ".join(passage + own)))
+        if k % 10 == 0:
+            rows.append((10 * k + 1, " ".join([*passage, *own[:-1], "other"])))
+    sets = {i: neardup.shingles(t.encode()) for i, t in rows}
+    found = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "copy long, found binary")
+    named = spark.createDataFrame([(key, i, i) for key in (1, 2) for i in sets], "key long, copy long, root long")
+    got = {(r["a"], r["b"]) for r in neardup.apart(named, found).collect()}
+    shared = lambda x, y: len(set(x.tolist()) & set(y.tolist()))
+    want = {(i, j) for i in sets for j in sets if i < j and (n := shared(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(want) >= 30 and want <= got and len(got) < len(want) + len(sets)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == sorted(brute_kept(rows))
