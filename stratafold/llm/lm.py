@@ -102,8 +102,8 @@ def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for x in split:
             words.update(x)
         ids = [end + x + end for x in subwords.rows(split)]
-        whole = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-        key = (whole[:-1] << 16) + whole[1:]
+        whole = np.frombuffer(b"".join(ids), "<u2").astype(np.uint32)
+        key = (whole[:-1] << np.uint32(16)) + whole[1:]
         ends = np.cumsum([len(x) // 2 for x in ids])[:-1] - 1
         values, n = np.unique(np.delete(key, ends), return_counts=True)
         pairs.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
@@ -272,7 +272,7 @@ def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, befo
 
 def _by_row(rows: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     """Sums of gradients by the row they belong to."""
-    rows = rows.ravel()
+    rows = rows.ravel().astype(np.uint16)  # a stable sort of 16 bits is a radix sort
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
@@ -351,7 +351,8 @@ def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128, w
         own = logits[np.arange(len(row)), cls]
         np.exp(logits, logits)
         column = model.dense[ids]
-        emit = np.where(column >= 0, model.after[row, column], model.loose[row, cls] + model.overall[ids])
+        emit, rest = model.after[row, column], np.flatnonzero(column < 0)
+        emit[rest] = model.loose[row[rest], cls[rest]] + model.overall[ids[rest]]
         out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ work.ones)) / np.float32(np.log(10)) + emit
     return np.bincount(np.repeat(np.arange(len(b.sizes)), b.sizes), out[b.at].astype(float), len(b.sizes))
 
