@@ -11,24 +11,26 @@ Counts are sums over all training documents. The attention is trained on every i
 partition takes Adam steps over its share of blocks from common parameters, and the parameters are averaged. A text is cut into blocks of ``SPAN`` ids that also see the
 block before, so windows overlap and every id is predicted once; blocks of many texts form one batch, masked to the past and their own text.
 
-Base scores need the count of every word. The ``HEAD_WORDS`` most frequent words go to every task; all other words are summed up by a join.
+Base scores need the count of every word. The most frequent words, at most ``HEAD_WORDS``, go to every task; all other words are summed up by a join.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import batch, fold, settle, sized, texts, tokenizer_path, utf8
+from stratafold.llm.common import batch, fold, settle, sized, texts, tokenizer_path
 
 FOLDS, HELD_OUT = 7, 2
 SPAN = 16
@@ -39,15 +41,41 @@ DENSE_IDS = 4096
 DRAW = 20.0
 ROUNDS = 2
 BATCH = 128
+RUN = 8
 RATE = 0.02
 HEAD_WORDS = 200_000
-CACHED_WORDS = 300_000
+CHUNK = 8 << 20
+WAITING_COUNTS = 1_000_000
+WAITING_PAIRS = 4_000_000
 TREE = 64
 SEED = 8
 
 
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+IN_WORD = np.array([not bytes([c]).isspace() for c in range(256)])
+
+
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of texts, lower-cased (A-Z), as one dictionary array of bytes, and the words of each text."""
+    column = column.cast(pa.binary())
+    _, stops, data = column.buffers()
+    stops = np.frombuffer(stops, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)[stops[0] : stops[-1]]
+    stops = stops - stops[0]
+    inside = IN_WORD[data]
+    cuts = np.zeros(len(data) + 1, bool)  # where a text begins
+    cuts[stops] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cuts[1:-1]
+    last[:-1] &= ~inside[1:] | cuts[1:-1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    ends = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[data[inside]])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(first, stops))
+
+
 class Subwords:
-    """Ids of lower-cased words as little-endian uint16 bytes, cached by word."""
+    """Ids of lower-cased words. A chunk of texts is spelled by its distinct words; in it place 0 is the end, which is no word, and place 1 + i the word i of its dictionary."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -61,60 +89,94 @@ class Subwords:
         self.starts = np.zeros(self.size, bool)
         for token, i in ranks.items():
             self.starts[i] = token[:1] == b" "
-        self.known: dict[bytes, bytes] = {}
-
-    def rows(self, split: list[list[bytes]]) -> Iterator[bytes]:
-        """Each text's ids, without its end."""
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        found: set[bytes] = set()
-        for x in split:
-            found.update(set(x).difference(known))
-        fresh = list(found)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            got = np.array(self.encoding.encode_ordinary(b"".join([b" " + w for w in part]).decode()), np.int64)
-            ids = got.astype("<u2").tobytes()
-            cuts = [*(np.flatnonzero(self.starts[got]) * 2).tolist(), len(ids)]
-            if len(cuts) != len(part) + 1:  # a word with white space beyond ASCII
-                known.update((w, np.array(self.encoding.encode_ordinary((b" " + w).decode()), "<u2").tobytes()) for w in part)
-                continue
-            known.update((w, ids[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for x in split:
-            yield b"".join([known[w] for w in x])
+
+    def spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the places of a chunk behind each other, uint16, and how many each has."""
+        _, stops, data = words.buffers()
+        stops = np.frombuffer(stops, np.int32)[: len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+        starts = stops + np.arange(len(stops))  # with a space before each word
+        spaced = np.full(starts[-1], 32, np.uint8)
+        is_word = np.ones(len(spaced), bool)
+        is_word[starts[:-1]] = False
+        spaced[is_word] = np.frombuffer(data or b"", np.uint8)[: stops[-1]]
+        flat, n = [np.array([self.end], np.uint16)], [np.ones(1, np.int64)]
+        for at in range(0, len(words), 4096):
+            cuts = starts[at : at + 4097]
+            text = spaced[cuts[0] : cuts[-1]].tobytes()
+            got = np.array(array("H", self.encoding.encode_ordinary(text.decode())))
+            begins = np.flatnonzero(self.starts[got])
+            if len(begins) != len(cuts) - 1:  # a word with white space beyond ASCII
+                each = [self.encoding.encode_ordinary((b" " + w).decode()) for w in text.split(b" ")[1:]]
+                got, begins = np.array(list(chain.from_iterable(each)), np.uint16), np.cumsum([0, *map(len, each[:-1])])
+            flat.append(got)
+            n.append(np.diff(begins, append=len(got)))
+        return np.concatenate(flat), np.concatenate(n)
+
+    def read(self, column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of a chunk of texts; places of all words, an end after each text and one before the first; their ids, and where the ends are among these."""
+        words, sizes = words_of(column)
+        places = np.zeros(1 + len(words) + len(sizes), np.int32)
+        is_word = np.ones(len(places), bool)
+        is_word[np.concatenate([[0], np.cumsum(sizes + 1)])] = False
+        places[is_word] = words.indices.to_numpy() + 1
+        flat, n = self.spell(words.dictionary)
+        here = n[places]
+        stop = np.cumsum(here)
+        at = np.repeat((np.cumsum(n) - n)[places] - stop + here, here)
+        at += np.arange(len(at))
+        return words, places, flat[at], stop[places == 0] - 1
+
+
+#: Kept by a worker for its later tasks.
+subwords_of = cache(Subwords)
+
+
+def _summed(keys: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    every = pa.chunked_array(keys).combine_chunks().dictionary_encode()
+    return every.dictionary, np.bincount(every.indices.to_numpy(), np.concatenate(counts), len(every.dictionary)).astype(np.int64)
 
 
 def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Partial counts of words (kind 0) and of neighbouring ids (kind 1, key last * 65536 + id), and the ids of each document (kind 2)."""
     schema = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    subwords, words, pairs = Subwords(path), Counter(), Counter()
-
-    def out(counts: Counter, kind: int) -> pa.RecordBatch:
-        m, keys = len(counts), list(counts)
-        made = batch({"kind": [kind] * m, "word": [k.decode() for k in keys] if kind == 0 else [None] * m, "key": [None] * m if kind == 0 else keys, "n": list(counts.values()), "ids": [None] * m}, schema)
-        counts.clear()
-        return made
-
-    end = np.array([subwords.end], "<u2").tobytes()
-    for b in sized(batches, "text", 4 << 20):
-        split = [x.lower().split() for x in utf8(b["text"])]
-        for x in split:
-            words.update(x)
-        ids = [end + x + end for x in subwords.rows(split)]
-        whole = np.frombuffer(b"".join(ids), "<u2").astype(np.uint32)
-        key = (whole[:-1] << np.uint32(16)) + whole[1:]
-        ends = np.cumsum([len(x) // 2 for x in ids])[:-1] - 1
-        values, n = np.unique(np.delete(key, ends), return_counts=True)
-        pairs.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        m = len(ids)
-        yield batch({"kind": [2] * m, "word": [None] * m, "key": [None] * m, "n": [1] * m, "ids": ids}, schema)
-        if len(words) > 400_000:
-            yield out(words, 0)
-        if len(pairs) > 400_000:
-            yield out(pairs, 1)
-    yield out(words, 0)
-    yield out(pairs, 1)
+    subwords, words, pairs, waiting = subwords_of(path), ([], []), ([], []), []
+
+    def out(kind: int, n: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+        made = {"kind": pa.array(np.full(len(n), kind, np.int32)), "n": pa.array(n)} | columns
+        return pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(n), f.type)).cast(f.type) for f in schema], schema=schema)
+
+    def flush(counts: tuple[list, list], most: int, kind: int, name: str) -> Iterator[pa.RecordBatch]:
+        """Sums up counts of more than ``most`` keys and yields them if that leaves more than half."""
+        if counts[0] and sum(map(len, counts[0])) > most:
+            keys, n = _summed(*counts)
+            counts[0][:], counts[1][:] = [keys], [n]
+            if 2 * len(n) > most:
+                yield out(kind, n, **{name: keys})
+                counts[0].clear()
+                counts[1].clear()
+
+    def count_pairs() -> None:
+        keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+        pairs[0].append(pa.array(keys))
+        pairs[1].append(n)
+        waiting.clear()
+
+    for b in sized(batches, "text", CHUNK):
+        found, _, ids, ends = subwords.read(b["text"])
+        words[0].append(found.dictionary)
+        words[1].append(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)))
+        waiting.append((ids[:-1].astype(np.uint32) << np.uint32(16)) + ids[1:])
+        raw, at = ids.astype("<u2").tobytes(), (2 * ends).tolist()
+        yield out(2, np.ones(b.num_rows, np.int64), ids=pa.array([raw[i : j + 2] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+        if sum(map(len, waiting)) > WAITING_PAIRS:
+            count_pairs()
+        yield from flush(words, WAITING_COUNTS, 0, "word")
+        yield from flush(pairs, WAITING_COUNTS, 1, "key")
+    if waiting:
+        count_pairs()
+    yield from flush(words, 0, 0, "word")
+    yield from flush(pairs, 0, 1, "key")
 
 
 @dataclass
@@ -171,9 +233,10 @@ def build(counts: np.ndarray, by_class: np.ndarray, unigrams: np.ndarray, starts
     return Model(classes, last, table.astype(np.float32), dense, after.astype(np.float32), loose.astype(np.float32), np.log10(overall).astype(np.float32), end)
 
 
+@cache
 def _masks() -> tuple[np.ndarray, np.ndarray]:
-    """Relative positions of a block's SPAN queries to the 2 * SPAN keys of the block before and its own, and which keys they see."""
-    rel = SPAN + np.arange(SPAN)[:, None] - np.arange(2 * SPAN)[None]
+    """Relative positions of the 2 * SPAN keys of the block before and its own to a block's SPAN queries, and which keys they see."""
+    rel = SPAN + np.arange(SPAN)[None] - np.arange(2 * SPAN)[:, None]
     return np.clip(rel, 0, 2 * SPAN - 1), rel >= 0
 
 
@@ -185,23 +248,26 @@ class Blocks:
     y: np.ndarray
     real: np.ndarray
     begins: np.ndarray
-    at: np.ndarray  # place of each id in the flat blocks
+    first: np.ndarray  # block that begins each text
     sizes: np.ndarray  # ids to score in each text
 
 
 def blocks_of(sequences: list[np.ndarray], model: Model) -> Blocks:
     """Every id of a text but the first, which stands before it, is the next id at one place of one block."""
-    sizes = np.array([len(s) - 1 for s in sequences])
+    sizes = np.array([len(s) - 1 for s in sequences], np.int64)
     n_blocks = -(-sizes // SPAN)
-    first = np.concatenate([[0], np.cumsum(n_blocks)[:-1]]) if len(sizes) else np.zeros(0, int)
+    first = np.cumsum(n_blocks) - n_blocks
     total = int(n_blocks.sum())
-    at = np.repeat(first * SPAN - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    x, y, real = np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, np.int64), np.zeros(total * SPAN, bool)
-    if total:
-        x[at], y[at], real[at] = model.last[np.concatenate([s[:-1] for s in sequences])], np.concatenate([s[1:] for s in sequences]), True
+    x, y, rows = np.zeros(total * SPAN, np.uint16), np.zeros(total * SPAN, np.uint16), model.last.astype(np.uint16)
+    for at, n, s in zip((first * SPAN).tolist(), sizes.tolist(), sequences, strict=True):
+        x[at : at + n], y[at : at + n] = s[:-1], s[1:]
+    left = np.repeat(sizes + first * SPAN, n_blocks) - np.arange(total) * SPAN
+    real = np.arange(SPAN) < left[:, None]
     begins = np.zeros(total, bool)
     begins[first[n_blocks > 0]] = True
-    return Blocks(x.reshape(total, SPAN), y.reshape(total, SPAN), real.reshape(total, SPAN), begins, at, sizes)
+    x = rows[x]
+    x[~real.ravel()] = 0
+    return Blocks(x.reshape(total, SPAN), y.reshape(total, SPAN), real, begins, first, sizes)
 
 
 class Work:
@@ -209,75 +275,106 @@ class Work:
 
     def __init__(self, most: int, train: bool = False, classes: int = CLASSES, dtype: type = np.float32):
         self.most, f = most, lambda *shape: np.empty(shape, dtype)
-        self.q, self.o, self.k, self.v = f(most, SPAN, DIM), f(most, SPAN, DIM), f(most, 2 * SPAN, DIM), f(most, 2 * SPAN, DIM)
-        self.s, self.logits, self.drift = f(most, SPAN, 2 * SPAN), f(most * SPAN, classes), f(most * SPAN, classes)
+        self.q, self.turned, self.o, self.k, self.v = f(most, SPAN, DIM), f(most, DIM, SPAN), f(most, SPAN, DIM), f(2 * most, SPAN, DIM), f(2 * most, SPAN, DIM)
+        self.s, self.logits, self.drift = f(most, 2 * SPAN, SPAN), f(most * SPAN, classes), f(most * SPAN, classes)
         self.ones = np.ones(classes, dtype)
         if train:
-            self.do, self.dq, self.da = f(most, SPAN, DIM), f(most, SPAN, DIM), f(most, SPAN, 2 * SPAN)
-            self.dk, self.dv = f(most, 2 * SPAN, DIM), f(most, 2 * SPAN, DIM)
+            self.do, self.dq, self.da = f(most, SPAN, DIM), f(most, SPAN, DIM), f(most, 2 * SPAN, SPAN)
+            self.pair, self.sum = f(most, 2, SPAN, DIM), f(2 * most, SPAN, DIM)
+
+
+def _windows(blocks: np.ndarray) -> np.ndarray:
+    """(runs, each + 1, SPAN, DIM) as (runs, each, 2 * SPAN, DIM): every block but the first behind the one before it, without a copy."""
+    runs, more, _, _ = blocks.shape
+    return np.ndarray((runs, more - 1, 2 * SPAN, DIM), blocks.dtype, blocks, 0, blocks.strides)
 
 
 def forward(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before: np.ndarray, alone: np.ndarray, work: Work) -> tuple[np.ndarray, ...]:
-    """Attention and class logits of blocks: rows of last ids ``now`` and of the blocks ``before``, which ``alone`` blocks do not see. Returns views of ``work``."""
+    """Attention and class logits of blocks, as views of ``work``.
+
+    ``now``, rows of last ids, is ``len(before)`` runs of blocks that follow each other, equally long; ``before`` has the block before each run. ``alone`` blocks do
+    not see the block before them. Attention is keys by queries and not divided by its sums, which are returned.
+    """
     q_of, k_of, v_of, bias, w = params
-    n = len(now)
-    q, o, k, v, s = work.q[:n], work.o[:n], work.k[:n], work.v[:n], work.s[:n]
+    n, runs = len(now), len(before)
+    each = n // runs
+    q, o, s = work.q[:n], work.o[:n], work.s[:n]
     logits, drift = work.logits[: n * SPAN], work.drift[: n * SPAN]
     rel, open_ = _masks()
-    seen = np.concatenate([before, now], 1)
-    np.take(q_of, now, 0, q, "clip")
-    np.take(k_of, seen, 0, k, "clip")
-    np.take(v_of, seen, 0, v, "clip")
-    np.matmul(q, k.transpose(0, 2, 1), s)
-    s *= s.dtype.type(1 / math.sqrt(DIM))
+    rows = np.concatenate([before[:, None], now.reshape(runs, each, SPAN)], 1)
+    np.take(q_of * q_of.dtype.type(1 / math.sqrt(DIM)), now, 0, q, "clip")
+    k, v = (x[: n + runs].reshape(runs, each + 1, SPAN, DIM) for x in (work.k, work.v))
+    np.take(k_of, rows, 0, k, "clip")
+    np.take(v_of, rows, 0, v, "clip")
+    k, v = _windows(k), _windows(v)
+    turned = work.turned[:n]
+    turned[:] = q.transpose(0, 2, 1)
+    by_run = s.reshape(runs, each, 2 * SPAN, SPAN)
+    np.matmul(k, turned.reshape(runs, each, DIM, SPAN), by_run)
     s += np.where(open_, bias[rel], -1e9).astype(s.dtype)
-    s[alone, :, :SPAN] = -1e9
-    np.minimum(s, 60, s)
+    s[alone, :SPAN] = -1e9
+    np.clip(s, -1e9, 60, s)
     np.exp(s, s)
-    s /= s.sum(2, keepdims=True)
-    np.matmul(s, v, o)
-    np.take(table, now.ravel(), 0, logits, "clip")
-    logits += np.matmul(o.reshape(-1, DIM), w, drift)
-    return q, k, v, s, o, logits, seen
+    sums = np.matmul(np.ones((1, 2 * SPAN), s.dtype), s).reshape(n, SPAN, 1)
+    np.matmul(by_run.transpose(0, 1, 3, 2), v, o.reshape(runs, each, SPAN, DIM))
+    o /= sums
+    np.matmul(o.reshape(-1, DIM), w, logits)
+    logits += np.take(table, now.ravel(), 0, drift, "clip")
+    return q, k, v, s, sums, o, logits, rows
 
 
 def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before: np.ndarray, alone: np.ndarray, y: np.ndarray, real: np.ndarray, work: Work) -> tuple[float, list[np.ndarray]]:
-    """Mean loss over the real targets of blocks and its gradients; y: classes of next ids."""
-    w, n = params[4], len(now)
-    q, k, v, a, o, logits, seen = forward(params, table, now, before, alone, work)
-    at, cls, weight = np.arange(n * SPAN), y.ravel(), real.ravel() / max(1.0, float(real.sum()))
-    own = logits[at, cls]
+    """Mean loss over the real targets of blocks and its gradients; y: classes of next ids. Factors of a row are put on its DIM side, not on its classes or keys."""
+    w, n, runs = params[4], len(now), len(before)
+    each = n // runs
+    q, k, v, a, sums, o, logits, rows = forward(params, table, now, before, alone, work)
+    at, weight = np.arange(n * SPAN) * logits.shape[1] + y.ravel(), real.ravel() / max(1.0, float(np.count_nonzero(real)))
+    own = logits.ravel()[at]
     np.exp(logits, logits)
     total = logits @ work.ones
     loss = float(((np.log(total) - own) * weight).sum())
-    weight = weight.astype(w.dtype)
     d = logits
-    d *= (weight / total)[:, None]
-    d[at, cls] -= weight
-    dw = o.reshape(-1, DIM).T @ d
-    do, dq, da, dk, dv = work.do[:n], work.dq[:n], work.da[:n], work.dk[:n], work.dv[:n]
+    d.ravel()[at] -= total
+    weight = (weight / total).astype(w.dtype).reshape(n, SPAN, 1)
+    parts = 8 if n % 8 == 0 else 1
+    dw = np.matmul((o * weight).reshape(parts, -1, DIM).transpose(0, 2, 1), d.reshape(parts, -1, d.shape[1])).sum(0)
+    do, da, turned = work.do[:n], work.da[:n], work.turned[:n]
     np.matmul(d, w.T, do.reshape(-1, DIM))
-    np.matmul(a.transpose(0, 2, 1), do, dv)
-    np.matmul(do, v.transpose(0, 2, 1), da)
-    da -= np.einsum("nsk,nsk->ns", da, a)[..., None]
+    do *= weight / sums
+    own_part = np.einsum("nsk,nsk->ns", do, o)
+    tiled = np.tile(own_part, SPAN)[:, None]  # long rows subtract faster than short ones
+    turned[:] = do.transpose(0, 2, 1)
+    by_run = da.reshape(runs, each, 2 * SPAN, SPAN)
+    np.matmul(v, turned.reshape(runs, each, DIM, SPAN), by_run)
+    halves = da.reshape(n, 2, SPAN * SPAN)
+    halves -= tiled
     da *= a
     rel, open_ = _masks()
     dbias = np.bincount(rel.ravel(), (da.sum(0) * open_).ravel(), 2 * SPAN)
-    da *= da.dtype.type(1 / math.sqrt(DIM))
-    np.matmul(da, k, dq)
-    np.matmul(da.transpose(0, 2, 1), q, dk)
-    both = _by_row(seen, np.concatenate([dk, dv], 2), len(params[1]))
-    return loss, [_by_row(now, dq, len(params[0])), both[:, :DIM], both[:, DIM:], dbias.astype(w.dtype), dw]
-
-
-def _by_row(rows: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    dq, pair, both = work.dq[:n], work.pair[:n], work.sum[: n + runs].reshape(runs, each + 1, SPAN, DIM)
+    np.matmul(by_run.transpose(0, 1, 3, 2), k, dq.reshape(runs, each, SPAN, DIM))
+    cells, of_keys = _cells(rows), []
+    for of, what in ((da, q), (a, do)):  # a block's keys are seen by its own queries and by those of the next block
+        np.matmul(of, what, pair.reshape(n, 2 * SPAN, DIM))
+        first, second = (pair[:, i].reshape(runs, each, SPAN, DIM) for i in (0, 1))
+        both[:, :-1] = first
+        both[:, -1] = 0
+        both[:, 1:] += second
+        of_keys.append(_by_cell(cells, both, len(params[1])))
+    dq_of = _by_cell(cells[:, 1:], dq, len(params[0]))
+    dq_of *= w.dtype.type(1 / math.sqrt(DIM))
+    return loss, [dq_of, *of_keys, dbias.astype(w.dtype), dw]
+
+
+def _cells(rows: np.ndarray) -> np.ndarray:
+    """Places of rows of DIM numbers, two at once as a complex one."""
+    return np.arange(PREVIOUS * (DIM // 2)).reshape(PREVIOUS, DIM // 2).take(rows, 0)
+
+
+def _by_cell(cells: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     """Sums of gradients by the row they belong to."""
-    rows = rows.ravel().astype(np.uint16)  # a stable sort of 16 bits is a radix sort
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    out = np.zeros((n, g.shape[-1]), g.dtype)
-    out[sorted_rows[starts]] = np.add.reduceat(g.reshape(-1, g.shape[-1])[order], starts, axis=0)
+    two, out = np.result_type(g.dtype, np.complex64), np.zeros((n, DIM), g.dtype)
+    np.add.at(out.view(two).ravel(), cells.ravel(), g.reshape(-1).view(two))
     return out
 
 
@@ -285,34 +382,47 @@ def _flat(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params]).astype(np.float64)
 
 
+def _views(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    parts = np.split(flat, np.cumsum([p.size for p in like])[:-1])
+    return [x.reshape(p.shape) for x, p in zip(parts, like, strict=True)]
+
+
 def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
-    out, at = [], 0
-    for p in like:
-        out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-        at += p.size
-    return out
+    return [x.astype(np.float32) for x in _views(flat, like)]
 
 
 def _steps(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
     """Adam over this partition's blocks of one turn; its parameters, weighted by its targets."""
     from pyspark import TaskContext
 
-    params, t, n = [p.copy() for p in model.params], 0, 0
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    flat = np.concatenate([p.ravel() for p in model.params])
+    params, t, n = _views(flat, model.params), 0, 0
+    m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     work = Work(BATCH, True)
     for b in sized(batches, "ids", 1 << 20):
         texts_ = blocks_of([np.frombuffer(x, "<u2") for x in b["ids"].to_pylist()], model)
-        mine = np.random.default_rng(SEED).permutation(len(texts_.x))[turn::ROUNDS]
-        for at in range(0, len(mine), BATCH):
-            i = mine[at : at + BATCH]
-            real = texts_.real[i]
-            _, grads = gradients(params, model.table, texts_.x[i], texts_.x[np.maximum(i - 1, 0)], texts_.begins[i], model.classes[texts_.y[i]], real, work)
+        total = len(texts_.x)
+        mine = np.random.default_rng(SEED).permutation(-(-total // RUN))[turn::ROUNDS] * RUN
+        for at in range(0, len(mine), BATCH // RUN):
+            first = mine[at : at + BATCH // RUN]
+            i = (first[:, None] + np.arange(RUN)).ravel()
+            inside, i = i < total, np.minimum(i, total - 1)  # the last run may be short
+            real = texts_.real[i] & inside[:, None]
+            _, grads = gradients(params, model.table, texts_.x[i], texts_.x[np.maximum(first - 1, 0)], texts_.begins[i], model.classes[texts_.y[i]], real, work)
             t, n = t + 1, n + int(real.sum())
             rate = RATE / (1 + turn) / (1 + t / 800)
-            for p, g, mm, vv in zip(params, grads, m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.01 * (g * g - vv)
-                p -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.99**t)) + 1e-7)
+            g = np.concatenate([x.ravel() for x in grads])
+            m += 0.1 * (g - m)
+            g *= g
+            g -= v
+            g *= 0.01
+            v += g
+            np.multiply(v, 1 / (1 - 0.99**t), step)
+            np.sqrt(step, step)
+            step += 1e-7
+            np.divide(m, step, step)
+            step *= rate / (1 - 0.9**t)
+            flat -= step
     yield batch({"slot": [TaskContext.get().partitionId()], "n": [n], "sums": [(_flat(params) * n).tobytes()]}, pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())]))
 
 
@@ -342,53 +452,59 @@ def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128, w
     b = blocks_of(sequences, model)
     work = work or Work(blocks)
     out = np.empty(b.x.size, np.float32)
+    after, width = model.after.ravel(), model.after.shape[1]
     for a in range(0, len(b.x), blocks):
         now = b.x[a : a + blocks]
-        before = b.x[np.maximum(np.arange(a, a + len(now)) - 1, 0)]
-        logits = forward(model.params, model.table, now, before, b.begins[a : a + blocks], work)[5]
-        row, ids = now.ravel(), b.y[a : a + blocks].ravel()
+        logits = forward(model.params, model.table, now, b.x[max(a - 1, 0)][None], b.begins[a : a + blocks], work)[6]
+        row, ids = now.ravel().astype(np.int64), b.y[a : a + blocks].ravel()
         cls = model.classes[ids]
-        own = logits[np.arange(len(row)), cls]
+        own = logits.ravel()[np.arange(len(row)) * CLASSES + cls]
         np.exp(logits, logits)
         column = model.dense[ids]
-        emit, rest = model.after[row, column], np.flatnonzero(column < 0)
+        emit, rest = after.take(row * width + column, mode="clip"), np.flatnonzero(column < 0)
         emit[rest] = model.loose[row[rest], cls[rest]] + model.overall[ids[rest]]
         out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ work.ones)) / np.float32(np.log(10)) + emit
-    return np.bincount(np.repeat(np.arange(len(b.sizes)), b.sizes), out[b.at].astype(float), len(b.sizes))
+    out[~b.real.ravel()] = 0
+    sums, any_ = np.zeros(len(b.sizes)), b.sizes > 0
+    if any_.any():
+        sums[any_] = np.add.reduceat(out, b.first[any_] * SPAN, dtype=float)
+    return sums
 
 
-def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: dict[bytes, int], whole: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: pa.Array, counts: np.ndarray, ends: int, whole: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string()))])
-    subwords, row = Subwords(path), TaskContext.get().partitionId() << 36
-    logs = {w: float(np.log10(n + 1)) for w, n in head.items() if w}
-    end_log = float(np.log10(head[b""] + 1))
-    end, work = np.array([subwords.end], "<u2").tobytes(), Work(128)
-    for b in sized(batches, "text", 4 << 20):
-        split = [x.lower().split() for x in utf8(b["text"])]
-        scores = log10_scores(model, [np.frombuffer(end + x + end, "<u2") for x in subwords.rows(split)], 128, work)
-        out = {k: [] for k in ("known", "logs", "rare")}
-        for x in split:
-            found = list(map(logs.get, x))
-            rare = [w for w, v in zip(x, found, strict=True) if v is None] if None in found else []
-            out["known"].append(len(x) - len(rare) + (head[b""] > 0))
-            out["logs"].append(sum(v for v in found if v is not None) + end_log if rare else sum(found) + end_log)
-            out["rare"].append([] if whole else [w.decode() for w in rare])
-        m = len(split)
-        yield batch({"row": range(row, row + m), "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(x) + 1 for x in split], "score": scores, **out}, schema)
+    subwords, row, work = subwords_of(path), TaskContext.get().partitionId() << 36, Work(128)
+    log_of = np.append(np.log10(counts + 1), np.nan)
+    for b in sized(batches, "text", CHUNK):
+        words, places, ids, stops = subwords.read(b["text"])
+        known = pc.index_in(words.dictionary, value_set=head).fill_null(-1).to_numpy()
+        logs = np.concatenate([[np.log10(ends + 1)], log_of[known]])
+        scores = log10_scores(model, [ids[i : j + 1] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], 128, work)
+        places = places[1:]
+        stop = np.flatnonzero(places == 0)
+        begin, found = np.concatenate([[0], stop[:-1] + 1]), logs[places]
+        is_rare = np.isnan(found)
+        n_rare = np.add.reduceat(is_rare, begin, dtype=np.int64)
+        found[is_rare] = 0
+        rare, m = np.flatnonzero(is_rare), len(stop)
+        spelled = words.dictionary.take(pa.array(places[rare if not whole else rare[:0]] - 1)).cast(pa.string())
+        offsets = np.concatenate([[0], np.cumsum(n_rare) * (not whole)]).astype(np.int32)
+        out = {"row": np.arange(row, row + m), "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": stop - begin + 1, "known": stop - begin - n_rare + (ends > 0)}
+        out |= {"logs": np.add.reduceat(found, begin), "score": scores, "rare": pa.ListArray.from_arrays(pa.array(offsets), spelled)}
+        yield batch(out, schema)
         row += m
 
 
-def prepare(docs: DataFrame, path: str) -> tuple[Model, DataFrame, int, int]:
-    """The model, the word counts (word, c), and the tokens and distinct tokens of the training documents of ``docs`` (doc_id, text)."""
+def prepare(docs: DataFrame, path: str) -> tuple[Model, DataFrame, dict[int, int], int]:
+    """The model, the word counts (word, c), how many words have each count, and the number of training documents of ``docs`` (doc_id, text)."""
     training = docs.filter(fold("doc_id", FOLDS) != HELD_OUT)
     gathered = settle(training.mapInArrow(partial(_gather, path=path), "kind int, word string, key long, n long, ids binary"), "lm-counts")
     words = settle(gathered.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     n_docs = gathered.filter("kind = 2").count()
-    seen = words.agg(F.sum("c"), F.count("*")).first()
-    tokens, distinct = (seen[0] or 0) + n_docs, seen[1] + (n_docs > 0)
-    subwords = Subwords(path)
+    spread = {r["c"]: r["n"] for r in words.groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most the root of twice the tokens
+    subwords = subwords_of(path)
     pairs = gathered.filter("kind = 1").select(F.shiftright("key", 16).cast("int").alias("last"), F.col("key").bitwiseAND(65535).cast("int").alias("id"), "n")
     unigrams = np.zeros(subwords.size)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary at most
@@ -407,7 +523,7 @@ def prepare(docs: DataFrame, path: str) -> tuple[Model, DataFrame, int, int]:
         counts[r["row"], cell[cell >= 0]] = n[cell >= 0]
         by_class[r["row"], -1 - cell[cell < 0]] = n[cell < 0]
     model = build(counts, by_class, unigrams, subwords.starts, subwords.end, last)
-    return train_attention(model, gathered.filter("kind = 2")), words, tokens, distinct
+    return train_attention(model, gathered.filter("kind = 2")), words, spread, n_docs
 
 
 def _rows(batches: Iterator[pa.RecordBatch], last: np.ndarray, column: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -429,12 +545,18 @@ def score(docs: DataFrame, vocabulary: str | None = None, head_words: int = HEAD
     Without training documents N and V are 0 and the model knows no frequencies.
     """
     path, docs = vocabulary or tokenizer_path("byte_bpe_multi_50k.tiktoken"), texts(docs)
-    model, words, tokens, distinct = prepare(docs, path)
-    head = {r["word"].encode(): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(head_words).collect()}
-    whole = len(head) < head_words  # then it holds every word
-    head[b""] = tokens - (words.agg(F.sum("c")).first()[0] or 0)  # ends
+    model, words, spread, ends = prepare(docs, path)
+    tokens, distinct = sum(c * n for c, n in spread.items()) + ends, sum(spread.values()) + (ends > 0)
+    least, left = 1 + max(spread, default=0), head_words
+    for c in sorted(spread, reverse=True):  # no ranking of all words: every count that fits whole
+        if spread[c] > left:
+            break
+        least, left = c, left - spread[c]
+    top = words.filter(F.col("c") >= least).toArrow()
+    head, counts = top["word"].cast(pa.binary()).combine_chunks(), top["c"].to_numpy()
+    whole = len(head) == sum(spread.values())
     marked = docs.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT)
-    scored = settle(marked.mapInArrow(partial(_score, path=path, model=model, head=head, whole=whole), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>"), "lm-scored")
+    scored = settle(marked.mapInArrow(partial(_score, path=path, model=model, head=head, counts=counts, ends=ends, whole=whole), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>"), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     every = F.lit(float(np.log10(tokens + distinct + 1)))
     return scored.drop("rare").join(rare, "row", "left").select(

@@ -159,3 +159,35 @@ def test_edges(spark):
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 60_001, 60_001]
     twins = [r["score"] for r in got if r["doc_id"] == 3]
     assert twins[0] == pytest.approx(twins[1], rel=1e-4) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_runs_of_blocks_are_their_blocks():
+    """Blocks that follow each other share the keys between them; the gradients are those of each block with its own copy of the block before."""
+    m, rng, size = toy()
+    b = lm.blocks_of([rng.integers(0, size, n) for n in (300, 40, 90, 200)], m)
+    first = np.array([0, 8, 24])
+    i = (first[:, None] + np.arange(8)).ravel()
+    given = b.x[i], b.begins[i], m.classes[b.y[i]], b.real[i]
+    params = [p.astype(float) for p in m.params]
+    results = []
+    for before in (b.x[np.maximum(first - 1, 0)], b.x[np.maximum(i - 1, 0)]):
+        results.append(lm.gradients(params, m.table.astype(float), given[0], before, *given[1:], lm.Work(len(i), True, dtype=float)))
+    assert results[0][0] == pytest.approx(results[1][0])
+    for p, q in zip(results[0][1], results[1][1], strict=True):
+        assert p.any() and np.allclose(p, q, rtol=1e-9, atol=1e-12)
+
+
+def test_chunks_are_spelled_by_their_distinct_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    signs = ["a", "B", "Éz", " ", " ", "\n", "\t\x0b", "　", "\x1c", "\x85", "12", "ß"]
+    texts = ["", *("".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(200)), "a  b "]
+    subwords = lm.Subwords(PATH)
+    words, places, ids, ends = subwords.read(pa.array(["cut off", *texts])[1:])
+    assert words.to_pylist() == [w.encode() for t in texts for w in tokens(t)] and len(ends) == len(texts) + 1
+    known = [None, *words.dictionary.to_pylist()]
+    stops = np.flatnonzero(places == 0)
+    for t, i, j, a, z in zip(texts, ends[:-1], ends[1:], stops[:-1], stops[1:], strict=True):
+        assert [known[p] for p in places[a + 1 : z]] == [w.encode() for w in tokens(t)]
+        assert ids[i : j + 1].tolist() == [subwords.end, *(k for w in tokens(t) for k in subwords.encoding.encode_ordinary(" " + w)), subwords.end]
