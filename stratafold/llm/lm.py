@@ -8,7 +8,7 @@ predicts the class of the next id and then the id in its class:
 * an id in its class follows its counts after the last id, drawn to its overall share of the class, so that all ids together have probability one.
 
 Counts are sums over all training documents. The attention is trained on every id of every training document, once, in the blocks that scoring sees: in each of ``ROUNDS`` turns each
-partition takes Adam steps over its share of blocks from common parameters, and the parameters are averaged. A text is cut into blocks of ``SPAN`` ids that also see the
+partition takes Adam steps over its share of blocks, in runs of ``RUN`` that share keys, from common parameters, and the parameters are averaged. A text is cut into blocks of ``SPAN`` ids that also see the
 block before, so windows overlap and every id is predicted once; blocks of many texts form one batch, masked to the past and their own text.
 
 Base scores need the count of every word. The most frequent words, at most ``HEAD_WORDS``, go to every task; all other words are summed up by a join.
@@ -41,7 +41,7 @@ DENSE_IDS = 4096
 DRAW = 20.0
 ROUNDS = 2
 BATCH = 128
-RUN = 8
+RUN = 4
 RATE = 0.02
 HEAD_WORDS = 200_000
 CHUNK = 8 << 20
@@ -289,6 +289,11 @@ def _windows(blocks: np.ndarray) -> np.ndarray:
     return np.ndarray((runs, more - 1, 2 * SPAN, DIM), blocks.dtype, blocks, 0, blocks.strides)
 
 
+def _parts(n: int, parts: int) -> int:
+    """Products of small parts stay in cache."""
+    return 1 if n % parts else parts
+
+
 def forward(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before: np.ndarray, alone: np.ndarray, work: Work) -> tuple[np.ndarray, ...]:
     """Attention and class logits of blocks, as views of ``work``.
 
@@ -318,7 +323,8 @@ def forward(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, before
     sums = np.matmul(np.ones((1, 2 * SPAN), s.dtype), s).reshape(n, SPAN, 1)
     np.matmul(by_run.transpose(0, 1, 3, 2), v, o.reshape(runs, each, SPAN, DIM))
     o /= sums
-    np.matmul(o.reshape(-1, DIM), w, logits)
+    parts = _parts(n, 8)
+    np.matmul(o.reshape(parts, -1, DIM), w, logits.reshape(parts, -1, logits.shape[1]))
     logits += np.take(table, now.ravel(), 0, drift, "clip")
     return q, k, v, s, sums, o, logits, rows
 
@@ -336,7 +342,7 @@ def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, befo
     d = logits
     d.ravel()[at] -= total
     weight = (weight / total).astype(w.dtype).reshape(n, SPAN, 1)
-    parts = 8 if n % 8 == 0 else 1
+    parts = _parts(n, 32)
     dw = np.matmul((o * weight).reshape(parts, -1, DIM).transpose(0, 2, 1), d.reshape(parts, -1, d.shape[1])).sum(0)
     do, da, turned = work.do[:n], work.da[:n], work.turned[:n]
     np.matmul(d, w.T, do.reshape(-1, DIM))
@@ -351,15 +357,13 @@ def gradients(params: list[np.ndarray], table: np.ndarray, now: np.ndarray, befo
     da *= a
     rel, open_ = _masks()
     dbias = np.bincount(rel.ravel(), (da.sum(0) * open_).ravel(), 2 * SPAN)
-    dq, pair, both = work.dq[:n], work.pair[:n], work.sum[: n + runs].reshape(runs, each + 1, SPAN, DIM)
+    dq, pair, both = work.dq[:n], work.pair[:n].reshape(runs, each, 2, SPAN * DIM), work.sum[: n + runs].reshape(runs, each + 1, SPAN * DIM)
     np.matmul(by_run.transpose(0, 1, 3, 2), k, dq.reshape(runs, each, SPAN, DIM))
     cells, of_keys = _cells(rows), []
     for of, what in ((da, q), (a, do)):  # a block's keys are seen by its own queries and by those of the next block
         np.matmul(of, what, pair.reshape(n, 2 * SPAN, DIM))
-        first, second = (pair[:, i].reshape(runs, each, SPAN, DIM) for i in (0, 1))
-        both[:, :-1] = first
-        both[:, -1] = 0
-        both[:, 1:] += second
+        both[:, 0], both[:, -1] = pair[:, 0, 0], pair[:, -1, 1]
+        np.add(pair[:, 1:, 0], pair[:, :-1, 1], both[:, 1:-1])
         of_keys.append(_by_cell(cells, both, len(params[1])))
     dq_of = _by_cell(cells[:, 1:], dq, len(params[0]))
     dq_of *= w.dtype.type(1 / math.sqrt(DIM))
@@ -557,7 +561,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, head_words: int = HEAD
     whole = len(head) == sum(spread.values())
     marked = docs.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT)
     scored = settle(marked.mapInArrow(partial(_score, path=path, model=model, head=head, counts=counts, ends=ends, whole=whole), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>"), "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
+    # the words of a partition are hashed: sorting both sides would cost more
+    rare = scored.select("row", F.explode("rare").alias("word")).join(words.hint("shuffle_hash"), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     every = F.lit(float(np.log10(tokens + distinct + 1)))
     return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
