@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm import neardup
 from stratafold.llm.common import batch, settle, sized, texts, utf8
-from stratafold.llm.components import connected_components
+from stratafold.llm.components import connected_components, forest
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -115,22 +115,6 @@ class GrayIndex:
         yield who + at, node
 
 
-def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest position linked to each, for links that come in blocks; memory stays with n and one block."""
-    root = np.arange(n)
-    for a, b in links:
-        while True:
-            ra, rb = root[a], root[b]
-            if len(open_ := np.flatnonzero(ra != rb)) == 0:
-                break
-            a, b = a[open_], b[open_]
-            ra, rb = ra[open_], rb[open_]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(jump := root[root], root):
-                root = jump
-    return root
-
-
 def _route(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, patterns: np.ndarray, masks: np.ndarray, parts: int, most: int) -> Iterator[pa.RecordBatch]:
     """Every fingerprint to all parts of its own shard as a member, and as a query to a part of each shard that may hold links."""
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("member", pa.bool_()), ("fp", pa.int64())])
@@ -157,7 +141,7 @@ def _link(table: pa.Table, parts: int, most: int) -> pa.Table:
     codes = np.concatenate([inside, fps[~member]])
     asks = np.concatenate([mine, np.arange(n, len(codes))])
     tree = GrayIndex(inside)
-    root = _forest(len(codes), ((asks[who], leaf) for who, leaf in tree.search(codes[asks], most)))
+    root = forest(len(codes), ((asks[who], leaf) for who, leaf in tree.search(codes[asks], most)))
     apart = np.flatnonzero(root != np.arange(len(codes)))
     return pa.table({"a": codes[apart].view(np.int64), "b": codes[root[apart]].view(np.int64)})
 
@@ -206,7 +190,7 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGL
     """
     marked = settle(fingerprints(docs, shingle), "fingerprints")
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(links(distinct, most, shard_rows))
+    roots = connected_components(settle(links(distinct, most, shard_rows), "near"))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     least = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     named = joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from stratafold.llm import simhash
+from stratafold.llm import components, simhash
 from stratafold.llm.components import connected_components
 
 
@@ -78,6 +78,22 @@ def test_long_path_and_empty(spark):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_few_links_write_no_tables(spark, monkeypatch):
+    """Few links need no table a round, and make the same components as the rounds."""
+    rng = np.random.default_rng(4)
+    ends = rng.integers(-(1 << 63), 1 << 63, 900)
+    rows = [(int(a), int(b)) for a, b in rng.choice(ends, (700, 2))] + [(5, 5), (None, 3), (3, None)]
+    edges = spark.createDataFrame(rows + rows[:50], "a long, b long")
+    written, settle = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda df, name: written.append(name) or settle(df, name))
+    few = connected_components(edges)
+    assert few.schema.simpleString() == "struct<node:bigint,root:bigint>" and not written
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    rounds = connected_components(edges)
+    assert len(written) > 2 and sorted(map(tuple, few.collect())) == sorted(map(tuple, rounds.collect()))
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def test_keep_one(spark):
     long = "the quick brown fox jumps over the lazy dog " * 5
     docs = spark.createDataFrame([(1, long, "x"), (2, long, "y"), (3, "other words here in this", "z"), (3, "other words here in this", "z"), (None, long, "n")], "doc_id long, text string, lang string")
