@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm import neardup
 from stratafold.llm.common import batch, settle, sized, texts, utf8
-from stratafold.llm.components import connected_components, forest
+from stratafold.llm.components import FEW_LINKS, connected_components, forest
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -190,10 +190,13 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGL
     """
     marked = settle(fingerprints(docs, shingle), "fingerprints")
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(settle(links(distinct, most, shard_rows), "near"))
+    near = settle(links(distinct, most, shard_rows), "near")
+    # few links have few components: they go to every task, and no large component is gathered in one
+    held = F.broadcast if near.count() <= FEW_LINKS else lambda df: df
+    roots = held(connected_components(near))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     least = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    named = joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    named = joined.join(held(least), "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
