@@ -34,3 +34,30 @@ def test_nearest_compares_few_references(monkeypatch, rule, longlat):
         all_pairs[key[:, None] == key[None]] = np.inf
     assert np.allclose(d, all_pairs.min(1), rtol=1e-9, atol=1e-6)
     assert sum(met) < 1000 * n
+
+
+def test_equal_features_are_compared_once(spark, monkeypatch):
+    rows = [(i, float(i % 7), float(i % 3), i % 4) for i in range(400)] + [(400, 50.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, fold int").selectExpr("id", "fold", "array(a, b) as features")
+    for kind, norm in (("L1", lambda a, b: abs(a[1] - b[1]) + abs(a[2] - b[2])), ("L2", lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5)):
+        for differ, at in (("id", 0), ("fold", 3)):
+            got = {r["id"]: r["d"] for r in nn.in_features(df, df, differ, kind=kind).collect()}
+            assert got == {a[0]: pytest.approx(min(norm(a, b) for b in rows if a[at] != b[at])) for a in rows}
+    settled, settle = {}, nn.settle
+    monkeypatch.setattr(nn, "settle", lambda d, name: settled.setdefault(name, settle(d, name)))
+    nn.in_features(df, df, "id")
+    assert {n: d.count() for n, d in settled.items()} == {"features-of-references": 22, "features-of-queries": 22}
+
+
+def test_feature_block_is_exact():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(1000, 1, (300, 20)), rng.normal(1000, 1, (200, 20))
+    b[7] = a[5] + 1e-9
+    q = pd.DataFrame({"q": range(300), "group": 0, "key": rng.integers(0, 3, 300), "features": list(a)})
+    r = pd.DataFrame({"r": range(200), "group": 0, "key": rng.integers(0, 3, 200), "features": list(b), "several": False})
+    want = ((a[:, None] - b[None]) ** 2).sum(2)
+    want[q["key"].to_numpy()[:, None] == r["key"].to_numpy()[None]] = np.inf
+    got = nn._feature_block(q, r, "L2", True)["t"].to_numpy()
+    assert np.allclose(got, want.min(1), rtol=1e-12)
