@@ -61,3 +61,27 @@ def test_feature_block_is_exact():
     want[q["key"].to_numpy()[:, None] == r["key"].to_numpy()[None]] = np.inf
     got = nn._feature_block(q, r, "L2", True)["t"].to_numpy()
     assert np.allclose(got, want.min(1), rtol=1e-12)
+
+
+@pytest.mark.parametrize("longlat", [False, True])
+def test_buffer_records_are_counts(spark, longlat):
+    from stratafold.operators import folds
+    from stratafold.sources import points as P
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), int(o)) for i, (a, b, o) in enumerate(zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 2, 300), strict=True))]
+    x = P.Points(spark.createDataFrame(rows, "id long, x double, y double, occ int"), "geographic" if longlat else "plane", longlat)
+    at = np.array([r[1:3] for r in rows])
+    near = (_great_circle(at, at) if longlat else np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))) <= (700_000 if longlat else 10)
+    occ = np.array([r[3] for r in rows])
+    for add_bg in (False, True):
+        f = folds.buffer(x, 700_000 if longlat else 10, "occ", presence_bg=True, add_bg=add_bg)
+        got = {r["fold"]: tuple(r[c] for c in ("train_0", "train_1", "test_0", "test_1")) for r in f.records.collect()}
+        bg = near[:, occ == 0].sum(1)
+        assert got == {i: (int((occ == 0).sum() - bg[i]), int((~near[i] & (occ == 1)).sum()), int(bg[i]) * add_bg, 1) for i in range(300) if occ[i]}
+        assert "Generate explode" not in f.records._jdf.queryExecution().optimizedPlan().toString()  # no cells meet, so no pairs
+        kept = f.folds_list().filter("role = 'train'").collect()
+        assert {(r["fold"], r["id"]) for r in kept} == {(i, j) for i in range(300) if occ[i] for j in range(300) if not near[i, j]}
+        shown = {(r["fold"], r["id"]): r["role"] for r in folds.to_long(f).collect()}
+        first = [i for i in range(300) if occ[i]][:10]
+        assert shown == {(i, j): 0 if i == j or (add_bg and near[i, j] and not occ[j]) else None if near[i, j] else 1 for i in first for j in range(300)}
