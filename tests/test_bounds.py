@@ -129,3 +129,14 @@ def test_left_out_similarity_makes_no_pairs(spark, monkeypatch):
         pool = apart[i] | (np.arange(80) == i)
         assert got[i] == pytest.approx(gap[:, pool].min(1).mean() - np.abs(z[of][i] - z[of][apart[i]]).sum(1).min())
     assert len(diagnose.similarity(f, raster)["values"].collect()) == 80
+
+
+def test_starts_share_their_passes(spark):
+    from stratafold.operators import cluster
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.1, (50, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "features array<double>")
+    got = sorted(np.round(cluster.lloyd(df, 3, 8), 6).tolist())
+    assert np.allclose(got, sorted(np.round([points[i : i + 50].mean(0) for i in (0, 50, 100)], 6).tolist()), atol=1e-3)
+    assert len(cluster.lloyd(df.limit(1), 3, 2)) == 1
