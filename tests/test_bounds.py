@@ -140,3 +140,47 @@ def test_starts_share_their_passes(spark):
     got = sorted(np.round(cluster.lloyd(df, 3, 8), 6).tolist())
     assert np.allclose(got, sorted(np.round([points[i : i + 50].mean(0) for i in (0, 50, 100)], 6).tolist()), atol=1e-3)
     assert len(cluster.lloyd(df.limit(1), 3, 2)) == 1
+
+
+@pytest.mark.parametrize("longlat", [False, True])
+def test_labels_apart(longlat):
+    from stratafold.operators import labels
+
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 700):
+        x, y, label = rng.integers(0, 40, n) / 2.0, rng.integers(0, 40, n) / 2.0, rng.integers(-1, 4, n)
+        for given in (label, (x > 10) + 2 * (y > 10)):
+            t = labels.tree(x, y, longlat)
+            found, real = np.full(n, np.nan), t.row >= 0
+            found[t.row[real]] = labels.apart(t, given[np.maximum(t.row, 0)])[real]
+            want = nn._apart(x[:, None], y[:, None], x[None], y[None], longlat)
+            want[(given[:, None] == given[None]) | (given[None] < 0) | (given[:, None] < 0)] = np.inf
+            np.testing.assert_allclose(found, want.min(1), rtol=1e-12)
+
+
+def test_block_candidates_make_no_rows(spark, monkeypatch):
+    from stratafold.functions.stats import wasserstein
+    from stratafold.operators import diagnose, labels, matching
+    from stratafold.plans import catalogue
+
+    d = "/root/testdata/sf0.01"
+    x, pred = catalogue.clustered(spark, d), catalogue.suppliers(spark, d)
+    monkeypatch.setattr(matching, "nearest_apart", None)  # rows for each candidate would fail
+    found = matching.knndm(x, pred, "occ", k=4, nk_len=12)
+    monkeypatch.undo()
+    monkeypatch.setattr(labels, "MAX_PLACES", 0)
+    want = matching.knndm(x, pred, "occ", k=4, nk_len=12)
+    assert found.params["candidate"] == want.params["candidate"] and found.params["w"] == pytest.approx(want.params["w"], abs=1e-9)
+    assert sorted(found.table.collect()) == sorted(want.table.collect())
+    near = diagnose.test_to_train(found, x.df.select("id", "x", "y"))
+    assert wasserstein(near, found.extra["gij"]).first()["w"] == pytest.approx(found.params["w"], abs=1e-6)
+
+
+def test_random_draws_have_no_search_of_rows(spark, monkeypatch):
+    from stratafold.operators import diagnose
+
+    points = spark.createDataFrame([(i, float(i * 7 % 31), float(i * 11 % 37)) for i in range(300)], "id long, x double, y double")
+    folded = diagnose.random_folds(points, 3, 4).withColumnRenamed("draw", "candidate")
+    want = sorted(nn.nearest(folded.join(points, "id"), folded.join(points, "id"), "fold", "candidate").select("candidate", "id", "d").collect())
+    monkeypatch.setattr(nn, "nearest", None)
+    assert sorted(diagnose.nearest_apart(folded, points).collect()) == want
