@@ -184,3 +184,20 @@ def test_random_draws_have_no_search_of_rows(spark, monkeypatch):
     want = sorted(nn.nearest(folded.join(points, "id"), folded.join(points, "id"), "fold", "candidate").select("candidate", "id", "d").collect())
     monkeypatch.setattr(nn, "nearest", None)
     assert sorted(diagnose.nearest_apart(folded, points).collect()) == want
+
+
+@pytest.mark.parametrize("cutoff", [7.0, 23.5, 90.0])
+def test_variogram_of_a_lattice_looks_at_no_pair(spark, monkeypatch, cutoff):
+    from stratafold.operators import scale
+    from stratafold.sources.points import Points
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a - 20), float(b + 5), None if i % 9 == 0 else float(v) + 5000, i % 2) for i, (a, b, v) in enumerate(zip(rng.integers(0, 50, 600), rng.integers(0, 70, 600), rng.integers(0, 10**6, 600) / 100, strict=True))]
+    x = Points(spark.createDataFrame(rows, "id long, x double, y double, v double, w int"), "local plane")
+    want = sorted(scale.variograms(x, ["v", "w"], cutoff).collect())
+    monkeypatch.setattr(scale, "PAIRS_A_CELL", 0)
+    monkeypatch.setattr(scale, "SLAB_CELLS", 1000)
+    monkeypatch.setattr(scale, "_pair_bins", None)
+    found = sorted(scale.variograms(x, ["v", "w"], cutoff).collect())
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    np.testing.assert_allclose([r[3:] for r in found], [r[3:] for r in want], rtol=1e-10)
