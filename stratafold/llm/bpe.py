@@ -3,7 +3,7 @@
 A pre-token is encoded on a doubly linked list of symbols: a priority queue holds the merge rank and place of each neighbouring pair that
 the vocabulary can merge; the lowest rank, leftmost first, is merged, and entries whose symbols have changed meanwhile are skipped when
 they surface. Decoding concatenates vocabulary strings. Texts are cut into chunks at white space where pre-tokens cannot cross, and each
-distinct chunk is encoded once while it stays in a bounded cache.
+distinct chunk, and each short pre-token of it, is encoded once while it stays in a bounded cache.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from stratafold.llm.common import batch, sized, strings, texts, tokenizer_path
 
 CACHED_CHUNKS = 300_000
+CACHED_PIECE = 64
 
 # The public pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,6 +92,7 @@ class ByteBPE:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pattern = regex.compile(PRE_TOKEN)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         return self._pattern.findall(text)
@@ -98,8 +100,19 @@ class ByteBPE:
     def encode_pre_token(self, piece: str) -> list[int]:
         return merge([self.byte_ids[b] for b in piece.encode()], self.merges)
 
+    def _piece(self, piece: str) -> list[int]:
+        """A pre-token's ids; those of words are kept, as they come with other neighbours in other chunks."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.encode_pre_token(piece)
+            if len(piece) <= CACHED_PIECE:
+                if len(self.pieces) >= CACHED_CHUNKS:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.encode_pre_token, self.pre_tokens(chunk))))
+        ids = tuple(chain.from_iterable(map(self._piece, self.pre_tokens(chunk))))
         self.known[chunk] = ids
         return ids
 

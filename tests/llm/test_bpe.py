@@ -50,3 +50,12 @@ def test_table(spark, both, tables):
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_a_word_is_merged_once(monkeypatch):
+    met, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda symbols, merges: met.append(1) or merge(symbols, merges))
+    own = bpe.ByteBPE(PATH)
+    text = "".join(f"x{a}{e}" for a in (" strange", " unheard") for e in ("", ".", ",", "!", "?", ";"))
+    assert own.decode(own.encode(text)) == text.encode()
+    assert len(met) == len(set(own.pre_tokens(text)))
