@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from stratafold.llm.common import batch, settle, sized, utf8
 from stratafold.llm.components import connected_components
+from stratafold.llm.members import possible, without
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -74,9 +75,9 @@ def _mark(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """``docs`` with __copy, the digest of a row's shingles, and __fp and __bands, null bands where an equal row of the batch has them."""
+    """``docs`` with __copy, the digest of a row's shingles, __fp and __bands, null bands where an equal row of the batch has them, and __row, a number of the row."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__copy", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    return docs.mapInArrow(partial(_mark, text="text"), schema)
+    return docs.mapInArrow(partial(_mark, text="text"), schema).withColumn("__row", F.monotonically_increasing_id())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,25 +100,28 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 def groups(marked: DataFrame, close: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """(node, root): the copies of ``marked`` that pairs of ``likeness`` or more link; ``close`` (a, b) are pairs to try beside those of the bands."""
     known = marked.filter("__bands is not null")
+    firsts = known.groupBy("__copy").agg(F.count("*").alias("n"), F.min("__row").alias("first")).filter("n > 1")
+    again = settle(known.select("__row", "__copy").join(firsts, "__copy").filter("__row <> first").select("__row"), "near-again")
     keys = F.concat("__bands", F.array(F.xxhash64(F.lit("fingerprint"), "__fp")))  # equal fingerprints are a bucket as well
-    keyed = known.select(F.col("__copy").alias("copy"), F.explode(keys).alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = settle(keyed.join(sizes, "key"), "near-buckets")
+    keyed = without(known.select("__row", "__copy", "__fp", "__bands"), again, "__row").select(F.col("__copy").alias("copy"), F.explode(keys).alias("key"))
+    sizes = settle(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "near-sizes")
+    met = settle(possible(keyed, sizes, "key").join(sizes, "key"), "near-buckets")  # most keys are of one text and are not moved again
     # the head of a bucket is its text with the most company: edited copies are nearer to their original than to each other
     company = met.groupBy("copy").agg(F.sum("size").alias("company"))
     heads = met.join(company, "copy").groupBy("key").agg(F.max(F.struct("company", "copy"))["copy"].alias("head"))
     shared = met.select("key", "copy").join(heads, "key")
     close = settle(close, "near-close")
-    asked = shared.select(F.col("copy").alias("__copy")).unionByName(close.select(F.explode(F.array("a", "b")).alias("__copy"))).distinct()
+    asked = settle(shared.select(F.col("copy").alias("__copy")).unionByName(close.select(F.explode(F.array("a", "b")).alias("__copy"))).distinct(), "near-asked")
     # one text of each copy: bands are known in few of its rows, which keeps the rest out of the shuffle
-    chosen = known.join(asked, "__copy", "left_semi").select(F.col("__copy").alias("copy"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["copy"])
+    chosen = possible(known.select("__copy", "text"), asked, "__copy").join(asked, "__copy", "left_semi").select(F.col("__copy").alias("copy"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["copy"])
     sets = settle(chosen.mapInArrow(_sets, "copy long, found binary"), "near-sets")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         # likeness needs sizes as near; sizes go first, so that only sets that may be alike are moved
         sizes = sets.select("copy", F.length("found").alias("n"))
         near = pairs.join(sizes.withColumnsRenamed({"copy": "a", "n": "m"}), "a").join(sizes.withColumnRenamed("copy", "b"), "b").filter(F.least("m", "n") >= F.greatest("m", "n") * likeness).select("a", "b")
-        whole = near.join(sets.withColumnsRenamed({"copy": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"copy": "b", "found": "y"}), "b")
+        near = settle(near, f"{name}-sizes")
+        whole = near.join(possible(sets.withColumnsRenamed({"copy": "a", "found": "x"}), near, "a"), "a").join(possible(sets.withColumnsRenamed({"copy": "b", "found": "y"}), near, "b"), "b")
         return settle(whole.select("a", "b", "x", "y").mapInArrow(partial(_alike, least=likeness), "a long, b long"), name)
 
     first = alike(shared.filter("copy <> head").select(F.least("head", "copy").alias("a"), F.greatest("head", "copy").alias("b")).unionByName(close.select("a", "b")).distinct(), "near-first")
@@ -141,8 +145,8 @@ def apart(named: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> Data
     All such pairs of those texts with ``likeness`` are among them, in a shared bucket or not.
     """
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_ = named.join(mixed, "key", "left_semi").select("copy", "root").distinct()
-    chains = sets.join(open_, "copy").mapInArrow(_chains, "copy long, root long, n long, chain long")
+    open_ = settle(named.join(mixed, "key", "left_semi").select("copy", "root").distinct(), "near-open")
+    chains = possible(sets, open_, "copy").join(open_, "copy").mapInArrow(_chains, "copy long, root long, n long, chain long")
     # chains of one root meet nothing: they count as the first of a text's order and go no further
     common = chains.groupBy("chain").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("chain", "c")
     own = Window.partitionBy("copy")
@@ -156,7 +160,17 @@ def apart(named: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> Data
 
 
 def first_of_groups(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row of each group: the smallest doc_id's, rows without one last, and of its rows the first by text."""
-    grouped = marked.drop("__bands", "__fp").join(roots.withColumnsRenamed({"node": "__copy", "root": "__root"}), "__copy", "left").withColumn("__group", F.coalesce("__root", "__copy"))
-    ranked = grouped.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy(F.asc_nulls_last("doc_id"), "text")))
-    return ranked.filter("__rank = 1").select(*docs.columns)
+    """One row of each group: the smallest doc_id's, rows without one last, and of its rows the first by text.
+
+    Groups are made of row numbers; texts are moved of the rows that go, and of those that share the smallest doc_id of a group.
+    """
+    rows = marked.select("__row", "__copy", "doc_id").join(roots.withColumnsRenamed({"node": "__copy", "root": "__root"}), "__copy", "left")
+    rows = settle(rows.select("__row", F.coalesce("__root", "__copy").alias("__group"), "doc_id"), "near-rows")
+    least = rows.groupBy("__group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id"))["doc_id"].alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = settle(rows.join(least, "__group").select("__row", "__group", F.col("doc_id").eqNullSafe(F.col("least")).alias("first")), "near-several")
+    tied = several.filter("first").groupBy("__group").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    tied = settle(several.filter("first").join(tied, "__group", "left_semi").select("__row", "__group"), "near-tied")
+    ranked = possible(marked.select("__row", "text"), tied, "__row").join(tied, "__row").withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy("text")))
+    kept = ranked.filter("__rank = 1").select("__row")
+    gone = several.filter("not first").select("__row").unionByName(tied.join(kept, "__row", "left_anti").select("__row"))
+    return without(marked, settle(gone, "near-gone"), "__row").select(*docs.columns)
