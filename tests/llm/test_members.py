@@ -32,3 +32,12 @@ def test_texts_without_company_stay_in_place(spark):
     time.sleep(1)
     assert sorted(kept) == sorted(rows[:300])
     assert moved() - before < 0.5 * sum(len(t) for _, t in rows)  # twice and more when every text went to its group
+
+
+def test_of_a_group_that_shares_its_least_id_the_first_text_stays(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = [" ".join([*words, f"end{k}"]) for k in range(6)]
+    alone = [" ".join(f"{c}{k}" for k in range(50)) for c in "xyz"]
+    rows = [(4, near[3]), (4, near[1]), (4, near[2]), (9, near[0]), (None, near[0]), (4, near[1]), (None, alone[0] + " b"), (None, alone[0] + " a"), (4, alone[1]), (None, alone[2])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(4, near[1]), (None, alone[0] + " a"), (4, alone[1]), (None, alone[2])]))
