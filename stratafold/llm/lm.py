@@ -1,4 +1,4 @@
-"""Language-model scoring: a causal self-attention model over subword ids, trained in numpy, beside a unigram base over words.
+"""Language-model scoring: a causal self-attention model over subword ids beside a unigram base over words.
 
 Tokens are lower-cased (A-Z) words and one end; their subword ids, each word with a space before it, and an end id form one sequence. The model
 predicts the class of the next id and then the id in its class:
@@ -10,6 +10,7 @@ predicts the class of the next id and then the id in its class:
 Counts are sums over all training documents. The attention is trained on every id of every training document, once, in the blocks that scoring sees: in each of ``ROUNDS`` turns each
 partition takes Adam steps over its share of blocks, in runs of ``RUN`` that share keys, from common parameters, and the parameters are averaged. A text is cut into blocks of ``SPAN`` ids that also see the
 block before, so windows overlap and every id is predicted once; blocks of many texts form one batch, masked to the past and their own text.
+``graphs`` does the arithmetic of a batch by ``onnxruntime``; ``forward`` and ``gradients`` are the same in numpy, for where that is missing.
 
 Base scores need the count of every word. The most frequent words, at most ``HEAD_WORDS``, go to every task; all other words are summed up by a join.
 """
@@ -18,8 +19,7 @@ from __future__ import annotations
 
 import base64
 import math
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, partial
 from itertools import chain
@@ -51,8 +51,7 @@ TREE = 64
 SEED = 8
 
 
-LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
-IN_WORD = np.array([not bytes([c]).isspace() for c in range(256)])
+LOWER, SPACES = bytes(range(256)).lower(), b" \t\n\v\f\r"
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,7 +61,8 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     stops = np.frombuffer(stops, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
     data = np.frombuffer(data or b"", np.uint8)[stops[0] : stops[-1]]
     stops = stops - stops[0]
-    inside = IN_WORD[data]
+    inside = data - np.uint8(9) > 4  # \t to \r
+    inside &= data != 32
     cuts = np.zeros(len(data) + 1, bool)  # where a text begins
     cuts[stops] = True
     first, last = inside.copy(), inside.copy()
@@ -70,7 +70,7 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     last[:-1] &= ~inside[1:] | cuts[1:-1]
     first, last = np.flatnonzero(first), np.flatnonzero(last)
     ends = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[data[inside]])])
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes().translate(LOWER, SPACES))])
     return words.dictionary_encode(), np.diff(np.searchsorted(first, stops))
 
 
@@ -103,7 +103,7 @@ class Subwords:
         for at in range(0, len(words), 4096):
             cuts = starts[at : at + 4097]
             text = spaced[cuts[0] : cuts[-1]].tobytes()
-            got = np.array(array("H", self.encoding.encode_ordinary(text.decode())))
+            got = self.encoding.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.uint16)  # without a list of numbers
             begins = np.flatnonzero(self.starts[got])
             if len(begins) != len(cuts) - 1:  # a word with white space beyond ASCII
                 each = [self.encoding.encode_ordinary((b" " + w).decode()) for w in text.split(b" ")[1:]]
@@ -382,6 +382,48 @@ def _by_cell(cells: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@cache
+def _graphs():
+    """The module of the same arithmetic as graphs, or None without ``onnxruntime``."""
+    try:
+        from stratafold.llm import graphs
+    except ImportError as gone:  # another fault is not hidden
+        if (gone.name or "").split(".")[0] != "onnxruntime":
+            raise
+        return None
+    return graphs
+
+
+def gradients_of(model: Model) -> Callable[..., list[np.ndarray]]:
+    """``gradients`` of batches of BATCH blocks at most, of (params, now, before, alone, classes of next ids, real)."""
+    if graphs := _graphs():
+        of_rows = graphs.Gradients(model.params, model.table, *_masks())
+
+        def sums(params: list[np.ndarray], *given: np.ndarray) -> list[np.ndarray]:
+            rows, of_queries, of_keys, of_values, *others = of_rows(params, *given)
+            cells = _cells(rows)
+            return [_by_cell(c, g, PREVIOUS) for c, g in ((cells[:, 1:], of_queries), (cells, of_keys), (cells, of_values))] + others
+
+        return sums
+    work = Work(BATCH, True)
+    return lambda params, *given: gradients(params, model.table, *given, work)[1]
+
+
+def class_scores_of(model: Model, blocks: int) -> Callable[..., np.ndarray]:
+    """The log probability of the class of each next id in batches of ``blocks`` at most, of (now, before, alone, classes of next ids)."""
+    if graphs := _graphs():
+        return graphs.Scores(model.params, model.table, *_masks())
+    work = Work(blocks)
+
+    def scores(now: np.ndarray, before: np.ndarray, alone: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        logits = forward(model.params, model.table, now, before, alone, work)[6]
+        own = logits.ravel()[np.arange(len(logits)) * CLASSES + classes.ravel()]
+        np.exp(logits, logits)
+        return own - np.log(logits @ work.ones)
+
+    return scores
+
+
 def _flat(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params]).astype(np.float64)
 
@@ -402,7 +444,7 @@ def _steps(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterat
     flat = np.concatenate([p.ravel() for p in model.params])
     params, t, n = _views(flat, model.params), 0, 0
     m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    work = Work(BATCH, True)
+    of_batch = gradients_of(model)
     for b in sized(batches, "ids", 1 << 20):
         texts_ = blocks_of([np.frombuffer(x, "<u2") for x in b["ids"].to_pylist()], model)
         total = len(texts_.x)
@@ -412,7 +454,7 @@ def _steps(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterat
             i = (first[:, None] + np.arange(RUN)).ravel()
             inside, i = i < total, np.minimum(i, total - 1)  # the last run may be short
             real = texts_.real[i] & inside[:, None]
-            _, grads = gradients(params, model.table, texts_.x[i], texts_.x[np.maximum(first - 1, 0)], texts_.begins[i], model.classes[texts_.y[i]], real, work)
+            grads = of_batch(params, texts_.x[i], texts_.x[np.maximum(first - 1, 0)], texts_.begins[i], model.classes[texts_.y[i]], real)
             t, n = t + 1, n + int(real.sum())
             rate = RATE / (1 + turn) / (1 + t / 800)
             g = np.concatenate([x.ravel() for x in grads])
@@ -451,23 +493,21 @@ def train_attention(model: Model, rows: DataFrame) -> Model:
     return model
 
 
-def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128, work: Work | None = None) -> np.ndarray:
+def log10_scores(model: Model, sequences: list[np.ndarray], blocks: int = 128, of_class: Callable[..., np.ndarray] | None = None) -> np.ndarray:
     """log10 probability of each sequence of ids, of which the first stands before it and is not scored."""
     b = blocks_of(sequences, model)
-    work = work or Work(blocks)
+    of_class = of_class or class_scores_of(model, blocks)
     out = np.empty(b.x.size, np.float32)
     after, width = model.after.ravel(), model.after.shape[1]
     for a in range(0, len(b.x), blocks):
         now = b.x[a : a + blocks]
-        logits = forward(model.params, model.table, now, b.x[max(a - 1, 0)][None], b.begins[a : a + blocks], work)[6]
         row, ids = now.ravel().astype(np.int64), b.y[a : a + blocks].ravel()
         cls = model.classes[ids]
-        own = logits.ravel()[np.arange(len(row)) * CLASSES + cls]
-        np.exp(logits, logits)
+        in_classes = of_class(now, b.x[max(a - 1, 0)][None], b.begins[a : a + blocks], cls)
         column = model.dense[ids]
         emit, rest = after.take(row * width + column, mode="clip"), np.flatnonzero(column < 0)
         emit[rest] = model.loose[row[rest], cls[rest]] + model.overall[ids[rest]]
-        out[a * SPAN : a * SPAN + len(row)] = (own - np.log(logits @ work.ones)) / np.float32(np.log(10)) + emit
+        out[a * SPAN : a * SPAN + len(row)] = in_classes / np.float32(np.log(10)) + emit
     out[~b.real.ravel()] = 0
     sums, any_ = np.zeros(len(b.sizes)), b.sizes > 0
     if any_.any():
@@ -479,13 +519,13 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: Model, head: pa.
     from pyspark import TaskContext
 
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string()))])
-    subwords, row, work = subwords_of(path), TaskContext.get().partitionId() << 36, Work(128)
+    subwords, row, of_class = subwords_of(path), TaskContext.get().partitionId() << 36, class_scores_of(model, 128)
     log_of = np.append(np.log10(counts + 1), np.nan)
     for b in sized(batches, "text", CHUNK):
         words, places, ids, stops = subwords.read(b["text"])
         known = pc.index_in(words.dictionary, value_set=head).fill_null(-1).to_numpy()
         logs = np.concatenate([[np.log10(ends + 1)], log_of[known]])
-        scores = log10_scores(model, [ids[i : j + 1] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], 128, work)
+        scores = log10_scores(model, [ids[i : j + 1] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], 128, of_class)
         places = places[1:]
         stop = np.flatnonzero(places == 0)
         begin, found = np.concatenate([[0], stop[:-1] + 1]), logs[places]

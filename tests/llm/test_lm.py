@@ -191,3 +191,35 @@ def test_chunks_are_spelled_by_their_distinct_words():
     for t, i, j, a, z in zip(texts, ends[:-1], ends[1:], stops[:-1], stops[1:], strict=True):
         assert [known[p] for p in places[a + 1 : z]] == [w.encode() for w in tokens(t)]
         assert ids[i : j + 1].tolist() == [subwords.end, *(k for w in tokens(t) for k in subwords.encoding.encode_ordinary(" " + w)), subwords.end]
+
+
+def test_graphs_are_the_same_arithmetic():
+    """Gradients and class scores by onnxruntime are those of numpy in 64 bits, also where a run begins a text, is short or has scores of attention beyond 60."""
+    graphs = pytest.importorskip("stratafold.llm.graphs")
+    m, rng, size = toy()
+    b = lm.blocks_of([rng.integers(0, size, n) for n in (300, 40, 90, 200)], m)
+    first = np.array([0, 8, 24])
+    i = (first[:, None] + np.arange(8)).ravel()
+    before, classes = b.x[np.maximum(first - 1, 0)], m.classes[b.y]
+    assert b.begins[i].sum() > 1 and not b.real[i].all()
+    want = lm.gradients([p.astype(float) for p in m.params], m.table.astype(float), b.x[i], before, b.begins[i], classes[i], b.real[i], lm.Work(len(i), True, dtype=float))[1]
+    got = lm.gradients_of(m)(m.params, b.x[i], before, b.begins[i], classes[i], b.real[i])
+    for p, q in zip(want, got, strict=True):
+        assert p.any() and p.shape == q.shape and q.dtype == np.float32 and abs(p - q).max() < 1e-5 * abs(p).max()
+    assert isinstance(lm.class_scores_of(m, 8), graphs.Scores)
+    sequences = [rng.integers(0, size, n) for n in (2, 17, 33, 120, 49)]
+    assert np.allclose(lm.log10_scores(m, sequences, blocks=3), [brute(m, s) for s in sequences], rtol=1e-4)
+    m.params[0], m.params[1] = m.params[0] * 8, m.params[1] * 8
+    assert np.allclose(lm.log10_scores(m, sequences), [brute(m, s) for s in sequences], rtol=1e-4)
+
+
+def test_without_onnxruntime_the_results_are_the_same(monkeypatch):
+    m, rng, size = toy()
+    sequences = [rng.integers(0, size, n) for n in (2, 17, 120, 49)]
+    b = lm.blocks_of(sequences, m)
+    given = b.x[:4], b.x[:1], b.begins[:4], m.classes[b.y[:4]], b.real[:4]
+    scores, grads = lm.log10_scores(m, sequences), lm.gradients_of(m)(m.params, *given)
+    monkeypatch.setattr(lm, "_graphs", lambda: None)
+    assert np.allclose(lm.log10_scores(m, sequences), scores, rtol=1e-5)
+    for p, q in zip(lm.gradients_of(m)(m.params, *given), grads, strict=True):
+        assert np.allclose(p, q, rtol=1e-3, atol=1e-6)
